@@ -102,7 +102,7 @@ def camera_pitch(actions: DataFrame, start_pitch: float = 0.0,
     (at most 32,768) give the pitch each segment starts from, and the segments are then
     integrated independently.
     """
-    names = [*keys, SEGMENT]
+    names, columns = [*keys, SEGMENT], actions.columns
     cut = segments.add_segment(actions, order, width)
     key_fields = [cut.schema[n] for n in names]
 
@@ -132,6 +132,6 @@ def camera_pitch(actions: DataFrame, start_pitch: float = 0.0,
     def integrate(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         shift, low, high = _scan_clamps(pdf["delta_pitch"].to_numpy())
-        return pdf[actions.columns].assign(pitch=np.clip(pdf["_entry"] + shift, low, high))
+        return pdf[columns].assign(pitch=np.clip(pdf["_entry"] + shift, low, high))
 
     return (cut.join(entered, names).groupBy(*names).applyInPandas(integrate, out))

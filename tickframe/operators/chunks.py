@@ -70,6 +70,11 @@ def tick_lookup(ticks: DataFrame, session_id: str, tick: int) -> DataFrame:
     return ticks.where((F.col("session_id") == session_id) & (F.col("tick") == tick))
 
 
+def ticks_at(ticks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of many (session_id, tick) requests at once."""
+    return ticks.join(wanted.select("session_id", "tick"), ["session_id", "tick"], "left_semi")
+
+
 def max_tick(index: DataFrame) -> DataFrame:
     """Highest tick of an index, -1 when it is empty (A10)."""
     return index.agg(F.coalesce(F.max("end_tick").cast("long"), F.lit(-1).cast("long"))

@@ -90,3 +90,8 @@ def ledger_gaps(chunks: DataFrame, width: int | None = None) -> DataFrame:
 def tick_mismatches(capture: DataFrame) -> DataFrame:
     """Records whose stored tick is not their position (Q2)."""
     return capture.where(F.col("tick") != F.col("recorded_tick"))
+
+
+def with_manifest(rows: DataFrame, manifests: DataFrame) -> DataFrame:
+    """Rows with the fields of their session's manifest, nulls where there is none."""
+    return rows.join(manifests, "session_id", "left")

@@ -26,20 +26,20 @@ from tickframe.sources.listing import list_files, read_files
 _WHERE = T.StructType([T.StructField("session_id", T.StringType()),
                        T.StructField("chunk_index", T.IntegerType())])
 
-_TICK_DTYPE = np.dtype([(f.name, {"integer": ">i4", "long": ">i8", "float": ">f4",
+TICK_DTYPE = np.dtype([(f.name, {"integer": ">i4", "long": ">i8", "float": ">f4",
                                   "short": ">i2", "byte": "i1"}[f.dataType.typeName()])
                         for f in S.TICKS])
-assert _TICK_DTYPE.itemsize == S.TICK_RECORD_BYTES
+assert TICK_DTYPE.itemsize == S.TICK_RECORD_BYTES
 
-_CAPTURE_DTYPE = np.dtype([
+CAPTURE_DTYPE = np.dtype([
     ("flags", "<u2"), ("hotbar", "u1"), ("mouse_btn", "u1"), ("yaw_fp", "<i2"), ("pitch_fp", "<i2"),
     ("recorded_tick", "<u4"), ("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("health", "<f4"),
     ("food", "u1"), ("screen_type", "u1"), ("xp_level", "<u2"),
     ("vel_x", "<f4"), ("vel_y", "<f4"), ("vel_z", "<f4"), ("cursor_x", "<i2"), ("cursor_y", "<i2")])
-assert _CAPTURE_DTYPE.itemsize == S.CAPTURE_RECORD_BYTES
+assert CAPTURE_DTYPE.itemsize == S.CAPTURE_RECORD_BYTES
 
 # Older record: only the leading fields, unaligned.
-_OLD_CAPTURE_DTYPE = np.dtype({
+OLD_CAPTURE_DTYPE = np.dtype({
     "names": ["flags", "hotbar", "yaw_fp", "pitch_fp", "recorded_tick"],
     "formats": ["<u2", "u1", "<i2", "<i2", "<u4"], "offsets": [0, 2, 3, 5, 7],
     "itemsize": S.OLD_CAPTURE_RECORD_BYTES})
@@ -83,7 +83,7 @@ def decode_tick_ranges(blocks: DataFrame, content: str | None = None) -> DataFra
                 data = row[content] if content else ranges.read_range(
                     row["path"], row["offset"], row["size"])
                 n = len(data) // S.TICK_RECORD_BYTES
-                records = np.frombuffer(data, _TICK_DTYPE, n)
+                records = np.frombuffer(data, TICK_DTYPE, n)
                 yield _batch(schema, row["session_id"], row["chunk_index"],
                              _native(records, schema), n)
 
@@ -363,7 +363,7 @@ def decode_capture(chunks: DataFrame, content: str | None = None,
                 width = S.CAPTURE_RECORD_BYTES
                 if detect_size and len(raw) % width and len(raw) % S.OLD_CAPTURE_RECORD_BYTES == 0:
                     width = S.OLD_CAPTURE_RECORD_BYTES
-                dtype = _CAPTURE_DTYPE if width == S.CAPTURE_RECORD_BYTES else _OLD_CAPTURE_DTYPE
+                dtype = CAPTURE_DTYPE if width == S.CAPTURE_RECORD_BYTES else OLD_CAPTURE_DTYPE
                 n = min(count, len(raw) // width)
                 columns = _native(np.frombuffer(raw, dtype, n), schema)
                 columns["tick"] = np.arange(start, start + n, dtype=np.int64)
