@@ -64,11 +64,16 @@ def not_uploaded(ledger: DataFrame) -> DataFrame:
     return ledger.where(~F.col("uploaded"))
 
 
-def normalise_ends(chunks: DataFrame) -> DataFrame:
-    """Inclusive end ticks: the final chunk of a session stores its end one past the last."""
+def normalise_ends(chunks: DataFrame, ended: DataFrame | None = None) -> DataFrame:
+    """Inclusive end ticks: the final chunk of an ended session stores its end one past the last.
+
+    ``ended`` lists the sessions that are over; without it all are.
+    """
     final = chunks.groupBy("session_id").agg(F.max("chunk_index").alias("_final"))
+    if ended is not None:
+        final = final.join(ended, "session_id", "left_semi")
     end = F.col("end_tick") - F.when(F.col("chunk_index") == F.col("_final"), 1).otherwise(0)
-    return (chunks.join(final, "session_id")
+    return (chunks.join(final, "session_id", "left")
             .withColumn("end_tick", end.cast(chunks.schema["end_tick"].dataType))
             .select(*chunks.columns))
 
