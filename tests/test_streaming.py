@@ -95,7 +95,7 @@ def test_late_chunks_go_to_their_own_table(spark, tmp_path):
             str(tmp_path / "c"), late_path=str(tmp_path / "late"), availableNow=True).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "late")).where("chunk_index = 0").count() == 1
     parts = spark.read.parquet(str(tmp_path / "partials"))
-    assert sorted(r.segment for r in parts.collect()) == [0, 1]
+    assert sorted(r[0] for r in parts.select("_segment").collect()) == [0, 1]
 
 
 def test_duplicates_within_the_watermark_go_away(spark, tmp_path):

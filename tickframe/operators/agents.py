@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickframe.functions.angles import movement_axis
 from tickframe.operators import segments
+from tickframe.operators.row_runs import key_at, run_starts
 from tickframe.operators.segments import SEGMENT
 from tickframe.schemas import ACTION, ACTION_DEFAULTS
 
@@ -72,24 +73,60 @@ def camera_yaw(actions: DataFrame, start_yaw: float = 0.0,
     return turned.select(*actions.columns, (F.col("_turned") + F.lit(start_yaw)).alias("yaw"))
 
 
-def _scan_clamps(deltas: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Prefix compositions of ``x -> clamp(x + delta)`` as ``(shift, low, high)``.
+_CLAMP = ("_shift", "_low", "_high")
 
-    Each prefix maps x to ``min(high, max(low, x + shift))``; neighbours at distance 1, 2, 4, ...
-    are composed until every prefix reaches back to the first step.
+
+def _compose_runs(shift: np.ndarray, low: np.ndarray, high: np.ndarray, depth: np.ndarray) -> None:
+    """Turns steps into prefix compositions, in place; ``depth`` counts a row's predecessors.
+
+    A triple maps x to ``min(high, max(low, x + shift))``, and two of them compose to a
+    third. Rows at distance 1, 2, 4, ... are composed until every prefix is complete.
     """
-    shift = deltas.astype(np.float64).copy()
-    low = np.full(len(shift), -PITCH_LIMIT)
-    high = np.full(len(shift), PITCH_LIMIT)
     reach = 1
-    while reach < len(shift):
-        s, lo, hi = shift[reach:], low[reach:], high[reach:]
-        new_low = np.clip(low[:-reach] + s, lo, hi)
-        new_high = np.clip(high[:-reach] + s, lo, hi)
-        new_shift = shift[:-reach] + s
-        shift[reach:], low[reach:], high[reach:] = new_shift, new_low, new_high
+    while reach <= depth.max(initial=0):
+        at = np.flatnonzero(depth >= reach)
+        before = at - reach
+        composed = (shift[before] + shift[at],
+                    np.clip(low[before] + shift[at], low[at], high[at]),
+                    np.clip(high[before] + shift[at], low[at], high[at]))
+        shift[at], low[at], high[at] = composed
         reach *= 2
-    return shift, low, high
+
+
+def _scan_clamps(keys: Sequence[str]):
+    names = list(keys)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        previous, carried = None, None
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
+                continue
+            starts = run_starts(batch, names)
+            depth = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
+            triple = [batch.column(c).to_numpy(zero_copy_only=False).copy() for c in _CLAMP]
+            if key_at(batch, names, 0) == previous:
+                # The key goes on from the batch before: fold that prefix into its first row.
+                pair = [np.array([old, part[0]]) for old, part in zip(carried, triple)]
+                _compose_runs(*pair, np.array([0, 1]))
+                for part, composed in zip(triple, pair):
+                    part[0] = composed[1]
+            _compose_runs(*triple, depth)
+            previous, carried = key_at(batch, names, n - 1), [part[-1] for part in triple]
+            kept = [name for name in batch.schema.names if name not in _CLAMP]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in kept], *[pa.array(part) for part in triple]],
+                names=[*kept, *_CLAMP])
+
+    return scan
+
+
+def _prefix_clamps(steps: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Replaces each row's triple by the composition of its key's triples up to that row."""
+    kept = [f for f in steps.schema if f.name not in _CLAMP]
+    out = T.StructType([*kept, *[T.StructField(n, T.DoubleType()) for n in _CLAMP]])
+    return (steps.repartition(*keys).sortWithinPartitions(*keys, order)
+            .mapInArrow(_scan_clamps(keys), out))
 
 
 def camera_pitch(actions: DataFrame, start_pitch: float = 0.0,
@@ -97,41 +134,24 @@ def camera_pitch(actions: DataFrame, start_pitch: float = 0.0,
                  width: int | None = None) -> DataFrame:
     """Pitch after each action, held within +-90 at every step.
 
-    A clamped step cannot be a running sum, but clamped steps compose: any run of them is one
-    ``(shift, low, high)``. Each segment is reduced to that triple, the triples of a session
-    (at most 32,768) give the pitch each segment starts from, and the segments are then
-    integrated independently.
+    A clamped step cannot be a running sum, but any run of clamped steps is one triple.
+    Segments are scanned independently, the triples of a session's segments (at most 32,768) give
+    the pitch each segment starts from, and one expression combines both.
     """
-    names, columns = [*keys, SEGMENT], actions.columns
-    cut = segments.add_segment(actions, order, width)
-    key_fields = [cut.schema[n] for n in names]
-
-    def reduce_segment(pdf: pd.DataFrame) -> pd.DataFrame:
-        shift, low, high = _scan_clamps(pdf.sort_values(order)["delta_pitch"].to_numpy())
-        head = pdf.iloc[[0]][names].reset_index(drop=True)
-        return head.assign(_shift=shift[-1], _low=low[-1], _high=high[-1])
-
-    triples = T.StructType([*key_fields, *[T.StructField(n, T.DoubleType())
-                                           for n in ("_shift", "_low", "_high")]])
-    reduced = (cut.select(*names, order, "delta_pitch")
-               .groupBy(*names).applyInPandas(reduce_segment, triples))
-
-    def enter_segments(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(SEGMENT)
-        pitch, entries = start_pitch, []
-        for shift, low, high in zip(pdf["_shift"], pdf["_low"], pdf["_high"]):
-            entries.append(pitch)
-            pitch = min(high, max(low, pitch + shift))
-        return pdf[names].assign(_entry=entries)
-
-    entries = T.StructType([*key_fields, T.StructField("_entry", T.DoubleType())])
-    entered = reduced.groupBy(*keys).applyInPandas(enter_segments, entries)
-
-    out = T.StructType([*actions.schema.fields, T.StructField("pitch", T.DoubleType())])
-
-    def integrate(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        shift, low, high = _scan_clamps(pdf["delta_pitch"].to_numpy())
-        return pdf[columns].assign(pitch=np.clip(pdf["_entry"] + shift, low, high))
-
-    return (cut.join(entered, names).groupBy(*names).applyInPandas(integrate, out))
+    limit = F.lit(PITCH_LIMIT)
+    steps = segments.add_segment(actions, order, width).select(
+        "*", F.col("delta_pitch").cast("double").alias("_shift"),
+        (-limit).alias("_low"), limit.alias("_high"))
+    scanned = _prefix_clamps(steps, [*keys, SEGMENT], order)
+    whole = (scanned.groupBy(*keys, SEGMENT).agg(F.max_by(F.struct(*_CLAMP), order).alias("_t"))
+             .select(*keys, SEGMENT, "_t.*"))
+
+    def applied(pitch):
+        return F.least("_high", F.greatest("_low", pitch + F.col("_shift")))
+
+    start = F.lit(float(start_pitch))
+    entered = _prefix_clamps(whole, keys, SEGMENT).select(*keys, SEGMENT, F.lag(
+        applied(start), 1, float(start_pitch)).over(
+            Window.partitionBy(*keys).orderBy(SEGMENT)).alias("_entry"))
+    return (scanned.join(entered, [*keys, SEGMENT])
+            .select(*actions.columns, applied(F.col("_entry")).alias("pitch")))

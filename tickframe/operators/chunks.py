@@ -38,7 +38,7 @@ def index_from_headers(headers: DataFrame) -> DataFrame:
     ).sortWithinPartitions("session_id", "start_tick")
 
 
-def lookup_chunk(points: DataFrame, index: DataFrame, bin_ticks: int = 4096,
+def lookup_chunk(points: DataFrame, index: DataFrame, bin_ticks: int = 1024,
                  keys: Sequence[str] = _SESSION) -> DataFrame:
     """The chunk each tick lies in (J2); the lowest start, then path, when chunks overlap.
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickframe.operators.row_runs import key_at, run_starts
 from tickframe.sinks.shared import write_shared
 
 _PART, _LOCAL = "_part", "_local"
@@ -35,20 +36,11 @@ def _count_within(keys: Sequence[str]):
             n = batch.num_rows
             if n == 0:
                 continue
-            changed = np.ones(n, dtype=bool)
-            changed[1:] = False
-            for name in names:
-                codes = batch.column(name).dictionary_encode().indices.to_numpy(zero_copy_only=False)
-                changed[1:] |= codes[1:] != codes[:-1]
-            first = tuple(batch.column(name)[0].as_py() for name in names)
-            starts = np.flatnonzero(changed)
-            base = np.repeat(starts, np.diff(np.append(starts, n)))
-            local = np.arange(n, dtype=np.int64) - base
-            if first == previous:
-                head = starts[1] if len(starts) > 1 else n
-                local[:head] += count
-            previous = tuple(batch.column(name)[n - 1].as_py() for name in names)
-            count = int(local[-1]) + 1
+            starts = run_starts(batch, names)
+            local = np.arange(n, dtype=np.int64) - np.repeat(starts, np.diff(np.append(starts, n)))
+            if key_at(batch, names, 0) == previous:
+                local[:starts[1] if len(starts) > 1 else n] += count
+            previous, count = key_at(batch, names, n - 1), int(local[-1]) + 1
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(local)], names=[*batch.schema.names, _LOCAL])
 

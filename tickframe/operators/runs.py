@@ -33,60 +33,51 @@ def order_calls(stream: DataFrame) -> DataFrame:
     return stream.withColumn("at", F.col("tick") * RANKS_PER_TICK + F.col("rank"))
 
 
-def _is(kind: str) -> Column:
-    return F.col("kind") == kind
+# The rules of the tracker as SQL over one call; every use below shares these texts.
+_IS_TICK = "kind = 'TICK'"
+_NEW_PHASE = """CASE WHEN kind = 'DIMENSION' THEN
+  CASE name WHEN 'minecraft:the_nether' THEN 1Y WHEN 'minecraft:the_end' THEN 2Y ELSE 0Y END END"""
+_BED = "IF(kind = 'PLACED' AND endswith(name, '_bed'), 1L, 0L)"
 
 
-def _entered(dimension: str) -> Column:
-    return _is("DIMENSION") & (F.col("name") == dimension)
+def _lost(item: str) -> str:
+    return f"IF(kind = 'INVENTORY' AND name = '{item}' AND delta < 0, CAST(-delta AS BIGINT), 0L)"
 
 
-def _new_phase() -> Column:
-    return F.when(_is("DIMENSION"), labels.phase_code(F.col("name")))
+_GOLD = _lost("minecraft:gold_ingot")
+# Counters that do not depend on the phase.
+_PLAIN = {
+    "blaze_rods_used": _lost("minecraft:blaze_rod"),
+    "blaze_rods_collected": "IF(kind = 'INVENTORY' AND name = 'minecraft:blaze_rod' AND delta >= 0, "
+                            "CAST(delta AS BIGINT), 0L)",
+    "blaze_kills": "IF(kind = 'KILLED' AND name = 'minecraft:blaze', 1L, 0L)",
+    "pearls_used": _lost("minecraft:ender_pearl"),
+    "deaths": "IF(kind = 'DIED', 1L, 0L)",
+    "gold_given": "IF(kind = 'TRADE', CAST(delta AS BIGINT), 0L)",
+}
 
 
-def _ones(condition: Column) -> Column:
-    return F.when(condition, F.lit(1)).otherwise(F.lit(0)).cast("long")
-
-
-def _lost(item: str) -> Column:
-    condition = _is("INVENTORY") & (F.col("name") == item) & (F.col("delta") < 0)
-    return F.when(condition, -F.col("delta")).otherwise(0).cast("long")
+def _stamp(condition: str, ticks_per_row: int) -> str:
+    """Ticks counted so far at the calls that stamp a milestone, else null."""
+    return f"IF({condition}, (tick + 1) * {ticks_per_row}, NULL)"
 
 
-def _plain_counters() -> dict[str, Column]:
-    """Counters that do not depend on the phase."""
-    rods_in = _is("INVENTORY") & (F.col("name") == "minecraft:blaze_rod") & (F.col("delta") >= 0)
-    return {
-        "duration_ticks": _ones(_is("TICK")),
-        "blaze_rods_used": _lost("minecraft:blaze_rod"),
-        "blaze_rods_collected": F.when(rods_in, F.col("delta")).otherwise(0).cast("long"),
-        "blaze_kills": _ones(_is("KILLED") & (F.col("name") == "minecraft:blaze")),
-        "pearls_used": _lost("minecraft:ender_pearl"),
-        "deaths": _ones(_is("DIED")),
-        "gold_given": F.when(_is("TRADE"), F.col("delta")).otherwise(0).cast("long"),
+def _first_wins(ticks_per_row: int) -> dict[str, str]:
+    stamps = {
+        "portal_build_tick": "kind = 'DIMENSION' AND name = 'minecraft:the_nether'",
+        "dragon_enter_tick": "kind = 'DIMENSION' AND name = 'minecraft:the_end'",
+        **{column: f"kind = 'ADVANCEMENT' AND name = '{advancement}'"
+           for advancement, column in MILESTONE_ADVANCEMENTS.items()},
     }
+    return {n: _stamp(c, ticks_per_row) for n, c in stamps.items()}
 
 
-def _bed() -> Column:
-    return _ones(_is("PLACED") & F.endswith(F.col("name"), F.lit("_bed")))
+def _kill(ticks_per_row: int) -> str:
+    return _stamp("kind = 'KILLED' AND name = 'minecraft:ender_dragon'", ticks_per_row)
 
 
-def _first_wins(ticks_per_row: int) -> dict[str, Column]:
-    """Ticks counted so far at the calls that stamp a milestone, else null."""
-    counted = (F.col("tick") + 1) * ticks_per_row
-    stamps = {
-        "portal_build_tick": F.when(_entered("minecraft:the_nether"), counted),
-        "dragon_enter_tick": F.when(_entered("minecraft:the_end"), counted),
-    }
-    for advancement, column in MILESTONE_ADVANCEMENTS.items():
-        stamps[column] = F.when(_is("ADVANCEMENT") & (F.col("name") == advancement), counted)
-    return stamps
-
-
-def _kill(ticks_per_row: int) -> Column:
-    dragon = _is("KILLED") & (F.col("name") == "minecraft:ender_dragon")
-    return F.when(dragon, (F.col("tick") + 1) * ticks_per_row)
+def _exprs(*texts: str) -> list[Column]:
+    return [F.expr(t) for t in texts]
 
 
 def attribute_phase(stream: DataFrame, width: int | None = None) -> DataFrame:
@@ -94,16 +85,15 @@ def attribute_phase(stream: DataFrame, width: int | None = None) -> DataFrame:
     ordered = order_calls(stream)
     span = None if width is None else width * RANKS_PER_TICK
     span = segments.SEGMENT_TICKS * RANKS_PER_TICK if span is None else span
-    known = segments.as_of(ordered, [_SESSION], "at", {"_code": _new_phase()}, span)
+    known = segments.as_of(ordered, [_SESSION], "at", {"_code": F.expr(_NEW_PHASE)}, span)
     return known.select(
         *stream.columns, labels.phase_name(F.coalesce("_code", F.lit(0))).alias("phase"))
 
 
-def _locally_phased(stream: DataFrame, width: int | None) -> DataFrame:
-    """Segmented calls with the phase set within the segment; null before its first change."""
-    cut = segments.add_segment(order_calls(stream), "tick", width)
+def _locally_phased(segmented: DataFrame) -> DataFrame:
+    """Adds the phase set so far within the segment; null before its first change."""
     w = segments.segment_window([_SESSION], "at").rowsBetween(Window.unboundedPreceding, 0)
-    return cut.withColumn("_phase", F.last(_new_phase(), ignorenulls=True).over(w))
+    return segmented.withColumn("_phase", F.last(F.expr(_NEW_PHASE), ignorenulls=True).over(w))
 
 
 def segment_partials(stream: DataFrame, ticks_per_row: int = 1,
@@ -112,36 +102,34 @@ def segment_partials(stream: DataFrame, ticks_per_row: int = 1,
 
     ``by`` names an existing column to use as the segment, such as ``chunk_index``.
     """
+    ordered = order_calls(stream)
     if by is None:
-        rows = _locally_phased(stream, width)
+        segmented = segments.add_segment(ordered, "tick", width)
     else:
-        cut = order_calls(stream).withColumn(SEGMENT, F.col(by).cast("long"))
-        w = segments.segment_window([_SESSION], "at").rowsBetween(Window.unboundedPreceding, 0)
-        rows = cut.withColumn("_phase", F.last(_new_phase(), ignorenulls=True).over(w))
-
-    tick, bed, gold = _ones(_is("TICK")), _bed(), _lost("minecraft:gold_ingot")
-    before, phase = F.col("_phase").isNull(), F.col("_phase")
+        segmented = ordered.withColumn(SEGMENT, F.col(by).cast("long"))
+    ticks = {
+        "duration_ticks": _IS_TICK,
+        "entry_ticks": f"_phase IS NULL AND {_IS_TICK}",
+        "overworld_ticks": f"_phase = 0 AND {_IS_TICK}",
+        "nether_ticks": f"_phase = {_NETHER} AND {_IS_TICK}",
+        "end_ticks": f"_phase = {_END} AND {_IS_TICK}",
+    }
     sums = {
-        **_plain_counters(),
-        "entry_ticks": F.when(before, tick),
-        "overworld_ticks": F.when(phase == 0, tick),
-        "nether_ticks": F.when(phase == _NETHER, tick),
-        "end_ticks": F.when(phase == _END, tick),
-        "entry_gold": F.when(before, gold),
-        "nether_gold": F.when(phase == _NETHER, gold),
-        "entry_beds": F.when(before, bed),
-        "end_beds": F.when(phase == _END, bed),
+        **_PLAIN,
+        "entry_gold": f"IF(_phase IS NULL, {_GOLD}, 0L)",
+        "nether_gold": f"IF(_phase = {_NETHER}, {_GOLD}, 0L)",
+        "entry_beds": f"IF(_phase IS NULL, {_BED}, 0L)",
+        "end_beds": f"IF(_phase = {_END}, {_BED}, 0L)",
     }
-    scaled = {"duration_ticks", "entry_ticks", "overworld_ticks", "nether_ticks", "end_ticks"}
-    return rows.groupBy(_SESSION, SEGMENT).agg(
-        F.max("player_id").alias("player_id"),
-        *[(F.coalesce(F.sum(v), F.lit(0)) * (ticks_per_row if n in scaled else 1)).alias(n)
-          for n, v in sums.items()],
-        *[F.min(v).alias(n) for n, v in _first_wins(ticks_per_row).items()],
-        F.max(_kill(ticks_per_row)).alias("kill_tick"),
-        F.max_by(_new_phase(), F.when(_is("DIMENSION"), F.col("at"))).alias("exit_phase"),
-        F.max(_is("END")).alias("ended"),
-    )
+    return _locally_phased(segmented).groupBy(_SESSION, SEGMENT).agg(*_exprs(
+        "max(player_id) AS player_id",
+        *[f"count_if({c}) * {ticks_per_row} AS {n}" for n, c in ticks.items()],
+        *[f"sum({v}) AS {n}" for n, v in sums.items()],
+        *[f"min({v}) AS {n}" for n, v in _first_wins(ticks_per_row).items()],
+        f"max({_kill(ticks_per_row)}) AS kill_tick",
+        f"max_by({_NEW_PHASE}, IF(kind = 'DIMENSION', at, NULL)) AS exit_phase",
+        "max(kind = 'END') AS ended",
+    ))
 
 
 def resolve_partials(partials: DataFrame) -> DataFrame:
@@ -149,31 +137,28 @@ def resolve_partials(partials: DataFrame) -> DataFrame:
     earlier = (Window.partitionBy(_SESSION).orderBy(SEGMENT)
                .rowsBetween(Window.unboundedPreceding, -1))
     entered = F.coalesce(F.last("exit_phase", ignorenulls=True).over(earlier), F.lit(0))
-    entry = F.col("entry_phase")
 
-    def credit(total: str, share: str, phase: int) -> Column:
-        return F.col(total) + F.when(entry == phase, F.col(share)).otherwise(0)
+    def credit(total: str, share: str, phase: int) -> str:
+        return f"{total} + IF(entry_phase = {phase}, {share}, 0L)"
 
     return partials.withColumn("entry_phase", entered).select(
         _SESSION, SEGMENT, "player_id", "entry_phase",
         "duration_ticks", "blaze_rods_used", "blaze_rods_collected", "blaze_kills",
-        "pearls_used", "deaths", *_MILESTONES,
-        credit("overworld_ticks", "entry_ticks", 0).alias("overworld_ticks"),
-        credit("nether_ticks", "entry_ticks", _NETHER).alias("nether_ticks"),
-        credit("end_ticks", "entry_ticks", _END).alias("end_ticks"),
-        (credit("nether_gold", "entry_gold", _NETHER) + F.col("gold_given")).alias("gold_traded"),
-        credit("end_beds", "entry_beds", _END).alias("beds_used"),
-    )
+        "pearls_used", "deaths", *_MILESTONES, *_exprs(
+            credit("overworld_ticks", "entry_ticks", 0) + " AS overworld_ticks",
+            credit("nether_ticks", "entry_ticks", _NETHER) + " AS nether_ticks",
+            credit("end_ticks", "entry_ticks", _END) + " AS end_ticks",
+            credit("gold_given + nether_gold", "entry_gold", _NETHER) + " AS gold_traded",
+            credit("end_beds", "entry_beds", _END) + " AS beds_used"))
 
 
 def fold_partials(partials: DataFrame) -> DataFrame:
     """Session totals from segment partials; milestones that never happened are null."""
-    return resolve_partials(partials).groupBy(_SESSION).agg(
-        F.max("player_id").alias("player_id"),
-        *[F.sum(n).alias(n) for n in _SUMS],
-        *[F.min(n).alias(n) for n in _FIRST_WINS],
-        F.max("kill_tick").alias("kill_tick"),
-    )
+    return resolve_partials(partials).groupBy(_SESSION).agg(*_exprs(
+        "max(player_id) AS player_id",
+        *[f"sum({n}) AS {n}" for n in _SUMS],
+        *[f"min({n}) AS {n}" for n in _FIRST_WINS],
+        "max(kill_tick) AS kill_tick"))
 
 
 def session_totals(stream: DataFrame, ticks_per_row: int = 1, width: int | None = None) -> DataFrame:
@@ -225,47 +210,41 @@ def summary_json(summaries: DataFrame) -> DataFrame:
 
 def live_state(stream: DataFrame, ticks_per_row: int = 1, width: int | None = None) -> DataFrame:
     """Phase and running counters after each tick."""
-    rows = _locally_phased(stream, width)
+    rows = _locally_phased(segments.add_segment(order_calls(stream), "tick", width))
     resolved = resolve_partials(segment_partials(stream, ticks_per_row, width))
-    earlier = (Window.partitionBy(_SESSION).orderBy(SEGMENT)
-               .rowsBetween(Window.unboundedPreceding, -1))
     sums = [n for n in _SUMS if n not in ("duration_ticks", "blaze_rods_collected")]
-    entry = resolved.select(
-        _SESSION, SEGMENT, "entry_phase",
-        *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_in_{n}") for n in sums],
-        *[F.min(n).over(earlier).alias(f"_in_{n}") for n in _FIRST_WINS],
-        F.max("kill_tick").over(earlier).alias("_in_kill_tick"),
-    )
-    phase = F.coalesce("_phase", "entry_phase")
-    tick, counters = _ones(_is("TICK")) * ticks_per_row, _plain_counters()
+    before = (f"OVER (PARTITION BY {_SESSION} ORDER BY {SEGMENT} "
+              "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+    entry = resolved.select(_SESSION, SEGMENT, "entry_phase", *_exprs(
+        *[f"coalesce(sum({n}) {before}, 0L) AS _in_{n}" for n in sums],
+        *[f"min({n}) {before} AS _in_{n}" for n in _FIRST_WINS],
+        f"max(kill_tick) {before} AS _in_kill_tick"))
+    phased = rows.join(entry, [_SESSION, SEGMENT], "left").withColumn(
+        "_phase", F.coalesce("_phase", "entry_phase"))
+    tick = f"IF({_IS_TICK}, {ticks_per_row}L, 0L)"
     contribution = {
-        "overworld_ticks": F.when(phase == 0, tick).otherwise(0),
-        "nether_ticks": F.when(phase == _NETHER, tick).otherwise(0),
-        "end_ticks": F.when(phase == _END, tick).otherwise(0),
-        "gold_traded": F.when(phase == _NETHER, _lost("minecraft:gold_ingot")).otherwise(0)
-        + counters["gold_given"],
-        "beds_used": F.when(phase == _END, _bed()).otherwise(0),
-        **{n: counters[n] for n in ("blaze_rods_used", "blaze_kills", "pearls_used", "deaths")},
+        "overworld_ticks": f"IF(_phase = 0, {tick}, 0L)",
+        "nether_ticks": f"IF(_phase = {_NETHER}, {tick}, 0L)",
+        "end_ticks": f"IF(_phase = {_END}, {tick}, 0L)",
+        "gold_traded": f"IF(_phase = {_NETHER}, {_GOLD}, 0L) + {_PLAIN['gold_given']}",
+        "beds_used": f"IF(_phase = {_END}, {_BED}, 0L)",
+        **{n: _PLAIN[n] for n in ("blaze_rods_used", "blaze_kills", "pearls_used", "deaths")},
     }
     # Same clustering as the window above, so this aggregation adds no shuffle.
-    per_tick = rows.join(entry, [_SESSION, SEGMENT], "left").groupBy(_SESSION, SEGMENT, "tick").agg(
-        F.max_by(phase, "at").alias("_phase"),
-        *[F.first(f"_in_{n}").alias(f"_in_{n}") for n in (*sums, *_MILESTONES)],
-        *[F.sum(contribution[n]).alias(n) for n in sums],
-        *[F.min(v).alias(n) for n, v in _first_wins(ticks_per_row).items()],
-        F.max(_kill(ticks_per_row)).alias("kill_tick"),
-    )
-    w = segments.segment_window([_SESSION], "tick").rowsBetween(Window.unboundedPreceding, 0)
-    never = F.lit(-1).cast("long")
+    per_tick = phased.groupBy(_SESSION, SEGMENT, "tick").agg(*_exprs(
+        "max_by(_phase, at) AS _phase",
+        *[f"max(_in_{n}) AS _in_{n}" for n in (*sums, *_MILESTONES)],
+        *[f"sum({contribution[n]}) AS {n}" for n in sums],
+        *[f"min({v}) AS {n}" for n, v in _first_wins(ticks_per_row).items()],
+        f"max({_kill(ticks_per_row)}) AS kill_tick"))
+    upto = (f"OVER (PARTITION BY {_SESSION}, {SEGMENT} ORDER BY tick "
+            "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
     return per_tick.select(
-        _SESSION, "tick", labels.phase_name(F.col("_phase")).alias("phase"),
-        *[(F.sum(n).over(w) + F.col(f"_in_{n}")).alias(n) for n in sums],
-        *[F.coalesce(F.least(F.min(n).over(w), F.col(f"_in_{n}")), never).alias(n)
-          for n in _FIRST_WINS],
-        F.coalesce(F.greatest(F.max("kill_tick").over(w), F.col("_in_kill_tick")), never)
-        .alias("kill_tick"),
-        never.alias("stronghold_enter_tick"),
-    )
+        _SESSION, "tick", labels.phase_name(F.col("_phase")).alias("phase"), *_exprs(
+            *[f"sum({n}) {upto} + _in_{n} AS {n}" for n in sums],
+            *[f"coalesce(least(min({n}) {upto}, _in_{n}), -1L) AS {n}" for n in _FIRST_WINS],
+            f"coalesce(greatest(max(kill_tick) {upto}, _in_kill_tick), -1L) AS kill_tick",
+            "-1L AS stronghold_enter_tick"))
 
 
 def advancement_rows(updates: DataFrame) -> DataFrame:

@@ -19,11 +19,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEGMENT_TICKS = 65_536
-SEGMENT = "segment"
+SEGMENT = "_segment"
 
 
 def add_segment(rows: DataFrame, order: str, width: int | None = None) -> DataFrame:
-    """Segment number of each row; ``width`` is in units of the ``order`` column."""
+    """Segment number of each row; ``width`` is in units of the ``order`` column.
+
+    Rows that already have one keep it. Operators chained on the same segments then share one
+    shuffle, because Spark sees the same clustering key.
+    """
+    if SEGMENT in rows.columns:
+        return rows
     size = SEGMENT_TICKS if width is None else width
     return rows.withColumn(SEGMENT, F.call_function("div", F.col(order), F.lit(size)))
 

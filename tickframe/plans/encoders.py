@@ -1,44 +1,83 @@
 """Builds log bytes from rows, one log per (session, chunk), to exercise the readers.
 
-A group is one chunk, whose number of rows the caller bounds, so it is packed in one step.
+A chunk has a bounded number of rows. Partitions are sorted by chunk and packed batch by
+batch, so no chunk is gathered as a group.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql import types as T
 
 from tickframe import schemas as S
-from tickframe.sources.binlogs import (CAPTURE_DTYPE, OLD_CAPTURE_DTYPE, TICK_DTYPE)
-
-_LOG = "session_id string, chunk_index int, path string, content binary"
-
-
-def _by_chunk(rows: DataFrame, pack) -> DataFrame:
-    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        session, chunk = key
-        return pd.DataFrame({"session_id": [session], "chunk_index": [chunk],
-                             "path": [f"session_id={session}/chunk_index={chunk}/log"],
-                             "content": [pack(pdf, chunk)]})
-
-    return rows.groupBy("session_id", "chunk_index").applyInPandas(build, _LOG)
-
-
-def _records(pdf: pd.DataFrame, dtype: np.dtype) -> np.ndarray:
-    out = np.zeros(len(pdf), dtype)
-    for name in dtype.names:
-        if name in pdf.columns:
-            out[name] = pdf[name].to_numpy()
-    return out
+from tickframe.operators.row_runs import key_at, run_starts
+from tickframe.sources.binlogs import CAPTURE_DTYPE, OLD_CAPTURE_DTYPE, TICK_DTYPE
+
+_KEYS = ("session_id", "chunk_index")
+_LOG = T.StructType([T.StructField("session_id", T.StringType()), T.StructField("chunk_index", T.IntegerType()),
+                     T.StructField("path", T.StringType()), T.StructField("content", T.BinaryType())])
+
+
+def _by_chunk(rows: DataFrame, order: str, pack: Callable[[pa.RecordBatch], list[bytes]],
+              finish: Callable[[int, bytes, int], bytes] = lambda first, body, count: body) -> DataFrame:
+    """``pack`` gives the bytes of each row; ``finish`` adds what surrounds a chunk's rows."""
+    schema = to_arrow_schema(_LOG)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def log(key, first, parts):
+            session, chunk = key
+            content = finish(first, b"".join(parts), len(parts))
+            return session, chunk, f"session_id={session}/chunk_index={chunk}/log", content
+
+        key, first, parts = None, 0, []
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            packed, logs = pack(batch), []
+            starts = run_starts(batch, _KEYS)
+            for start, end in zip(starts, [*starts[1:], batch.num_rows]):
+                found = key_at(batch, _KEYS, int(start))
+                if found != key:
+                    if key is not None:
+                        logs.append(log(key, first, parts))
+                    key, first, parts = found, batch.column(order)[int(start)].as_py(), []
+                parts.extend(packed[start:end])
+            if logs:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, f.type) for c, f in zip(zip(*logs), schema)], schema=schema)
+        if key is not None:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([v], f.type) for v, f in zip(log(key, first, parts), schema)], schema=schema)
+
+    return (rows.repartition(*_KEYS).sortWithinPartitions(*_KEYS, order)
+            .mapInArrow(build, _LOG))
+
+
+def _records(dtype: np.dtype) -> Callable[[pa.RecordBatch], list[bytes]]:
+    def pack(batch: pa.RecordBatch) -> list[bytes]:
+        out = np.zeros(batch.num_rows, dtype)
+        for name in dtype.names:
+            if name in batch.schema.names:
+                out[name] = batch.column(name).to_numpy(zero_copy_only=False)
+        data, size = out.tobytes(), dtype.itemsize
+        return [data[i:i + size] for i in range(0, len(data), size)]
+
+    return pack
+
+
+def _tuples(batch: pa.RecordBatch, names: Sequence[str]) -> Iterator[tuple]:
+    return zip(*[batch.column(n).to_pylist() for n in names])
 
 
 def encode_ticks(rows: DataFrame, order: str = "tick") -> DataFrame:
-    return _by_chunk(rows, lambda pdf, _: _records(pdf.sort_values(order), TICK_DTYPE).tobytes())
+    return _by_chunk(rows, order, _records(TICK_DTYPE))
 
 
 def pack_event(tick: int, code: int, name: str, count: int, prev_count: int) -> bytes:
@@ -47,11 +86,8 @@ def pack_event(tick: int, code: int, name: str, count: int, prev_count: int) ->
 
 
 def encode_events(rows: DataFrame, order: str) -> DataFrame:
-    def pack(pdf, _):
-        ordered = pdf.sort_values(order)[list(S.EVENTS.names)]
-        return b"".join(pack_event(*r) for r in ordered.itertuples(index=False))
-
-    return _by_chunk(rows, pack)
+    return _by_chunk(rows, order, lambda batch: [
+        pack_event(*row) for row in _tuples(batch, S.EVENTS.names)])
 
 
 def pack_packet(version: int, tick: int, stamp: int, kind: int, data: bytes) -> bytes:
@@ -61,11 +97,9 @@ def pack_packet(version: int, tick: int, stamp: int, kind: int, data: bytes) ->
 
 
 def encode_packets(rows: DataFrame, order: str, version: int) -> DataFrame:
-    def pack(pdf, _):
-        ordered = pdf.sort_values(order)[["tick", "timestamp_ms", "packet_id", "data"]]
-        return b"".join(pack_packet(version, *r) for r in ordered.itertuples(index=False))
-
-    return _by_chunk(rows, pack)
+    fields = ("tick", "timestamp_ms", "packet_id", "data")
+    return _by_chunk(rows, order, lambda batch: [
+        pack_packet(version, *row) for row in _tuples(batch, fields)])
 
 
 def pack_capture(start_tick: int, records: bytes, count: int) -> bytes:
@@ -77,10 +111,4 @@ def pack_capture(start_tick: int, records: bytes, count: int) -> bytes:
 
 
 def encode_capture(rows: DataFrame, order: str, old: bool = False) -> DataFrame:
-    dtype = OLD_CAPTURE_DTYPE if old else CAPTURE_DTYPE
-
-    def pack(pdf, _):
-        ordered = pdf.sort_values(order)
-        return pack_capture(int(ordered[order].iloc[0]), _records(ordered, dtype).tobytes(), len(pdf))
-
-    return _by_chunk(rows, pack)
+    return _by_chunk(rows, order, _records(OLD_CAPTURE_DTYPE if old else CAPTURE_DTYPE), pack_capture)

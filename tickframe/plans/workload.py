@@ -84,7 +84,8 @@ def dimension_observations(tele: DataFrame) -> DataFrame:
     w = segments.segment_window(["session_id"], ["tick", "event_id"])
     last = F.lead("tick").over(w).isNull() | (F.lead("tick").over(w) != F.col("tick"))
     return (seen.withColumn("_last", last).where("_last")
-            .select("session_id", "tick", "ts", "event_id", name_by_k(DIMENSIONS).alias("dimension")))
+            .select("session_id", segments.SEGMENT, "tick", "ts", "event_id",
+                    name_by_k(DIMENSIONS).alias("dimension")))
 
 
 def dimension_changes(tele: DataFrame) -> DataFrame:
@@ -101,42 +102,38 @@ changes AS (
   WHERE was IS NOT NULL AND was <> dimension)"""
 
 
-def item_delta() -> Column:
-    size = 1 + F.col("k") % 4
-    return F.when(F.col("k") % 2 == 0, -size).otherwise(size)
+DELTA_SQL = "CASE WHEN k % 2 = 0 THEN -1 - k % 4 ELSE 1 + k % 4 END"
 
 
-DELTA_SQL = "CASE WHEN k % 2 = 0 THEN -1 - k % 4 ELSE 1 + k % 4 END"
+def _call(rank: int, kind: str, name: str = "NULL", delta: str = "NULL") -> str:
+    return (f"named_struct('rank', {rank}, 'kind', '{kind}', 'name', CAST({name} AS STRING), "
+            f"'delta', CAST({delta} AS INT))")
+
+
+def _pick(names: tuple[str, ...], prefix: str = "") -> str:
+    listed = ", ".join(f"'{prefix}{n}'" for n in names)
+    return f"element_at(array({listed}), k % {len(names)} + 1)"
 
 
-def _call(rank: int, kind: str, name: Column | None = None, delta: Column | None = None) -> Column:
-    return F.struct(
-        F.lit(rank).alias("rank"), F.lit(kind).alias("kind"),
-        (F.lit(None) if name is None else name).cast("string").alias("name"),
-        (F.lit(None) if delta is None else delta).cast("int").alias("delta"))
+_HAPPENED = f"""CASE
+  WHEN event_type = 'purchase' THEN {_call(RANK_OTHER, 'INVENTORY', _pick(ITEMS, 'minecraft:'), DELTA_SQL)}
+  WHEN event_type = 'error' AND k % 10 = 0 THEN {_call(RANK_OTHER, 'DIED')}
+  WHEN event_type = 'click' AND k % 50 = 0 THEN {_call(RANK_OTHER, 'KILLED', "'minecraft:ender_dragon'")}
+  WHEN event_type = 'click' AND k % 5 < 2 THEN {_call(RANK_OTHER, 'KILLED', "'minecraft:blaze'")}
+  WHEN event_type = 'click' THEN {_call(RANK_OTHER, 'PLACED',
+                                        "IF(k % 5 = 2, 'minecraft:white_bed', 'minecraft:stone')")}
+  WHEN event_type = 'view' THEN {_call(RANK_OTHER, 'ADVANCEMENT', _pick(ADVANCEMENTS))} END"""
+_TICKED = f"IF(ord % 2 = 0, {_call(RANK_TICK, 'TICK')}, NULL)"
 
 
 def tracker_stream(tele: DataFrame) -> DataFrame:
     """Tracker calls of every session, in no particular order."""
-    kind, k = F.col("event_type"), F.col("k")
-    killed = F.when(k % 50 == 0, "minecraft:ender_dragon").otherwise("minecraft:blaze")
-    placed = F.when(k % 5 == 2, "minecraft:white_bed").otherwise("minecraft:stone")
-    item = F.concat(F.lit("minecraft:"), name_by_k(ITEMS))
-    happened = (
-        F.when(kind == "purchase", _call(RANK_OTHER, "INVENTORY", item, item_delta()))
-        .when((kind == "error") & (k % 10 == 0), _call(RANK_OTHER, "DIED"))
-        .when((kind == "click") & (k % 5 < 2), _call(RANK_OTHER, "KILLED", killed))
-        .when(kind == "click", _call(RANK_OTHER, "PLACED", placed))
-        .when(kind == "view", _call(RANK_OTHER, "ADVANCEMENT", name_by_k(ADVANCEMENTS))))
-    ticked = F.when(F.col("ord") % 2 == 0, _call(RANK_TICK, "TICK"))
     calls = (tele.select("session_id", "tick", "ts",
-                         F.explode(F.array_compact(F.array(ticked, happened))).alias("c"))
-             .select("session_id", "tick", "ts", "c.*"))
-    moved = dimension_changes(tele).select(
-        "session_id", "tick", "ts",
-        F.lit(RANK_DIMENSION).alias("rank"), F.lit("DIMENSION").alias("kind"),
-        F.col("dimension").alias("name"), F.lit(None).cast("int").alias("delta"))
-    return calls.unionByName(moved).withColumn("player_id", player_id(F.col("session_id")))
+                         F.expr(f"inline(array_compact(array({_TICKED}, {_HAPPENED})))")))
+    moved = dimension_changes(tele).selectExpr(
+        "session_id", "tick", "ts", f"{RANK_DIMENSION} AS rank", "'DIMENSION' AS kind",
+        "dimension AS name", "CAST(NULL AS INT) AS delta")
+    return calls.union(moved).withColumn("player_id", player_id(F.col("session_id")))
 
 
 def sessions(tele: DataFrame) -> DataFrame:

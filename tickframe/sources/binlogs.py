@@ -49,19 +49,42 @@ def _with(schema: T.StructType) -> T.StructType:
     return T.StructType([*_WHERE.fields, *schema.fields])
 
 
-def _batch(schema: pa.Schema, session: str, chunk: int | None, columns: dict, n: int) -> pa.RecordBatch:
+# Bytes decoded before a batch of rows is handed back to Spark.
+_BATCH_BYTES = 8 << 20
+
+
+def _batches(blocks: Iterator[tuple[dict, bytes]]) -> Iterator[list[tuple[dict, bytes]]]:
+    """Groups blocks, so that many small logs become few batches."""
+    group, size = [], 0
+    for row, data in blocks:
+        group.append((row, data))
+        size += len(data)
+        if size >= _BATCH_BYTES:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], content: str | None) -> Iterator[tuple[dict, bytes]]:
+    """Descriptor and bytes of each block, read by path and range unless a column holds them."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            yield row, row[content] if content else ranges.read_range(
+                row["path"], row["offset"], row["size"])
+
+
+def _batch(schema: pa.Schema, columns: dict, n: int) -> pa.RecordBatch:
     """A batch of ``n`` rows; columns the source lacks are null."""
-    arrays = []
-    for field in schema:
-        if field.name == "session_id":
-            arrays.append(pa.array([session] * n, field.type))
-        elif field.name == "chunk_index":
-            arrays.append(pa.array([chunk] * n, field.type))
-        elif field.name in columns:
-            arrays.append(pa.array(columns[field.name], type=field.type))
-        else:
-            arrays.append(pa.nulls(n, field.type))
-    return pa.RecordBatch.from_arrays(arrays, schema=schema)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(columns[f.name], type=f.type) if f.name in columns else pa.nulls(n, f.type)
+         for f in schema], schema=schema)
+
+
+def _repeated(values: list, counts: list[int]) -> pa.Array:
+    """Each value as often as its count says."""
+    codes = np.repeat(np.arange(len(values), dtype=np.int32), counts)
+    return pa.array(values).take(pa.array(codes))
 
 
 def _native(records: np.ndarray, schema: pa.Schema) -> dict[str, np.ndarray]:
@@ -70,6 +93,11 @@ def _native(records: np.ndarray, schema: pa.Schema) -> dict[str, np.ndarray]:
             for f in schema if f.name in records.dtype.names}
 
 
+def _origin(group: list[tuple[dict, bytes]], counts: list[int]) -> dict:
+    return {"session_id": _repeated([row["session_id"] for row, _ in group], counts).cast(pa.string()),
+            "chunk_index": _repeated([row["chunk_index"] for row, _ in group], counts).cast(pa.int32())}
+
+
 # --- tick log ---------------------------------------------------------------
 
 def decode_tick_ranges(blocks: DataFrame, content: str | None = None) -> DataFrame:
@@ -78,14 +106,11 @@ def decode_tick_ranges(blocks: DataFrame, content: str | None = None) -> DataFra
     schema = to_arrow_schema(out)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                data = row[content] if content else ranges.read_range(
-                    row["path"], row["offset"], row["size"])
-                n = len(data) // S.TICK_RECORD_BYTES
-                records = np.frombuffer(data, TICK_DTYPE, n)
-                yield _batch(schema, row["session_id"], row["chunk_index"],
-                             _native(records, schema), n)
+        for group in _batches(_blocks(batches, content)):
+            counts = [len(data) // S.TICK_RECORD_BYTES for _, data in group]
+            whole = b"".join(data[:n * S.TICK_RECORD_BYTES] for (_, data), n in zip(group, counts))
+            columns = _native(np.frombuffer(whole, TICK_DTYPE), schema)
+            yield _batch(schema, {**columns, **_origin(group, counts)}, sum(counts))
 
     return blocks.mapInArrow(decode, out)
 
@@ -200,25 +225,22 @@ def decode_events(blocks: DataFrame, content: str | None = None) -> DataFrame:
     schema = to_arrow_schema(out)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                data = row[content] if content else ranges.read_range(
-                    row["path"], row["offset"], row["size"])
-                fields = {name: [] for name in S.EVENTS.names}
-                at = 0
+        for group in _batches(_blocks(batches, content)):
+            found, counts = [], []
+            for _, data in group:
+                at, before = 0, len(found)
                 while at + S.EVENT_HEADER_BYTES <= len(data):
                     end = at + _event_size(data, at)
                     if end > len(data):
                         break
                     tick, code, _ = struct.unpack_from(">iBB", data, at)
-                    count, before = struct.unpack_from(">hh", data, end - S.EVENT_TAIL_BYTES)
                     name = data[at + S.EVENT_HEADER_BYTES:end - S.EVENT_TAIL_BYTES]
-                    for key, value in zip(fields, (tick, code, name.decode("utf-8", "replace"),
-                                                   count, before)):
-                        fields[key].append(value)
+                    found.append((tick, code, name.decode("utf-8", "replace"),
+                                  *struct.unpack_from(">hh", data, end - S.EVENT_TAIL_BYTES)))
                     at = end
-                yield _batch(schema, row["session_id"], row["chunk_index"], fields,
-                             len(fields["tick"]))
+                counts.append(len(found) - before)
+            columns = dict(zip(S.EVENTS.names, zip(*found))) if found else {}
+            yield _batch(schema, {**columns, **_origin(group, counts)}, len(found))
 
     return blocks.mapInArrow(decode, out)
 
@@ -247,14 +269,12 @@ def decode_packets(blocks: DataFrame, content: str | None = None, payload: bool
     schema = to_arrow_schema(out)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                data = row[content] if content else ranges.read_range(
-                    row["path"], row["offset"], row["size"])
+        for group in _batches(_blocks(batches, content)):
+            found, counts = [], []
+            for row, data in group:
                 header, size_of = _FORMATS[row["format"]]
                 v2 = row["format"] == "packet_v2"
-                fields = {name: [] for name in S.PACKETS.names}
-                at, pos = 0, row["first_pos"]
+                at, pos, before = 0, row["first_pos"], len(found)
                 while at + header <= len(data):
                     end = at + size_of(data, at)
                     if end > len(data):
@@ -264,12 +284,12 @@ def decode_packets(blocks: DataFrame, content: str | None = None, payload: bool
                     else:
                         tick, kind, size = struct.unpack_from("<IHH", data, at)
                         stamp = None
-                    body = data[at + header:end] if payload else None
-                    for key, value in zip(fields, (pos, tick, stamp, kind, size, body)):
-                        fields[key].append(value)
+                    found.append((pos, tick, stamp, kind, size,
+                                  data[at + header:end] if payload else None))
                     at, pos = end, pos + 1
-                yield _batch(schema, row["session_id"], row["chunk_index"], fields,
-                             len(fields["tick"]))
+                counts.append(len(found) - before)
+            columns = dict(zip(S.PACKETS.names, zip(*found))) if found else {}
+            yield _batch(schema, {**columns, **_origin(group, counts)}, len(found))
 
     return blocks.mapInArrow(decode, out)
 
@@ -346,30 +366,42 @@ def decode_capture(chunks: DataFrame, content: str | None = None,
                         T.StructField("path", T.StringType()), *S.CAPTURE_TICKS.fields])
     schema = to_arrow_schema(out)
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lz4 = pa.Codec("lz4_raw")
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, bytes]]:
+        lz4, prefix = pa.Codec("lz4_raw"), S.CAPTURE_HEADER_BYTES + 4
         for batch in batches:
             for row in batch.to_pylist():
-                data = row[content] if content else ranges.read_range(
-                    row["path"], 0, row["length"])
-                if len(data) < S.CAPTURE_HEADER_BYTES + 4:
+                data = row[content] if content else ranges.read_range(row["path"], 0, row["length"])
+                if len(data) < prefix:
                     continue
-                start, count = struct.unpack_from("<IH", data, 6)
+                row["start"], count = struct.unpack_from("<IH", data, 6)
                 size, = struct.unpack_from("<I", data, S.CAPTURE_HEADER_BYTES)
                 try:
-                    raw = lz4.decompress(data[S.CAPTURE_HEADER_BYTES + 4:], size, asbytes=True)
+                    raw = lz4.decompress(data[prefix:], size, asbytes=True)
                 except (OSError, ValueError):
                     continue
                 width = S.CAPTURE_RECORD_BYTES
                 if detect_size and len(raw) % width and len(raw) % S.OLD_CAPTURE_RECORD_BYTES == 0:
                     width = S.OLD_CAPTURE_RECORD_BYTES
-                dtype = CAPTURE_DTYPE if width == S.CAPTURE_RECORD_BYTES else OLD_CAPTURE_DTYPE
-                n = min(count, len(raw) // width)
-                columns = _native(np.frombuffer(raw, dtype, n), schema)
-                columns["tick"] = np.arange(start, start + n, dtype=np.int64)
+                row["width"] = width
+                yield row, raw[:min(count, len(raw) // width) * width]
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for mixed in _batches(records(batches)):
+            for width, dtype in ((S.CAPTURE_RECORD_BYTES, CAPTURE_DTYPE),
+                                 (S.OLD_CAPTURE_RECORD_BYTES, OLD_CAPTURE_DTYPE)):
+                group = [(row, raw) for row, raw in mixed if row["width"] == width]
+                if not group:
+                    continue
+                counts = [len(raw) // width for _, raw in group]
+                n = sum(counts)
+                columns = _native(np.frombuffer(b"".join(raw for _, raw in group), dtype), schema)
+                starts = np.repeat([row["start"] for row, _ in group], counts)
+                within = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts)
+                columns["tick"] = starts + within
                 columns["record_size"] = np.full(n, width, np.int32)
-                columns["path"] = [row["path"]] * n
-                yield _batch(schema, row["session_id"], None, columns, n)
+                for name in ("session_id", "path"):
+                    columns[name] = _repeated([row[name] for row, _ in group], counts).cast(pa.string())
+                yield _batch(schema, columns, n)
 
     return chunks.select("session_id", "path", content or "length").mapInArrow(decode, out)
 

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tickframe.operators.runs import segment_partials
+from tickframe.operators.segments import SEGMENT
 from tickframe.schemas import MILESTONE_ADVANCEMENTS, TRACKER
 
 CHUNK = "chunk_index"
@@ -70,10 +71,10 @@ def chunk_windows(stream: DataFrame, lateness: str, length: str = "5 minutes") -
 
 
 def chunk_partials(rows: DataFrame, ticks_per_row: int = 1) -> DataFrame:
-    closed = rows.groupBy("session_id", F.col(CHUNK).cast("long").alias("segment")).agg(
+    closed = rows.groupBy("session_id", F.col(CHUNK).cast("long").alias(SEGMENT)).agg(
         F.max("ts").alias("closed_at"))
     return (segment_partials(rows, ticks_per_row, by=CHUNK)
-            .join(closed, ["session_id", "segment"]))
+            .join(closed, ["session_id", SEGMENT]))
 
 
 def write_partials(stream: DataFrame, path: str, checkpoint: str, late_path: str | None = None,
@@ -87,9 +88,9 @@ def write_partials(stream: DataFrame, path: str, checkpoint: str, late_path: str
     def save(batch: DataFrame, number: int) -> None:
         if late_path is not None and number > 0:
             sealed = (batch.sparkSession.read.option("basePath", path).schema(
-                "session_id string, segment long, batch int").parquet(path)
+                f"session_id string, {SEGMENT} long, batch int").parquet(path)
                 .where(F.col("batch") < number)
-                .select("session_id", F.col("segment").cast("int").alias(CHUNK)))
+                .select("session_id", F.col(SEGMENT).cast("int").alias(CHUNK)))
             batch, late = split_late(batch, sealed)
             late.write.mode("overwrite").parquet(f"{late_path}/batch={number}")
         chunk_partials(batch, ticks_per_row).write.mode("overwrite").parquet(f"{path}/batch={number}")
@@ -98,10 +99,13 @@ def write_partials(stream: DataFrame, path: str, checkpoint: str, late_path: str
             .option("checkpointLocation", checkpoint).trigger(**trigger).start())
 
 
+_NEVER = -1
+
+
 def _fresh(player_id: str | None) -> dict:
     return {"player_id": player_id, "next": 0, "phase": 0, "ended": False, "waiting": {},
             "totals": {n: 0 for n in (*_ADDED, *_PHASE_TICKS, "gold_traded", "beds_used")}
-            | {n: None for n in (*_EARLIEST, "kill_tick")}}
+            | {n: _NEVER for n in (*_EARLIEST, "kill_tick")}}
 
 
 def _fold(state: dict, part: dict) -> None:
@@ -115,7 +119,7 @@ def _fold(state: dict, part: dict) -> None:
                               + (part["entry_gold"] if phase == 1 else 0))
     totals["beds_used"] += part["end_beds"] + (part["entry_beds"] if phase == 2 else 0)
     for name in _EARLIEST:
-        if totals[name] is None:
+        if totals[name] == _NEVER and part[name] is not None:
             totals[name] = part[name]
     if part["kill_tick"] is not None:
         totals["kill_tick"] = part["kill_tick"]
@@ -125,12 +129,19 @@ def _fold(state: dict, part: dict) -> None:
     state["next"] += 1
 
 
+def _plain(value):
+    """A JSON value: pandas holds nullable integers as floats and their nulls as NaN."""
+    if isinstance(value, float):
+        return None if value != value else int(value)
+    return value
+
+
 def _summarise(gap_ms: int | None):
     numbers = [f for f in _TOTALS.names if f not in ("session_id", "player_id")]
 
     def emit(key: tuple, state: dict) -> pd.DataFrame:
         row = [key[0], state["player_id"], *[state["totals"][n] for n in numbers]]
-        return pd.DataFrame([row], columns=_TOTALS.names).astype({n: "Int64" for n in numbers})
+        return pd.DataFrame([row], columns=_TOTALS.names)
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], group: GroupState):
         if group.hasTimedOut:
@@ -144,15 +155,14 @@ def _summarise(gap_ms: int | None):
         state = json.loads(group.get[0]) if group.exists else None
         newest = 0
         for frame in frames:
-            for part in frame.astype(object).where(frame.notna(), None).to_dict("records"):
+            for values in zip(*[frame[c].tolist() for c in frame.columns]):
+                part = {c: _plain(v) for c, v in zip(frame.columns, values)}
                 if state is None:
                     state = _fresh(part["player_id"])
                 newest = max(newest, int(part.pop("closed_at").timestamp() * 1000))
-                index = int(part.pop("segment"))
+                index = part.pop(SEGMENT)
                 if index >= state["next"]:
-                    state["waiting"][str(index)] = {
-                        k: (v if isinstance(v, (bool, str)) or v is None else int(v))
-                        for k, v in part.items() if k != "session_id"}
+                    state["waiting"][str(index)] = part
         if state is None:
             return
         while str(state["next"]) in state["waiting"]:
@@ -170,7 +180,7 @@ def _summarise(gap_ms: int | None):
 
 def summarise_sessions(partials: DataFrame, lateness: str = "0 seconds",
                        gap_ms: int | None = None) -> DataFrame:
-    """Session totals, emitted once when the session ends.
+    """Session totals, emitted once when the session ends (R2, R3, R4); -1 marks "never".
 
     ``partials`` is a stream of partial rows in any order. A chunk waits in the state until the
     ones before it are folded; a chunk seen before is ignored. A new ``session_id`` is a new
