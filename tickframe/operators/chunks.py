@@ -55,21 +55,16 @@ def lookup_chunk(points: DataFrame, index: DataFrame, bin_ticks: int = 1024,
             .groupBy(*keys, "_bin")
             .agg(F.sort_array(F.collect_list(F.struct("start_tick", "path", "end_tick")))
                  .alias("_chunks")))
-    hit = F.filter("_chunks", lambda c: (c["start_tick"] <= F.col("tick"))
-                   & (c["end_tick"] >= F.col("tick")))
+    hits = F.filter("_chunks", lambda c: (c["start_tick"] <= F.col("tick"))
+                    & (c["end_tick"] >= F.col("tick")))
     return (points.withColumn("_bin", bin_of(F.col("tick")))
             .join(bins, [*keys, "_bin"])
-            .withColumn("_hit", F.get(hit, 0)).where(F.col("_hit").isNotNull())
+            .select(*points.columns, F.explode(F.slice(hits, 1, 1)).alias("_hit"))
             .select(*points.columns, F.col("_hit.path").alias("path"),
                     F.col("_hit.start_tick").alias("start_tick"),
                     (F.col("tick") - F.col("_hit.start_tick")).alias("offset_in_chunk")))
 
 
-def tick_lookup(ticks: DataFrame, session_id: str, tick: int) -> DataFrame:
-    """One tick of one session (F3): partition pruning plus a pushed filter."""
-    return ticks.where((F.col("session_id") == session_id) & (F.col("tick") == tick))
-
-
 def ticks_at(ticks: DataFrame, wanted: DataFrame) -> DataFrame:
     """The rows of many (session_id, tick) requests at once."""
     return ticks.join(wanted.select("session_id", "tick"), ["session_id", "tick"], "left_semi")

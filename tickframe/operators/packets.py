@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickframe.functions.labels import packet_name
@@ -22,23 +22,21 @@ def packets_of(packets: DataFrame, session_id: str, tick: int) -> DataFrame:
 def packet_lists(packets: DataFrame, part_packets: int = PART_PACKETS) -> DataFrame:
     """Packet references per tick in file order, without payloads.
 
-    References are first gathered per run of file positions, so a tick that holds a large
-    share of all packets is spread over many tasks. The runs of a tick are joined into one
-    list (part 0) unless that list would exceed ``part_packets``; then each run is a part.
+    A tick with more than ``part_packets`` packets gets several lists, numbered by ``part`` and
+    cut at file positions, so no task gathers an unbounded list and no packet is dropped. Such
+    ticks are found by counting first. Usually there are none, and then Spark removes the join
+    with them at run time.
     """
+    run = F.call_function("div", F.col("pos"), F.lit(part_packets))
+    hot = (packets.groupBy(*_TICK).agg(F.count("*").alias("_n"), F.min(run).alias("_first_run"))
+           .where(F.col("_n") > part_packets).drop("_n"))
+    part = F.coalesce(run - F.col("_first_run"), F.lit(0)).cast("int")
     reference = F.struct("pos", F.col("packet_id").alias("id"), F.col("data_len").alias("len"),
                          "timestamp_ms")
-    run = F.call_function("div", F.col("pos"), F.lit(part_packets))
-    runs = (packets.withColumn("_run", run).groupBy(*_TICK, "_run")
-            .agg(F.collect_list(reference).alias("_refs")))
-    tick = Window.partitionBy(*_TICK)
-    small = F.sum(F.size("_refs")).over(tick) <= part_packets
-    placed = runs.withColumn("part", F.when(small, F.lit(0)).otherwise(
-        F.row_number().over(tick.orderBy("_run")) - 1))
-    # Clustered by tick already: the second aggregation adds no shuffle.
-    return placed.groupBy(*_TICK, "part").agg(
-        F.transform(F.sort_array(F.flatten(F.collect_list("_refs"))),
-                    lambda r: r.dropFields("pos")).alias("packets"))
+    return (packets.join(hot, _TICK, "left").withColumn("part", part)
+            .groupBy(*_TICK, "part")
+            .agg(F.transform(F.sort_array(F.collect_list(reference)),
+                             lambda r: r.dropFields("pos")).alias("packets")))
 
 
 def tick_packets(ticks: DataFrame, packets: DataFrame,

@@ -13,15 +13,20 @@ from pyspark.sql import functions as F
 
 from tickframe.operators import edges, segments
 from tickframe.operators.ordinals import number_rows
+from tickframe.sources.sizing import size_shuffles
 from tickframe.schemas import RANK_DIMENSION, RANK_OTHER, RANK_TICK
 
 TICKS_PER_ROW = 600
 MOD_VERSION = "0.1.0"
 
 _telemetry: dict[str, tuple[SparkSession, DataFrame]] = {}
+_sized: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if _sized.get(sf_dir) is not spark:
+        size_shuffles(spark, sf_dir)
+        _sized[sf_dir] = spark
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
