@@ -97,10 +97,12 @@ def _locally_phased(segmented: DataFrame) -> DataFrame:
 
 
 def segment_partials(stream: DataFrame, ticks_per_row: int = 1,
-                     width: int | None = None, by: str | None = None) -> DataFrame:
+                     width: int | None = None, by: str | None = None,
+                     also: tuple[str, ...] = ()) -> DataFrame:
     """One mergeable row per (session, segment).
 
-    ``by`` names an existing column to use as the segment, such as ``chunk_index``.
+    ``by`` names an existing column to use as the segment, such as ``chunk_index``; ``also``
+    lists further aggregates to keep per segment.
     """
     ordered = order_calls(stream)
     if by is None:
@@ -129,6 +131,7 @@ def segment_partials(stream: DataFrame, ticks_per_row: int = 1,
         f"max({_kill(ticks_per_row)}) AS kill_tick",
         f"max_by({_NEW_PHASE}, IF(kind = 'DIMENSION', at, NULL)) AS exit_phase",
         "max(kind = 'END') AS ended",
+        *also,
     ))
 
 

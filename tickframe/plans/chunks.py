@@ -8,7 +8,9 @@ from tickframe.operators import chunks, edges
 from tickframe.plans import workload as W
 from tickframe.plans.registry import query
 from tickframe.sinks.shared import new_shared_path
-from tickframe.sinks.tables import write_chunked
+from tickframe.sinks.tables import write_by_session, write_chunked
+from tickframe.sources.documents import read_session_table
+from tickframe.sources.listing import discover_sessions
 
 CHUNK_TICKS = 8
 CAPTURE_ROWS = 5
@@ -185,3 +187,25 @@ def sessions_with_chunks(spark, sf_dir):
     index = W.table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "P").select(
         F.col("o_custkey").cast("string").alias("session_id"))
     return chunks.with_chunks_only(customers, index)
+
+
+def _session_folders(spark, sf_dir):
+    rows = W.telemetry(spark, sf_dir).select("session_id", "tick", "ord", "event_type", "value")
+    path = new_shared_path(spark, "sessions")
+    write_by_session(rows, path)
+    return path, rows.schema
+
+
+@query("session_table", f"{_T} SELECT session_id, tick, ord, event_type, value FROM tele")
+def session_table(spark, sf_dir):
+    """Written in one folder per session and read back; ids of digits stay text."""
+    path, schema = _session_folders(spark, sf_dir)
+    return read_session_table(spark, path, schema).select(
+        "session_id", "tick", "ord", "event_type", "value")
+
+
+@query("discovered_sessions", f"{_T} SELECT DISTINCT session_id FROM tele")
+def discovered_sessions(spark, sf_dir):
+    """Sessions found by listing files."""
+    path, _ = _session_folders(spark, sf_dir)
+    return discover_sessions(spark, path, "*.parquet").select("session_id")

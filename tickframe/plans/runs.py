@@ -162,3 +162,42 @@ def stream_summary(spark, sf_dir):
      .write.parquet(f"{work}/landing"))
     totals = run_stream(spark, f"{work}/landing", work)
     return runs.finish_summary(totals, W.sessions(tele)).select(*RUN_SUMMARY.names)
+
+
+def _land(spark, rows, name):
+    work = new_shared_path(spark, name)
+    rows.write.parquet(f"{work}/landing")
+    return work
+
+
+@query("stream_windows", f"""WITH {W.TELEMETRY_SQL}
+SELECT session_id, epoch_us(time_bucket(INTERVAL '5 minutes', ts)) // 1000 AS window_start_ms, count(*) AS rows
+FROM tele GROUP BY ALL""")
+def stream_windows(spark, sf_dir):
+    """Rows per session and five minutes, counted by a stream in update mode.
+
+    Every batch writes the windows it changed. Counts only grow, so the largest is the newest.
+    """
+    rows = W.telemetry(spark, sf_dir).select("session_id", F.col("ts").cast("timestamp").alias("ts"))
+    work = _land(spark, rows, "windows")
+    landed = spark.readStream.schema(rows.schema).parquet(f"{work}/landing")
+    windows = streaming.chunk_windows(landed, "1 day")
+    streaming.write_totals(windows, f"{work}/out", f"{work}/ckpt", mode="update",
+                           availableNow=True).awaitTermination()
+    newest = (spark.read.schema(windows.schema).parquet(f"{work}/out/batch=*")
+              .groupBy("session_id", "window_start").agg(F.max("rows").alias("rows")))
+    return newest.select("session_id", W.epoch_ms(F.col("window_start").cast("timestamp_ntz"))
+                         .alias("window_start_ms"), "rows")
+
+
+@query("stream_deduplicated", f"""WITH {W.STREAM_SQL}
+SELECT DISTINCT session_id, tick, rank, kind, name, delta FROM stream""")
+def stream_deduplicated(spark, sf_dir):
+    """Calls delivered twice and passed on once."""
+    rows = landing_rows(W.telemetry(spark, sf_dir)).where(F.col("kind") != "END")
+    work = _land(spark, rows.union(rows), "duplicates")
+    once = streaming.drop_duplicates(
+        streaming.read_closed_chunks(spark, f"{work}/landing"), "1 day")
+    streaming.write_totals(once, f"{work}/out", f"{work}/ckpt", availableNow=True).awaitTermination()
+    return (spark.read.schema(once.schema).parquet(f"{work}/out/batch=*")
+            .select("session_id", "tick", "rank", "kind", "name", "delta"))

@@ -71,10 +71,8 @@ def chunk_windows(stream: DataFrame, lateness: str, length: str = "5 minutes") -
 
 
 def chunk_partials(rows: DataFrame, ticks_per_row: int = 1) -> DataFrame:
-    closed = rows.groupBy("session_id", F.col(CHUNK).cast("long").alias(SEGMENT)).agg(
-        F.max("ts").alias("closed_at"))
-    return (segment_partials(rows, ticks_per_row, by=CHUNK)
-            .join(closed, ["session_id", SEGMENT]))
+    """Partial rows of whole chunks, with the time of their newest row."""
+    return segment_partials(rows, ticks_per_row, by=CHUNK, also=("max(ts) AS closed_at",))
 
 
 def write_partials(stream: DataFrame, path: str, checkpoint: str, late_path: str | None = None,
@@ -196,10 +194,10 @@ def read_partials(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     return spark.readStream.schema(schema).parquet(path)
 
 
-def write_totals(totals: DataFrame, path: str, checkpoint: str, **trigger):
-    """Starts the second query's sink; a batch that runs again overwrites its own folder."""
+def write_totals(totals: DataFrame, path: str, checkpoint: str, mode: str = "append", **trigger):
+    """Starts an idempotent sink; a batch that runs again overwrites its own folder."""
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return (totals.writeStream.outputMode("append").foreachBatch(save)
+    return (totals.writeStream.outputMode(mode).foreachBatch(save)
             .option("checkpointLocation", checkpoint).trigger(**trigger).start())
