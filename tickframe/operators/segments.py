@@ -86,18 +86,25 @@ def previous(rows: DataFrame, keys: Sequence[str], order: str, values: Mapping[s
              width: int | None = None) -> DataFrame:
     """Adds, per name, the value of the row before as a struct ``{value}``; null on the first row.
 
-    The struct tells "no row before" from "the row before held null".
+    The struct tells "no row before" from "the row before held null". What a segment begins with is
+    the last row of the segment before it; the values are kept unboxed there, so that numbers
+    and booleans aggregate by hash.
     """
-    boxed = {n: F.struct(v.alias("value")) for n, v in values.items()}
     cut = add_segment(rows, order, width)
-    entry = {f"_in_{n}": v for n, v in boxed.items()}
+    tails = cut.groupBy(*keys, SEGMENT).agg(
+        *[F.max_by(v, F.col(order)).alias(f"_in_{n}") for n, v in values.items()])
+    by_segment = Window.partitionBy(*keys).orderBy(SEGMENT)
+    entry = tails.select(
+        *keys, SEGMENT, F.lag(SEGMENT).over(by_segment).isNotNull().alias("_entered"),
+        *[F.lag(f"_in_{n}").over(by_segment).alias(f"_in_{n}") for n in values])
     w = segment_window(keys, order)
-    joined = with_entry(cut, keys, order, last=entry)
-    out = joined.select(
+    inside = F.lag(SEGMENT).over(w).isNotNull()
+    return cut.join(entry, [*keys, SEGMENT], "left").select(
         *rows.columns,
-        *[F.coalesce(F.lag(v).over(w), F.col(f"_in_{n}")).alias(n) for n, v in boxed.items()],
+        *[F.when(inside, F.struct(F.lag(v).over(w).alias("value")))
+          .when(F.col("_entered"), F.struct(F.col(f"_in_{n}").alias("value"))).alias(n)
+          for n, v in values.items()],
     )
-    return out
 
 
 def as_of(rows: DataFrame, keys: Sequence[str], order: str, values: Mapping[str, Column],
