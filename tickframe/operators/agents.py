@@ -14,6 +14,7 @@ from tickframe.functions.angles import movement_axis
 from tickframe.operators import segments
 from tickframe.operators.row_runs import key_at, run_starts
 from tickframe.operators.segments import SEGMENT
+from tickframe.runtime import ship_package
 from tickframe.schemas import ACTION, ACTION_DEFAULTS
 
 PITCH_LIMIT = 90.0
@@ -138,6 +139,7 @@ def camera_pitch(actions: DataFrame, start_pitch: float = 0.0,
     Segments are scanned independently, the triples of a session's segments (at most 32,768) give
     the pitch each segment starts from, and one expression combines both.
     """
+    ship_package(actions.sparkSession)
     limit = F.lit(PITCH_LIMIT)
     steps = segments.add_segment(actions, order, width).select(
         "*", F.col("delta_pitch").cast("double").alias("_shift"),

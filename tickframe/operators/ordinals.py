@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickframe.operators.row_runs import key_at, run_starts
+from tickframe.runtime import ship_package
 from tickframe.sinks.shared import write_shared
 
 _PART, _LOCAL = "_part", "_local"
@@ -49,7 +50,7 @@ def _count_within(keys: Sequence[str]):
 
 def number_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """``rows`` plus their 0-based position per key in ``order``, which must be unique per key."""
-    spark = rows.sparkSession
+    ship_package(rows.sparkSession)
     by = [*keys, *order]
     placed = (rows.repartitionByRange(*by).sortWithinPartitions(*by)
               .withColumn(_PART, F.spark_partition_id()))

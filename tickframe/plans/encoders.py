@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from tickframe import schemas as S
 from tickframe.operators.row_runs import key_at, run_starts
+from tickframe.runtime import ship_package
 from tickframe.sources.binlogs import CAPTURE_DTYPE, OLD_CAPTURE_DTYPE, TICK_DTYPE
 
 _KEYS = ("session_id", "chunk_index")
@@ -28,6 +29,7 @@ _LOG = T.StructType([T.StructField("session_id", T.StringType()), T.StructField(
 def _by_chunk(rows: DataFrame, order: str, pack: Callable[[pa.RecordBatch], list[bytes]],
               finish: Callable[[int, bytes, int], bytes] = lambda first, body, count: body) -> DataFrame:
     """``pack`` gives the bytes of each row; ``finish`` adds what surrounds a chunk's rows."""
+    ship_package(rows.sparkSession)
     schema = to_arrow_schema(_LOG)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

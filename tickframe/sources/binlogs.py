@@ -20,6 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tickframe import schemas as S
 from tickframe.functions.labels import record_size
+from tickframe.runtime import ship_package
 from tickframe.sources import ranges
 from tickframe.sources.listing import list_files, read_files
 
@@ -45,6 +46,11 @@ OLD_CAPTURE_DTYPE = np.dtype({
     "itemsize": S.OLD_CAPTURE_RECORD_BYTES})
 
 
+def _in_python(df: DataFrame) -> DataFrame:
+    ship_package(df.sparkSession)
+    return df
+
+
 def _with(schema: T.StructType) -> T.StructType:
     return T.StructType([*_WHERE.fields, *schema.fields])
 
@@ -112,7 +118,7 @@ def decode_tick_ranges(blocks: DataFrame, content: str | None = None) -> DataFra
             columns = _native(np.frombuffer(whole, TICK_DTYPE), schema)
             yield _batch(schema, {**columns, **_origin(group, counts)}, sum(counts))
 
-    return blocks.mapInArrow(decode, out)
+    return _in_python(blocks).mapInArrow(decode, out)
 
 
 def read_ticks(spark: SparkSession, path: str, glob: str = "gamestate.bin",
@@ -195,7 +201,7 @@ def _pieces(files: DataFrame, split_bytes: int | None) -> DataFrame:
     small = listed.where(F.col("length") <= limit).select(
         *_WHERE.names, "path", "format", F.lit(0).cast("long").alias("offset"),
         F.col("length").alias("size"), F.lit(0).cast("long").alias("first_pos"))
-    return ranges.spread(small.unionByName(large.mapInPandas(cut, _PIECES)), files, limit)
+    return ranges.spread(small.unionByName(_in_python(large).mapInPandas(cut, _PIECES)), files, limit)
 
 
 def _variable_rejects(files: DataFrame, split_bytes: int | None = None) -> DataFrame:
@@ -212,7 +218,7 @@ def _variable_rejects(files: DataFrame, split_bytes: int | None = None) -> DataF
             yield pd.DataFrame(rows, columns=["session_id", "path", "length", "trailing_bytes"])
 
     listed = files.select("session_id", "path", "format", "length", F.lit(0).alias("offset"))
-    return (ranges.spread(listed, files, limit).mapInPandas(measure, out)
+    return (_in_python(ranges.spread(listed, files, limit)).mapInPandas(measure, out)
             .where(F.col("trailing_bytes") != 0))
 
 
@@ -242,7 +248,7 @@ def decode_events(blocks: DataFrame, content: str | None = None) -> DataFrame:
             columns = dict(zip(S.EVENTS.names, zip(*found))) if found else {}
             yield _batch(schema, {**columns, **_origin(group, counts)}, len(found))
 
-    return blocks.mapInArrow(decode, out)
+    return _in_python(blocks).mapInArrow(decode, out)
 
 
 def _event_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
@@ -291,7 +297,7 @@ def decode_packets(blocks: DataFrame, content: str | None = None, payload: bool
             columns = dict(zip(S.PACKETS.names, zip(*found))) if found else {}
             yield _batch(schema, {**columns, **_origin(group, counts)}, len(found))
 
-    return blocks.mapInArrow(decode, out)
+    return _in_python(blocks).mapInArrow(decode, out)
 
 
 def _packet_files(spark: SparkSession, path: str) -> DataFrame:
@@ -403,7 +409,7 @@ def decode_capture(chunks: DataFrame, content: str | None = None,
                     columns[name] = _repeated([row[name] for row, _ in group], counts).cast(pa.string())
                 yield _batch(schema, columns, n)
 
-    return chunks.select("session_id", "path", content or "length").mapInArrow(decode, out)
+    return _in_python(chunks.select("session_id", "path", content or "length")).mapInArrow(decode, out)
 
 
 def read_capture_chunks(spark: SparkSession, path: str, glob: str = "*.cap", verify: bool = False,

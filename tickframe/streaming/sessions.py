@@ -20,6 +20,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tickframe.operators.runs import segment_partials
 from tickframe.operators.segments import SEGMENT
+from tickframe.runtime import ship_package
 from tickframe.schemas import MILESTONE_ADVANCEMENTS, TRACKER
 
 CHUNK = "chunk_index"
@@ -185,6 +186,7 @@ def summarise_sessions(partials: DataFrame, lateness: str = "0 seconds",
     state and ending removes it. Sessions that never say goodbye are emitted ``gap_ms`` of
     event time after their last chunk.
     """
+    ship_package(partials.sparkSession)
     timeout = (GroupStateTimeout.NoTimeout if gap_ms is None else GroupStateTimeout.EventTimeTimeout)
     return (partials.withWatermark("closed_at", lateness).groupBy("session_id")
             .applyInPandasWithState(_summarise(gap_ms), _TOTALS, _STATE, "append", timeout))
