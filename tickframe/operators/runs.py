@@ -18,6 +18,8 @@ from tickframe.operators.segments import SEGMENT
 from tickframe.schemas import MILESTONE_ADVANCEMENTS, RANKS_PER_TICK, RUN_SUMMARY
 
 _SESSION = "session_id"
+# Both are grouping keys: a text aggregate would keep Spark from aggregating by hash.
+_KEYS = (_SESSION, "player_id")
 _NETHER, _END = 1, 2
 
 # Summed over segments once phases are resolved.
@@ -85,14 +87,14 @@ def attribute_phase(stream: DataFrame, width: int | None = None) -> DataFrame:
     ordered = order_calls(stream)
     span = None if width is None else width * RANKS_PER_TICK
     span = segments.SEGMENT_TICKS * RANKS_PER_TICK if span is None else span
-    known = segments.as_of(ordered, [_SESSION], "at", {"_code": F.expr(_NEW_PHASE)}, span)
+    known = segments.as_of(ordered, _KEYS, "at", {"_code": F.expr(_NEW_PHASE)}, span)
     return known.select(
         *stream.columns, labels.phase_name(F.coalesce("_code", F.lit(0))).alias("phase"))
 
 
 def _locally_phased(segmented: DataFrame) -> DataFrame:
     """Adds the phase set so far within the segment; null before its first change."""
-    w = segments.segment_window([_SESSION], "at").rowsBetween(Window.unboundedPreceding, 0)
+    w = segments.segment_window(_KEYS, "at").rowsBetween(Window.unboundedPreceding, 0)
     return segmented.withColumn("_phase", F.last(F.expr(_NEW_PHASE), ignorenulls=True).over(w))
 
 
@@ -123,8 +125,7 @@ def segment_partials(stream: DataFrame, ticks_per_row: int = 1,
         "entry_beds": f"IF(_phase IS NULL, {_BED}, 0L)",
         "end_beds": f"IF(_phase = {_END}, {_BED}, 0L)",
     }
-    return _locally_phased(segmented).groupBy(_SESSION, SEGMENT).agg(*_exprs(
-        "max(player_id) AS player_id",
+    return _locally_phased(segmented).groupBy(*_KEYS, SEGMENT).agg(*_exprs(
         *[f"count_if({c}) * {ticks_per_row} AS {n}" for n, c in ticks.items()],
         *[f"sum({v}) AS {n}" for n, v in sums.items()],
         *[f"min({v}) AS {n}" for n, v in _first_wins(ticks_per_row).items()],
@@ -137,7 +138,7 @@ def segment_partials(stream: DataFrame, ticks_per_row: int = 1,
 
 def resolve_partials(partials: DataFrame) -> DataFrame:
     """Credits what preceded a segment's first change to the phase the segment began in."""
-    earlier = (Window.partitionBy(_SESSION).orderBy(SEGMENT)
+    earlier = (Window.partitionBy(*_KEYS).orderBy(SEGMENT)
                .rowsBetween(Window.unboundedPreceding, -1))
     entered = F.coalesce(F.last("exit_phase", ignorenulls=True).over(earlier), F.lit(0))
 
@@ -145,7 +146,7 @@ def resolve_partials(partials: DataFrame) -> DataFrame:
         return f"{total} + IF(entry_phase = {phase}, {share}, 0L)"
 
     return partials.withColumn("entry_phase", entered).select(
-        _SESSION, SEGMENT, "player_id", "entry_phase",
+        *_KEYS, SEGMENT, "entry_phase",
         "duration_ticks", "blaze_rods_used", "blaze_rods_collected", "blaze_kills",
         "pearls_used", "deaths", *_MILESTONES, *_exprs(
             credit("overworld_ticks", "entry_ticks", 0) + " AS overworld_ticks",
@@ -157,8 +158,7 @@ def resolve_partials(partials: DataFrame) -> DataFrame:
 
 def fold_partials(partials: DataFrame) -> DataFrame:
     """Session totals from segment partials; milestones that never happened are null."""
-    return resolve_partials(partials).groupBy(_SESSION).agg(*_exprs(
-        "max(player_id) AS player_id",
+    return resolve_partials(partials).groupBy(*_KEYS).agg(*_exprs(
         *[f"sum({n}) AS {n}" for n in _SUMS],
         *[f"min({n}) AS {n}" for n in _FIRST_WINS],
         "max(kill_tick) AS kill_tick"))
@@ -216,13 +216,14 @@ def live_state(stream: DataFrame, ticks_per_row: int = 1, width: int | None = No
     rows = _locally_phased(segments.add_segment(order_calls(stream), "tick", width))
     resolved = resolve_partials(segment_partials(stream, ticks_per_row, width))
     sums = [n for n in _SUMS if n not in ("duration_ticks", "blaze_rods_collected")]
-    before = (f"OVER (PARTITION BY {_SESSION} ORDER BY {SEGMENT} "
+    keys = ", ".join(_KEYS)
+    before = (f"OVER (PARTITION BY {keys} ORDER BY {SEGMENT} "
               "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
-    entry = resolved.select(_SESSION, SEGMENT, "entry_phase", *_exprs(
+    entry = resolved.select(*_KEYS, SEGMENT, "entry_phase", *_exprs(
         *[f"coalesce(sum({n}) {before}, 0L) AS _in_{n}" for n in sums],
         *[f"min({n}) {before} AS _in_{n}" for n in _FIRST_WINS],
         f"max(kill_tick) {before} AS _in_kill_tick"))
-    phased = rows.join(entry, [_SESSION, SEGMENT], "left").withColumn(
+    phased = rows.join(entry, [*_KEYS, SEGMENT], "left").withColumn(
         "_phase", F.coalesce("_phase", "entry_phase"))
     tick = f"IF({_IS_TICK}, {ticks_per_row}L, 0L)"
     contribution = {
@@ -234,13 +235,13 @@ def live_state(stream: DataFrame, ticks_per_row: int = 1, width: int | None = No
         **{n: _PLAIN[n] for n in ("blaze_rods_used", "blaze_kills", "pearls_used", "deaths")},
     }
     # Same clustering as the window above, so this aggregation adds no shuffle.
-    per_tick = phased.groupBy(_SESSION, SEGMENT, "tick").agg(*_exprs(
+    per_tick = phased.groupBy(*_KEYS, SEGMENT, "tick").agg(*_exprs(
         "max_by(_phase, at) AS _phase",
         *[f"max(_in_{n}) AS _in_{n}" for n in (*sums, *_MILESTONES)],
         *[f"sum({contribution[n]}) AS {n}" for n in sums],
         *[f"min({v}) AS {n}" for n, v in _first_wins(ticks_per_row).items()],
         f"max({_kill(ticks_per_row)}) AS kill_tick"))
-    upto = (f"OVER (PARTITION BY {_SESSION}, {SEGMENT} ORDER BY tick "
+    upto = (f"OVER (PARTITION BY {keys}, {SEGMENT} ORDER BY tick "
             "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
     return per_tick.select(
         _SESSION, "tick", labels.phase_name(F.col("_phase")).alias("phase"), *_exprs(

@@ -133,8 +133,8 @@ _TICKED = f"IF(ord % 2 = 0, {_call(RANK_TICK, 'TICK')}, NULL)"
 
 def tracker_stream(tele: DataFrame) -> DataFrame:
     """Tracker calls of every session, in no particular order."""
-    calls = (tele.select("session_id", "tick", "ts",
-                         F.expr(f"inline(array_compact(array({_TICKED}, {_HAPPENED})))")))
+    calls = (tele.select("session_id", "tick", "ts", F.expr(f"inline(array({_TICKED}, {_HAPPENED}))"))
+             .where("kind IS NOT NULL"))
     moved = dimension_changes(tele).selectExpr(
         "session_id", "tick", "ts", f"{RANK_DIMENSION} AS rank", "'DIMENSION' AS kind",
         "dimension AS name", "CAST(NULL AS INT) AS delta")

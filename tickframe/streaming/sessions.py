@@ -101,8 +101,8 @@ def write_partials(stream: DataFrame, path: str, checkpoint: str, late_path: str
 _NEVER = -1
 
 
-def _fresh(player_id: str | None) -> dict:
-    return {"player_id": player_id, "next": 0, "phase": 0, "ended": False, "waiting": {},
+def _fresh() -> dict:
+    return {"next": 0, "phase": 0, "ended": False, "waiting": {},
             "totals": {n: 0 for n in (*_ADDED, *_PHASE_TICKS, "gold_traded", "beds_used")}
             | {n: _NEVER for n in (*_EARLIEST, "kill_tick")}}
 
@@ -139,7 +139,7 @@ def _summarise(gap_ms: int | None):
     numbers = [f for f in _TOTALS.names if f not in ("session_id", "player_id")]
 
     def emit(key: tuple, state: dict) -> pd.DataFrame:
-        row = [key[0], state["player_id"], *[state["totals"][n] for n in numbers]]
+        row = [*key, *[state["totals"][n] for n in numbers]]
         return pd.DataFrame([row], columns=_TOTALS.names)
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], group: GroupState):
@@ -156,8 +156,7 @@ def _summarise(gap_ms: int | None):
         for frame in frames:
             for values in zip(*[frame[c].tolist() for c in frame.columns]):
                 part = {c: _plain(v) for c, v in zip(frame.columns, values)}
-                if state is None:
-                    state = _fresh(part["player_id"])
+                state = state or _fresh()
                 newest = max(newest, int(part.pop("closed_at").timestamp() * 1000))
                 index = part.pop(SEGMENT)
                 if index >= state["next"]:
@@ -188,7 +187,7 @@ def summarise_sessions(partials: DataFrame, lateness: str = "0 seconds",
     """
     ship_package(partials.sparkSession)
     timeout = (GroupStateTimeout.NoTimeout if gap_ms is None else GroupStateTimeout.EventTimeTimeout)
-    return (partials.withWatermark("closed_at", lateness).groupBy("session_id")
+    return (partials.withWatermark("closed_at", lateness).groupBy("session_id", "player_id")
             .applyInPandasWithState(_summarise(gap_ms), _TOTALS, _STATE, "append", timeout))
 
 
