@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
@@ -114,3 +115,18 @@ def test_shared_tables_live_in_the_checkpoint_folder(spark):
     assert shared.shared_folder(spark) == folder
     back = shared.write_shared(spark.range(3), "x")
     assert back.count() == 3 and all(f"{folder}/tickframe/x-" in p for p in back.inputFiles())
+
+
+class _Session:
+    """A session without the shared folder setting."""
+
+    def __init__(self, master):
+        self.sparkContext = type("Context", (), {"master": master, "applicationId": f"app-{master}"})()
+        self.conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})()
+
+
+def test_only_a_local_session_may_do_without_the_setting():
+    local = _Session("local[2]")
+    assert shared.shared_folder(local) == shared.shared_folder(local)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_folder(_Session("yarn"))

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
+_local: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,9 +22,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {_CONF} to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="tickframe-")
-    spark.conf.set(_CONF, folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _local:
+        _local[application] = tempfile.mkdtemp(prefix="tickframe-")
+    return _local[application]
 
 
 def new_shared_path(spark: SparkSession, name: str) -> str:
