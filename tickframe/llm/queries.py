@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickframe.llm import bpe_chunks, packing
+from tickframe.llm import bpe_chunks, classifier, katz, near_dups, packing, quality_rules, token_files, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +26,81 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")))
+
+
+# The windows are numbered rows here; an element list per text would be as slow as it is long.
+QUALITY_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words,
+             list_filter(string_split(t, chr(10)), lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')) AS lines FROM d),
+p AS (SELECT r, unnest(range(1, len(words) - 3)) AS i, words FROM w WHERE len(words) >= 5),
+g AS (SELECT r, i, array_to_string(list_slice(words, i, i + 4), chr(10)) AS win FROM p),
+rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS c FROM g) WHERE c > 1),
+cov AS (SELECT r, count(DISTINCT i + o) AS n FROM rep, (SELECT unnest(range(0, 5)) AS o) GROUP BY r),
+m AS (SELECT w.r, doc_id, len(words)::BIGINT AS n_words,
+             length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+             (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+             (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+             len(lines)::BIGINT AS n_lines,
+             (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZÀÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜ', '')))::BIGINT AS n_capitals,
+             (length(t) - length(replace(t, '!', '')))::BIGINT AS n_marks
+      FROM w LEFT JOIN cov ON w.r = cov.r),
+b AS (SELECT *, ((n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_words)::INT + 4 * (4 * n_symbols > n_words)::INT
+                 + 8 * (n_lines >= 4 AND 2 * n_dup_lines > n_lines)::INT + 16 * (word_chars < 2 * n_words)::INT
+                 + 32 * (word_chars > 30 * n_words)::INT + 64 * (n_words >= 10 AND 2 * n_capitals > word_chars)::INT
+                 + 128 * (n_words >= 10 AND 2 * n_marks > n_words)::INT)::BIGINT AS failed_rules FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals, n_marks, failed_rules,
+       'v1' AS policy, (failed_rules & 3) <> 0 AS base_failed, failed_rules = 0 AS kept FROM b
+"""
+ORACLES["op2_quality_rules"] = QUALITY_SQL
+
+
 @_query
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.round_trip(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op5_url_filter"] = """
+WITH u AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+           FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(verdict, rule, rule_host, rule_path) AS (VALUES
+  ('allow', 'org/', 'org', '/'), ('block', 'example.org/es/', 'example.org', '/es/'),
+  ('block', 'example.org/en/1', 'example.org', '/en/1'), ('allow', 'com/fr/', 'com', '/fr/'), ('block', 'com/de/', 'com', '/de/'))
+SELECT page_id, host, path,
+       (SELECT rule FROM r WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+        ORDER BY length(rule) DESC LIMIT 1) AS rule,
+       coalesce((SELECT verdict FROM r WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+        ORDER BY length(rule) DESC LIMIT 1), 'allow') AS verdict
+FROM p
+"""
+
+
+@_query
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return classifier.score(docs, classifier.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@_query
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
+@_query
+def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
