@@ -12,8 +12,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tickframe.llm.tables import batches_of, map_arrow, texts, training_row
 from tickframe.llm.words import text_bytes
@@ -165,12 +166,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int
     return train([(r["text"], r["y"]) for r in rows])
 
 
-def score(docs: DataFrame, network: Network, modulus: int = 4, held_out: int = 2, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` per row of ``docs``, from all bytes of its text.
-
-    A null or empty text is one chunk of zeros. A null ``doc_id`` stays null and is not held out; other
-    columns are ignored; an empty table gives no rows.
-    """
+def _scored(docs: DataFrame, network: Network, *carried: Column) -> DataFrame:
+    """``doc_id``, what is ``carried``, and ``score``."""
+    source = texts(docs, *carried)
+    names = [c for c in source.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, _BATCH):
@@ -185,9 +184,22 @@ def score(docs: DataFrame, network: Network, modulus: int = 4, held_out: int = 2
                     continue
                 chunks, own = chunks_of(data[bounds[a]:bounds[b]], bounds[a:b + 1] - bounds[a])
                 total[a:b] = np.add.reduceat(logits(network, chunks), np.cumsum(own) - own) / own
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(total, -50, 50))))],
-                                             ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(1 / (1 + np.exp(-np.clip(total, -50, 50))))],
+                                             [*names, "score"])
+
+    return map_arrow(source, run, StructType([*[source.schema[n] for n in names], StructField("score", DoubleType())]))
+
+
+def score(docs: DataFrame, network: Network, modulus: int = 4, held_out: int = 2, threshold: float = THRESHOLD) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` per row of ``docs``, from all bytes of its text.
+
+    A null or empty text is one chunk of zeros. A null ``doc_id`` stays null and is not held out; other
+    columns are ignored; an empty table gives no rows.
+    """
+    return _scored(docs, network).select("doc_id", (~training_row(modulus, held_out)).alias("held_out"), "score",
+                                         F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+
 
-    scored = map_arrow(texts(docs), run, "doc_id long, score double")
-    return scored.select("doc_id", (~training_row(modulus, held_out)).alias("held_out"), "score",
-                         F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+def accepted(docs: DataFrame, network: Network, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, columns as they were."""
+    return _scored(docs, network, F.struct("*").alias("_row")).where(F.col("score") >= threshold).select("_row.*")

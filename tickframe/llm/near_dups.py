@@ -20,9 +20,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tickframe.llm import words
 from tickframe.llm.components import connected_components
+from tickframe.llm.key_filter import key_bitmap, may_match
 from tickframe.llm.tables import batches_of, binary, lists, map_arrow, texts, written
 
 SHINGLE = 5
@@ -43,12 +45,8 @@ _RANDOM = np.random.Generator(np.random.PCG64(987654321))
 _FACTORS = _RANDOM.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_sets(texts_column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending distinct shingle hashes of each text, in a row, and their number per text."""
-    data, bounds = words.text_bytes(texts_column)
-    data = words.lower(data)
-    starts, ends = words.spans(data, bounds)
-    hashes, number = words.shingles(words.hash_spans(data, starts, ends), words.counts_per_text(starts, bounds), size)
+def distinct_sets(hashes: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct values of each run of ``hashes``, in a row, and their number per run."""
     owner = np.repeat(np.arange(len(number)), number)
     order = np.argsort(hashes)
     order = order[np.argsort(owner[order].astype(np.uint16) if len(number) < 1 << 16 else owner[order], kind="stable")]
@@ -59,6 +57,14 @@ def shingle_sets(texts_column: pa.Array, size: int) -> tuple[np.ndarray, np.ndar
     return hashes, np.bincount(owner, minlength=len(number)).astype(np.int64)
 
 
+def shingle_sets(texts_column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct shingle hashes of each text, in a row, and their number per text."""
+    data, bounds = words.text_bytes(texts_column)
+    data = words.lower(data)
+    starts, ends = words.spans(data, bounds)
+    return distinct_sets(*words.shingles(words.hash_spans(data, starts, ends), words.counts_per_text(starts, bounds), size))
+
+
 def vertex_of(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """A 64-bit name of each set, equal for equal sets."""
     out = np.zeros(len(sizes), np.uint64)
@@ -319,7 +325,9 @@ def confirm(members: DataFrame, percent: int = PERCENT, cluster: int = CLUSTER)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, **options) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept``: one row per row of ``docs``.
+    """``doc_id, n_shingles, vertex, component_id, kept``: one row per row of ``docs``.
+
+    ``vertex`` names the shingle set of the text; it is null where the row is linked with nothing.
 
     Documents are linked where 100 times the shingles in common reach ``percent`` times those of either.
     ``component_id`` is the least ``doc_id`` reachable, ``kept`` marks its document. Rows that share a
@@ -349,5 +357,38 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     names = vertices.select("vertex", "first_id").join(least, "vertex", "left").select(
         "vertex", F.coalesce("component_id", "first_id").alias("component_id"))
     out = rows.drop("signature").join(names, "vertex", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id",
+    return out.select("doc_id", "n_shingles", "vertex", "component_id",
                       F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, **options) -> DataFrame:
+    """``docs`` with one row of each component, that of the least ``doc_id``; columns as they were.
+
+    Rows that repeat a ``doc_id`` with the same words count as copies. Only rows whose ``doc_id`` loses something
+    are shuffled.
+    """
+    judged = written(near_duplicates(docs, shingle, percent, **options).where("vertex IS NOT NULL"), "judged")
+    gone = judged.where(~F.col("kept")).select("doc_id", "vertex")
+    twice = judged.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    bitmap = key_bitmap(gone.select("doc_id").unionByName(twice))
+    schema = docs.schema
+
+    def split(touched: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column("doc_id")
+                hit = may_match(bitmap.value, ids.fill_null(0).cast(pa.int64()).to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(hit == touched))
+        return run
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_of(batches, _BATCH):
+            items, sizes = shingle_sets(batch.column("text"), shingle)
+            yield batch.append_column("_vertex", pa.array(vertex_of(items, sizes), mask=sizes == 0))
+
+    named = map_arrow(map_arrow(docs, split(True), schema), name, StructType([*schema.fields, StructField("_vertex", LongType())]))
+    # Without words there is nothing to be a copy of; such rows all stay.
+    wordless = named.where("_vertex IS NULL").drop("_vertex")
+    gone = gone.select(F.col("doc_id").alias("_gone"), F.col("vertex").alias("_its")).distinct()
+    left = named.where("_vertex IS NOT NULL").join(gone, (F.col("doc_id") == F.col("_gone")) & (F.col("_vertex") == F.col("_its")), "left_anti")
+    return map_arrow(docs, split(False), schema).unionByName(wordless).unionByName(left.dropDuplicates(["doc_id", "_vertex"]).drop("_vertex"))

@@ -68,17 +68,18 @@ def _windows(words: Column, join: bool) -> Column:
                        else F.xxhash64(F.slice(words, i, WINDOW)))
 
 
-def ledger(docs: DataFrame) -> DataFrame:
+def ledger(docs: DataFrame, *carried: Column) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, measurements and ``failed_rules`` (bits in rule order).
 
     A null text has no words; a null ``doc_id`` stays null; repeated rows give repeated rows; other columns
-    are ignored. Words are runs of characters other than space and U+0009-U+000D.
+    are ignored, except those in ``carried``. Words are runs of characters other than space and U+0009-U+000D.
 
     Words in repeated windows: a text whose windows all have different hashes has none. In the others the
     windows themselves are sorted with their places, and each repeated one adds the words that the
     next repeated one does not cover.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"), *carried)
+    names = base.columns[2:]
     df = _measured(base).withColumn("_hashes", _windows(F.col("_words"), join=False))
     repeats = F.coalesce(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), F.lit(False))
     sorted_windows = F.sort_array(F.transform(_windows(F.col("_words"), join=True),
@@ -102,7 +103,12 @@ def ledger(docs: DataFrame) -> DataFrame:
         total = total.bitwiseOR(bit)
     return df.withColumn("failed_rules", total).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_marks",
-        "failed_rules")
+        "failed_rules", *names)
+
+
+def accepted(docs: DataFrame, policy: str = POLICY) -> DataFrame:
+    """The rows of ``docs`` that a policy keeps, columns as they were."""
+    return apply_policy(ledger(docs, F.struct("*").alias("_row")), policy).where("kept").select("_row.*")
 
 
 def apply_policy(rows: DataFrame, policy: str = POLICY) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tickframe.llm import bpe_chunks, classifier, katz, near_dups, packing, quality_rules, token_files, url_filter
+from tickframe.llm import bpe_chunks, classifier, katz, near_dups, packing, passages, quality_rules, token_files, top_k, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,9 +97,20 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score(docs, classifier.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@_query
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return top_k.search(docs, docs.where(F.col("doc_id") % 20 == 0))
+
+
+@_query
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeats(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dups.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"), shingle=4).drop("vertex")
 
 
 @_query

@@ -12,7 +12,19 @@ from pyspark.sql import functions as F
 from tickframe.runtime import ship_package
 from tickframe.sinks.shared import write_shared
 
-__all__ = ["texts", "written", "map_arrow", "batches_of", "binary", "lists", "training_row", "write_shared"]
+
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+    """Rows of each ``bucket`` of a partition that is sorted by it."""
+    bucket, rows = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["bucket"] != bucket and rows:
+                yield bucket, rows
+                rows = []
+            bucket = row["bucket"]
+            rows.append(row)
+    if rows:
+        yield bucket, rows
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 _POSITIONS = 32
+_SPANS = 100_000
 _TABLE = np.random.Generator(np.random.PCG64(20240601)).integers(
     0, 1 << 64, (_POSITIONS, 256), np.uint64, endpoint=False).ravel()
 _SPACE = np.zeros(256, bool)
@@ -56,15 +57,23 @@ def spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of each span; spans ascend and do not overlap."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+    hashes = np.zeros(len(starts), np.uint64)
+    # A few spans at a time: the work arrays are eight times the size of the bytes.
+    for a in range(0, len(starts), _SPANS):
+        hashes[a:a + _SPANS] = _hash_some(data, starts[a:a + _SPANS], ends[a:a + _SPANS])
+    return hashes
+
+
+def _hash_some(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     sizes = ends - starts
     upto = np.cumsum(sizes)
     first = upto - sizes
     place = np.arange(upto[-1], dtype=np.int64)
-    at = place - np.repeat(first, sizes)
-    slot = (at & (_POSITIONS - 1)) << 8
-    slot += data[place + np.repeat(starts - first, sizes)]
+    slot = place - np.repeat(first, sizes)
+    slot &= _POSITIONS - 1
+    slot <<= 8
+    place += np.repeat(starts - first, sizes)
+    slot += data[place]
     filled = sizes > 0
     hashes = np.zeros(len(starts), np.uint64)
     if filled.any():
