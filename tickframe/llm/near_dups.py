@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -40,6 +40,7 @@ CLUSTER = 256  # vertices whose sets are compared in one task
 # 64 functions would be 0.4; a pair is met in many trees but always with the same signatures.
 LEAST_AGREEING = 0.5
 _BATCH = 1 << 20
+_COLUMNS = 4096
 
 _RANDOM = np.random.Generator(np.random.PCG64(987654321))
 _FACTORS = _RANDOM.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -140,24 +141,6 @@ def _branched(large: DataFrame, functions: int, branches: int) -> DataFrame:
     return map_arrow(large.select("node", "vertex", "signature"), run, "node long, vertex long, signature binary")
 
 
-class Forest:
-    """Union-find over 0..n-1."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
 def similar_forest(marks: np.ndarray, least: float) -> list[tuple[int, int]]:
     """A spanning forest of the pairs whose signatures agree on ``least`` of the functions.
 
@@ -205,7 +188,8 @@ def _forests(members: DataFrame, functions: int, least: float) -> DataFrame:
         if len(kept_nodes):
             yield edges(kept_nodes, kept_ids, kept_marks)
 
-    ordered = members.select("node", "vertex", "signature").repartition("node").sortWithinPartitions("node", "vertex")
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = members.select("node", "vertex", "signature").repartition(parts, "node").sortWithinPartitions("node", "vertex")
     return map_arrow(ordered, run, "a long, b long")
 
 
@@ -222,6 +206,8 @@ def candidate_edges(vertices: DataFrame, functions: int = FUNCTIONS, trees: int
     members = written(_counted(_nodes(vertices, functions, trees, depth), []).join(vertices.select("vertex", "signature"), "vertex"),
                       "nodes")
     found = _forests(members.where(F.col("n") <= node), functions, least)
+    if members.where(F.col("n") > node).isEmpty():
+        return found.distinct()
     large = _counted(_branched(members.where(F.col("n") > node), functions, branches), ["signature"])
     found = found.unionByName(_forests(large.where(F.col("n") <= node), functions, least))
     dense = large.where(F.col("n") > node)
@@ -248,43 +234,67 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def confirmed_forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of all links among ``sets``: pairs already joined by others are not compared."""
-    n = len(sets)
-    forest, out = Forest(n), []
-    by_size = sorted(range(n), key=lambda i: len(sets[i]))
-    for k, i in enumerate(by_size):
-        for j in by_size[k + 1:]:
-            if 100 * len(sets[i]) < percent * len(sets[j]):
-                break
-            if forest.root(i) != forest.root(j) and linked(sets[i], sets[j], percent):
-                forest.join(i, j)
-                out.append((i, j))
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Size of the intersection of every two sets, by products of their incidence matrices."""
+    sizes = [len(s) for s in sets]
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    shared = times[column] > 1  # an item of one set only is in no intersection
+    row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.diag(np.array(sizes, np.float32))
+    np.fill_diagonal(out, 0)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+        a, b = np.searchsorted(column, [first, first + _COLUMNS])
+        part = np.zeros((len(sets), _COLUMNS), np.float32)
+        part[row[a:b], column[a:b] - first] = 1
+        out += part @ part.T
     return out
 
 
-def _confirm_small(members: DataFrame, percent: int) -> DataFrame:
-    """Links ``a, b`` within clusters that fit one task; rows hold ``cluster, vertex, items``."""
+def confirmed_labels(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """For each set the first one of its component of links."""
+    n = len(sets)
+    labels = np.arange(n)
+    if n < 3:
+        if n == 2 and linked(sets[0], sets[1], percent):
+            labels[1] = 0
+        return labels
+    common, sizes = intersections(sets), np.array([len(s) for s in sets], np.float64)
+    links = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
+    for a in range(n):
+        for label in np.unique(labels[links[a]]).tolist():
+            if label != labels[a]:
+                low, high = min(label, labels[a]), max(label, labels[a])
+                labels[labels == high] = low
+    return labels
+
+
+def _confirm_groups(members: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """Per group of ``keys``, ``a, b``: each vertex but the first of its component, with that first one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cluster, ids, sets = None, [], []
+        group, ids, sets = None, [], []
 
         def links() -> pa.RecordBatch:
-            pairs = confirmed_forest(sets, percent) if len(ids) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in pairs], pa.int64()),
-                                               pa.array([ids[j] for _, j in pairs], pa.int64())], ["a", "b"])
+            labels = confirmed_labels(sets, percent) if ids else np.zeros(0, np.int64)
+            pairs = [(ids[label], ids[i]) for i, label in enumerate(labels.tolist()) if i != label and ids[i] != ids[label]]
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for c, v, s in zip(batch.column("cluster").to_pylist(), batch.column("vertex").to_pylist(), batch.column("items").to_pylist()):
-                if c != cluster:
+            names = list(zip(*[batch.column(k).to_pylist() for k in keys]))
+            for g, v, s in zip(names, batch.column("vertex").to_pylist(), batch.column("items").to_pylist()):
+                if g != group:
                     yield links()
-                    cluster, ids, sets = c, [], []
+                    group, ids, sets = g, [], []
                 ids.append(v)
                 sets.append(np.frombuffer(s, np.uint64))
         yield links()
 
-    return map_arrow(members.select("cluster", "vertex", "items").repartition("cluster").sortWithinPartitions("cluster", "vertex"),
-                     run, "a long, b long")
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = members.select(*keys, "vertex", "items").repartition(parts, *keys).sortWithinPartitions(*keys, "vertex")
+    return map_arrow(ordered, run, "a long, b long")
 
 
 def _confirm_pairs(pairs: DataFrame, percent: int) -> DataFrame:
@@ -299,29 +309,37 @@ def _confirm_pairs(pairs: DataFrame, percent: int) -> DataFrame:
     return map_arrow(pairs, run, "a long, b long")
 
 
-def confirm(members: DataFrame, percent: int = PERCENT, cluster: int = CLUSTER) -> DataFrame:
-    """Links that connect exactly the vertices of ``members`` (``cluster, vertex, items``) that full sets connect.
+def _numbers(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
 
-    Clusters above ``cluster`` vertices are first compared with one anchor. What the anchor does not
-    link is compared with all vertices of its cluster; the anchor's own need no comparison with each other.
-    """
-    sized = members.join(members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.min("vertex").alias("anchor")), "cluster")
-    small = _confirm_small(sized.where(F.col("n") <= cluster), percent)
-    large = sized.where(F.col("n") > cluster)
-    # The anchor is copied once per block of its cluster, so that no task gets a whole cluster.
+
+def _confirm_large(large: DataFrame, percent: int, cluster: int) -> DataFrame:
+    """Links of clusters of more than one task's size: first with one anchor, copied to every block of the
+    cluster, then of what the anchor does not link with all, block against block."""
     blocks = F.ceil(F.col("n") / cluster).cast("long")
     rows = large.where(F.col("vertex") != F.col("anchor")).withColumn("block", F.pmod(F.xxhash64("vertex"), blocks).cast("long"))
     anchors = (large.where(F.col("vertex") == F.col("anchor"))
-               .select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"),
-                       F.col("items").alias("items_a")))
+               .select("cluster", _numbers(blocks).alias("block"), F.col("items").alias("items_a")))
     star = written(_confirm_pairs(rows.join(anchors, ["cluster", "block"]).select(
         F.col("anchor").alias("a"), F.col("vertex").alias("b"), "items_a", F.col("items").alias("items_b")), percent), "star")
     loose = rows.join(star.select(F.col("b").alias("vertex")), "vertex", "left_anti")
-    queries = loose.select("cluster", F.col("vertex").alias("a"), F.col("items").alias("items_a"),
-                           F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
-    cross = _confirm_pairs(queries.join(rows.select("cluster", "block", F.col("vertex").alias("b"), F.col("items").alias("items_b")),
-                                        ["cluster", "block"]).where(F.col("a") != F.col("b")).select("a", "b", "items_a", "items_b"), percent)
-    return small.unionByName(star).unionByName(cross)
+    ways = loose.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / cluster).cast("long").alias("ways"))
+    asking = loose.join(ways, "cluster").select(
+        "cluster", F.pmod(F.xxhash64("vertex", F.lit(5)), F.col("ways")).alias("way"), _numbers(blocks).alias("block"), "vertex", "items")
+    asked = rows.join(ways, "cluster").select("cluster", _numbers(F.col("ways")).alias("way"), "block", "vertex", "items")
+    return star.unionByName(_confirm_groups(asking.unionByName(asked), ["cluster", "way", "block"], percent))
+
+
+def confirm(members: DataFrame, percent: int = PERCENT, cluster: int = CLUSTER) -> DataFrame:
+    """``vertex, component`` of the vertices of ``members`` (``cluster, vertex, items``) that full sets link with others."""
+    sized = members.join(members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.min("vertex").alias("anchor")), "cluster")
+    found = written(_confirm_groups(sized.where(F.col("n") <= cluster), ["cluster"], percent), "links")
+    small = found.select(F.col("b").alias("vertex"), F.col("a").alias("component")).unionByName(
+        found.select(F.col("a").alias("vertex"), F.col("a").alias("component")).distinct())
+    large = sized.where(F.col("n") > cluster)
+    if large.isEmpty():
+        return small
+    return small.unionByName(connected_components(_confirm_large(large, percent, cluster)))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, **options) -> DataFrame:
@@ -351,7 +369,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     # Only documents in clusters are read again; rows that repeat one count once.
     again = texts(docs).join(wanted.withColumnRenamed("first_id", "doc_id"), "doc_id").select("cluster", "vertex", "text")
     members = written(map_arrow(again, sets, "cluster long, vertex long, items binary").dropDuplicates(["vertex"]), "sets")
-    found = connected_components(confirm(members, percent))
+    found = confirm(members, percent)
     least = found.join(vertices.select("vertex", "first_id"), "vertex")
     least = least.join(least.groupBy("component").agg(F.min("first_id").alias("component_id")), "component").select("vertex", "component_id")
     names = vertices.select("vertex", "first_id").join(least, "vertex", "left").select(

@@ -167,7 +167,7 @@ def repeats(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, percent: int
 
     again = map_arrow(texts(docs).where("doc_id IS NOT NULL"), sets_of, "vertex long, items binary").dropDuplicates(["vertex"])
     members = written(again.join(clusters, "vertex"), "paragraphs")
-    joined = written(connected_components(confirm(members, percent)), "classes")
+    joined = written(confirm(members, percent), "classes")
     keys = written(equal.select("key").unionByName(joined.select(F.col("vertex").alias("key"))), "keys")
     bitmap = key_bitmap(keys)
 
