@@ -19,9 +19,9 @@ START = dt.datetime(2024, 1, 1)
 
 def land(spark, folder, calls, chunk, ended):
     """One file per closed chunk."""
-    out = [(*c, chunk, START + dt.timedelta(seconds=max(c[2], 0))) for c in calls]
+    out = [(*c, chunk, START + dt.timedelta(seconds=max(c[2], 0)), 1000 * chunk + calls.index(c)) for c in calls]
     if ended:
-        out.append((calls[0][0], calls[0][1], calls[-1][2], 7, "END", None, None, chunk, out[-1][-1]))
+        out.append((calls[0][0], calls[0][1], calls[-1][2], 7, "END", None, None, chunk, out[-1][-2], 1000 * chunk + 999))
     (spark.createDataFrame(out, streaming.STREAM).coalesce(1).write.mode("append").parquet(str(folder)))
 
 
@@ -102,11 +102,13 @@ def test_duplicates_within_the_watermark_go_away(spark, tmp_path):
     row = ("s", "p", 3, 0, "TICK", None, None)
     land(spark, tmp_path / "in", [row, row], 0, False)
     land(spark, tmp_path / "in", [row, ("s", "p", 4, 0, "TICK", None, None)], 0, False)
+    equal = [(*row, 0, START, 7), (*row, 0, START, 8)]  # two equal calls of one tick
+    spark.createDataFrame(equal, streaming.STREAM).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = streaming.drop_duplicates(streaming.read_closed_chunks(spark, str(tmp_path / "in")), "1 hour")
     q = (stream.writeStream.format("parquet").option("path", str(tmp_path / "out"))
          .option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start())
     q.awaitTermination()
-    assert sorted(r.tick for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [3, 4]
+    assert sorted(r.tick for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [3, 3, 3, 4]
 
 
 def test_tumbling_windows(spark, tmp_path):

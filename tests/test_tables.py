@@ -83,6 +83,10 @@ def test_manifests_and_ledgers(spark, tmp_path):
     ticks = spark.createDataFrame([("s-1", 0, 50)], "session_id string, chunk_index int, timestamp_ms long")
     at = chunks.absolute_time(ticks, found).first()
     assert at.at_ms == 1050 and at["at"].year == 1970
+    stray = spark.createDataFrame([("s-1", 7, 50), ("s-1", None, 60), ("s-2", 0, 70)], ticks.schema)
+    assert {(r.timestamp_ms, r.at_ms) for r in chunks.absolute_time(ticks.union(stray), found).collect()} == {
+        (50, 1050), (50, None), (60, None), (70, None)}
+    assert chunks.without_manifest(ticks.union(stray), found).count() == 3
 
 
 def test_actions_and_rejects(spark, tmp_path):
@@ -130,3 +134,5 @@ def test_only_a_local_session_may_do_without_the_setting():
     assert shared.shared_folder(local) == shared.shared_folder(local)
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared.shared_folder(_Session("yarn"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_folder(_Session("local-cluster[2,1,1024]"))

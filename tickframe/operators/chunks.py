@@ -109,13 +109,21 @@ def explode_ledger(ledgers: DataFrame) -> DataFrame:
 
 
 def absolute_time(ticks: DataFrame, manifests: DataFrame) -> DataFrame:
-    """Wall-clock time of a tick (P20, J9): its clock restarts with every chunk."""
+    """Wall-clock time of a tick (P20, J9): its clock restarts with every chunk.
+
+    Every tick stays; without a manifest its time is null (see ``without_manifest``).
+    """
     starts = manifests.select("session_id", "chunk_index", "start_time_ms")
     at = F.col("start_time_ms") + F.col("timestamp_ms")
-    return (ticks.join(starts, ["session_id", "chunk_index"])
+    return (ticks.join(starts, ["session_id", "chunk_index"], "left")
             .select(*ticks.columns, at.alias("at_ms"), F.timestamp_millis(at).alias("at")))
 
 
+def without_manifest(ticks: DataFrame, manifests: DataFrame) -> DataFrame:
+    """Ticks whose chunk has no manifest."""
+    return ticks.join(manifests.select("session_id", "chunk_index"), ["session_id", "chunk_index"], "left_anti")
+
+
 def latest(sessions: DataFrame, by: str = "modified_at", n: int = 1) -> DataFrame:
     """Newest sessions first (O1); the id settles ties."""
     return sessions.orderBy(F.col(by).desc(), F.col("session_id")).limit(n)

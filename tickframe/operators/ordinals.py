@@ -58,11 +58,14 @@ def number_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name
     numbered = write_shared(placed.mapInArrow(_count_within(keys), schema), "numbered")
 
     sizes = numbered.groupBy(*keys, _PART).agg((F.max(_LOCAL) + 1).alias("_size"))
+    # Most keys lie in one partition and carry nothing on.
+    spread = (sizes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_parts")).where("_parts > 1").drop("_parts"))
+    sizes = sizes.join(spread, list(keys), "left_semi")
     before = (Window.partitionBy(*keys).orderBy(_PART)
               .rowsBetween(Window.unboundedPreceding, -1))
     carried = (sizes.withColumn("_before", F.sum("_size").over(before))
                .where(F.col("_before").isNotNull()).drop("_size"))
-    carried = write_shared(carried.coalesce(1), "numbered_carry")
+    carried = write_shared(carried, "numbered_carry")
     # At most one row per range partition: only its first key can have begun earlier.
     return (numbered.join(F.broadcast(carried), [*keys, _PART], "left")
             .select(*rows.columns,

@@ -127,10 +127,11 @@ STREAM_CHUNK_TICKS = 8
 
 def landing_rows(tele):
     """Tracker calls with their chunk, plus the END call of every session."""
-    stream = W.tracker_stream(tele)
+    stream = W.tracker_stream(tele, numbered=True)
     ends = tele.groupBy("session_id").agg(F.max("tick").alias("tick"), F.max("ts").alias("ts")).select(
         "session_id", "tick", "ts", F.lit(3).alias("rank"), F.lit("END").alias("kind"),
         F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("delta"),
+        (8 * F.col("tick") + 7).cast("long").alias("call_no"),
         W.player_id(F.col("session_id")).alias("player_id"))
     chunk = F.call_function("div", F.col("tick"), F.lit(STREAM_CHUNK_TICKS)).cast("int")
     return (stream.unionByName(ends).withColumn(streaming.CHUNK, chunk)
@@ -191,7 +192,7 @@ def stream_windows(spark, sf_dir):
 
 
 @query("stream_deduplicated", f"""WITH {W.STREAM_SQL}
-SELECT DISTINCT session_id, tick, rank, kind, name, delta FROM stream""")
+SELECT session_id, tick, rank, kind, name, delta FROM stream""")
 def stream_deduplicated(spark, sf_dir):
     """Calls delivered twice and passed on once."""
     rows = landing_rows(W.telemetry(spark, sf_dir)).where(F.col("kind") != "END")

@@ -32,22 +32,22 @@ def dimension_codes(spark, sf_dir):
 
 
 @query("death_edges", f"""{_T},
-e AS (SELECT *, k % 10 <> 0 AS alive FROM tele WHERE event_type = 'error')
+e AS (SELECT *, NOT (event_type = 'error' AND k % 10 = 0) AS alive FROM tele)
 SELECT session_id, ord, tick FROM (SELECT *, lag(alive, 1, true) {_W} AS was FROM e)
 WHERE was AND NOT alive""")
 def death_edges(spark, sf_dir):
-    seen = (W.telemetry(spark, sf_dir).where(F.col("event_type") == "error")
-            .select("session_id", "ord", "tick", (F.col("k") % 10 != 0).alias("alive")))
+    died = (F.col("event_type") == "error") & (F.col("k") % 10 == 0)
+    seen = W.telemetry(spark, sf_dir).select("session_id", "ord", "tick", (~died).alias("alive"))
     return edges.death_edges(seen, order="ord").select("session_id", "ord", "tick")
 
 
 @query("sleep_onsets", f"""{_T},
-e AS (SELECT *, k % 4 = 0 AS sleeping FROM tele WHERE event_type = 'view')
+e AS (SELECT *, event_type = 'view' AND k % 4 = 0 AS sleeping FROM tele)
 SELECT session_id, ord, tick FROM (SELECT *, lag(sleeping, 1, false) {_W} AS was FROM e)
 WHERE sleeping AND NOT was""")
 def sleep_onsets(spark, sf_dir):
-    seen = (W.telemetry(spark, sf_dir).where(F.col("event_type") == "view")
-            .select("session_id", "ord", "tick", (F.col("k") % 4 == 0).alias("sleeping")))
+    sleeping = (F.col("event_type") == "view") & (F.col("k") % 4 == 0)
+    seen = W.telemetry(spark, sf_dir).select("session_id", "ord", "tick", sleeping.alias("sleeping"))
     return edges.sleep_onsets(seen, order="ord").select("session_id", "ord", "tick")
 
 
@@ -77,17 +77,17 @@ def equipment_changes(spark, sf_dir):
 
 
 @query("boss_health_changes", f"""{_T},
-b AS (SELECT *, round(value, 0) / 100 AS percent FROM tele WHERE event_type IN ('view', 'click'))
+b AS (SELECT *, round(value, 0) / 100 AS percent FROM tele)
 SELECT session_id, ord, tick, percent,
   least(greatest(CAST(trunc(percent * 100) AS INTEGER), 0), 10000) AS health_fixed
 FROM (SELECT *, lag(percent, 1, -1.0) {_W} AS was FROM b WHERE event_type = 'view')
 WHERE percent <> was""")
 def boss_health_changes(spark, sf_dir):
-    """Bars of ``click`` rows belong to another boss and are passed over."""
+    """Bars of ``click`` rows belong to another boss and are passed over; other rows show no bar."""
     kind = F.col("event_type")
-    bars = W.telemetry(spark, sf_dir).where(kind.isin("view", "click")).select(
+    bars = W.telemetry(spark, sf_dir).select(
         "session_id", "ord", "tick", (F.round("value", 0) / 100).alias("percent"),
-        F.when(kind == "view", "the ENDER dragon").otherwise("Wither").alias("bar_name"))
+        F.when(kind == "view", "the ENDER dragon").when(kind == "click", "Wither").alias("bar_name"))
     return edges.boss_health_changes(bars, order="ord").drop("bar_name")
 
 

@@ -131,14 +131,18 @@ _HAPPENED = f"""CASE
 _TICKED = f"IF(ord % 2 = 0, {_call(RANK_TICK, 'TICK')}, NULL)"
 
 
-def tracker_stream(tele: DataFrame) -> DataFrame:
-    """Tracker calls of every session, in no particular order."""
-    calls = (tele.select("session_id", "tick", "ts", F.expr(f"inline(array({_TICKED}, {_HAPPENED}))"))
+def tracker_stream(tele: DataFrame, numbered: bool = False) -> DataFrame:
+    """Tracker calls of every session, in no particular order; with ``call_no`` if ``numbered``."""
+    calls = (tele.select("session_id", "tick", "ts", "ord", F.expr(f"inline(array({_TICKED}, {_HAPPENED}))"))
              .where("kind IS NOT NULL"))
+    # A tick has one TICK, one DIMENSION and two other calls at most.
+    number = F.expr(f"CASE WHEN rank = {RANK_TICK} THEN 8 * tick ELSE 8 * tick + 2 + ord % 2 END")
+    calls = calls.withColumn("call_no", number.cast("long")).drop("ord")
     moved = dimension_changes(tele).selectExpr(
         "session_id", "tick", "ts", f"{RANK_DIMENSION} AS rank", "'DIMENSION' AS kind",
-        "dimension AS name", "CAST(NULL AS INT) AS delta")
-    return calls.union(moved).withColumn("player_id", player_id(F.col("session_id")))
+        "dimension AS name", "CAST(NULL AS INT) AS delta", "CAST(8 * tick + 1 AS BIGINT) AS call_no")
+    both = calls.unionByName(moved).withColumn("player_id", player_id(F.col("session_id")))
+    return both if numbered else both.drop("call_no")
 
 
 def sessions(tele: DataFrame) -> DataFrame:

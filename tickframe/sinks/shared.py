@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,13 +15,13 @@ _local: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only a local session without that setting falls back to a folder of its own; on a
-    cluster a machine-local folder would lose data with its executor.
+    Only a session whose executors are its own process falls back to a folder of its own; with
+    others (a local cluster too) a machine-local folder would lose data with its executor.
     """
     folder = spark.conf.get(_CONF, None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError(f"set {_CONF} to a folder all executors share")
     application = spark.sparkContext.applicationId
     if application not in _local:

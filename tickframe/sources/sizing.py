@@ -7,8 +7,8 @@ import math
 from pyspark.sql import SparkSession
 
 TASK_BYTES = 128 << 20
-MAX_PARTITIONS = 100_000
 _INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+_ours: dict[str, str] = {}
 
 
 def input_bytes(spark: SparkSession, path: str) -> int:
@@ -19,7 +19,7 @@ def input_bytes(spark: SparkSession, path: str) -> int:
 
 
 def partitions_for(size: int, configured: int) -> int:
-    return max(configured, min(MAX_PARTITIONS, math.ceil(size / TASK_BYTES)))
+    return max(configured, math.ceil(size / TASK_BYTES))
 
 
 def size_shuffles(spark: SparkSession, path: str) -> None:
@@ -28,10 +28,13 @@ def size_shuffles(spark: SparkSession, path: str) -> None:
     The fixed default of ``spark.sql.shuffle.partitions`` would give each task of a large job
     far more than fits in memory. Adaptive execution merges partitions that turn out
     small but cannot split an undersized number, so the starting number follows the input.
-    A number somebody has set stays, unless it is one of ours that is too low.
+    A number somebody has set stays; one of ours grows with the largest input read.
     """
     configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
     wanted = partitions_for(input_bytes(spark, path), configured)
     current = spark.conf.get(_INITIAL, None)
+    if current is not None and current != _ours.get(spark.sparkContext.applicationId):
+        return
     if wanted > configured and (current is None or int(current) < wanted):
         spark.conf.set(_INITIAL, str(wanted))
+        _ours[spark.sparkContext.applicationId] = str(wanted)

@@ -25,7 +25,7 @@ from tickframe.schemas import MILESTONE_ADVANCEMENTS, TRACKER
 
 CHUNK = "chunk_index"
 STREAM = T.StructType([*TRACKER.fields, T.StructField(CHUNK, T.IntegerType()),
-                       T.StructField("ts", T.TimestampType())])
+                       T.StructField("ts", T.TimestampType()), T.StructField("call_no", T.LongType())])
 
 _ADDED = ("duration_ticks", "blaze_rods_used", "blaze_rods_collected", "blaze_kills",
           "pearls_used", "deaths")
@@ -48,9 +48,11 @@ def read_closed_chunks(spark: SparkSession, path: str, files_per_batch: int | No
 
 
 def drop_duplicates(stream: DataFrame, lateness: str) -> DataFrame:
-    """Repeated rows within the watermark go away."""
-    keys = ["session_id", "tick", "rank", "kind", "name", "delta"]
-    return stream.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(keys)
+    """Calls delivered again within the watermark go away.
+
+    ``call_no`` is the call's place in its session's log: two equal calls of one tick are two calls.
+    """
+    return stream.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["session_id", "call_no"])
 
 
 def split_late(batch: DataFrame, sealed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -76,6 +78,11 @@ def chunk_partials(rows: DataFrame, ticks_per_row: int = 1) -> DataFrame:
     return segment_partials(rows, ticks_per_row, by=CHUNK, also=("max(ts) AS closed_at",))
 
 
+def _has_batches(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def write_partials(stream: DataFrame, path: str, checkpoint: str, late_path: str | None = None,
                    ticks_per_row: int = 1, **trigger):
     """Starts the first query: closed chunks to partial rows below ``path``.
@@ -85,10 +92,10 @@ def write_partials(stream: DataFrame, path: str, checkpoint: str, late_path: str
     summed go to ``late_path`` instead, when given.
     """
     def save(batch: DataFrame, number: int) -> None:
-        if late_path is not None and number > 0:
+        if late_path is not None and _has_batches(batch.sparkSession, path):
             sealed = (batch.sparkSession.read.option("basePath", path).schema(
                 f"session_id string, {SEGMENT} long, batch int").parquet(path)
-                .where(F.col("batch") < number)
+                .where(F.col("batch") != number)
                 .select("session_id", F.col(SEGMENT).cast("int").alias(CHUNK)))
             batch, late = split_late(batch, sealed)
             late.write.mode("overwrite").parquet(f"{late_path}/batch={number}")
