@@ -27,7 +27,7 @@ OPEN_WINDOWS = 64
 LEAST_CUT = 32
 # Partitions whose leftovers are merged by one task.
 MERGED = 16
-_BATCH = 8 << 20
+_BATCH = 2 << 20
 
 _FIELDS = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
            ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())]
