@@ -78,14 +78,18 @@ def vertex_of(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def signatures(sets: np.ndarray, sizes: np.ndarray, functions: int) -> np.ndarray:
-    """Minwise hashes, one row per set; empty sets have zeros."""
-    out = np.zeros((len(sizes), functions), np.uint32)
+    """Minwise hashes in 16 bits, one row per set; empty sets have zeros.
+
+    Equal minima stay equal; different ones agree with a chance of 2**-16, which only adds candidates.
+    """
+    out = np.zeros((len(sizes), functions), np.uint16)
     filled = sizes > 0
     if filled.any():
         first = (np.cumsum(sizes) - sizes)[filled]
         with np.errstate(over="ignore"):
             for j in range(functions):
-                out[filled, j] = np.minimum.reduceat(((sets * _FACTORS[j]) >> np.uint64(32)).astype(np.uint32), first)
+                least = np.minimum.reduceat(((sets * _FACTORS[j]) >> np.uint64(32)).astype(np.uint32), first)
+                out[filled, j] = (least * np.uint32(0x9E3779B1)) >> np.uint32(16)
     return out
 
 
@@ -118,7 +122,7 @@ def _nodes(vertices: DataFrame, functions: int, trees: int, depth: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = binary(batch.column("signature"), np.uint32)[0].reshape(-1, functions)
+            marks = binary(batch.column("signature"), np.uint16)[0].reshape(-1, functions)
             ids = batch.column("vertex").to_numpy()
             keys = np.stack([_paths(marks, np.full(len(ids), t + 1, np.uint64), t + 1, depth) for t in range(trees)])
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(ids, trees))], ["node", "vertex"])
@@ -131,7 +135,7 @@ def _branched(large: DataFrame, functions: int, branches: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = binary(batch.column("signature"), np.uint32)[0].reshape(-1, functions)
+            marks = binary(batch.column("signature"), np.uint16)[0].reshape(-1, functions)
             ids, parent = batch.column("vertex").to_numpy(), batch.column("node").to_numpy().view(np.uint64)
             keys = np.concatenate([_paths(marks, parent, 1000 + k, 3) for k in range(branches)])
             yield pa.RecordBatch.from_arrays(
@@ -163,7 +167,7 @@ def _forests(members: DataFrame, functions: int, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_ids = kept_nodes = np.zeros(0, np.int64)
-        kept_marks = np.zeros((0, functions), np.uint32)
+        kept_marks = np.zeros((0, functions), np.uint16)
 
         def edges(nodes, ids, marks) -> pa.RecordBatch:
             left, right = [], []
@@ -178,7 +182,7 @@ def _forests(members: DataFrame, functions: int, least: float) -> DataFrame:
         for batch in batches:
             nodes = np.concatenate([kept_nodes, batch.column("node").to_numpy()])
             ids = np.concatenate([kept_ids, batch.column("vertex").to_numpy()])
-            marks = np.concatenate([kept_marks, binary(batch.column("signature"), np.uint32)[0].reshape(-1, functions)])
+            marks = np.concatenate([kept_marks, binary(batch.column("signature"), np.uint16)[0].reshape(-1, functions)])
             if not len(nodes):
                 continue
             last = int(np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]]))[-1])
