@@ -105,8 +105,8 @@ def test_near_equal_paragraphs(spark):
     line = " ".join(f"w{k}" for k in range(80))
     rows = [(1, "head\n" + line), (2, line.replace("w40", "other") + "\ntail of it"), (3, line.replace("w5 ", "p q ")),
             (4, " ".join(f"w{k}" if k < 40 else f"u{k}" for k in range(80))), (None, line), (5, None), (6, ""), (7, line)]
-    # Two changes leave 66 of 87 shingles in common with the line, below 0.8.
-    rows.append((8, line.replace("w5 ", "p q ").replace("w70", "r")))
+    # Two changes leave 66 of 86 shingles in common with the line, below 0.8, and fewer with the others.
+    rows.append((8, line.replace("w20", "q").replace("w70", "r")))
     found = {(r["doc_id"], r["removed"]) for r in passages.repeats(documents(spark, rows)).collect()}
     assert found == {(1, False), (2, True), (3, True), (7, True)}
     left = {(r["doc_id"], r["text"]) for r in passages.removed(documents(spark, rows)).collect()}
