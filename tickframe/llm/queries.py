@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.llm import bpe_chunks, classifier, katz, near_dups, packing, passages, quality_rules, token_files, top_k, url_filter
+from tickframe.llm import bpe_chunks, classifier, katz, near_dups, packing, passages, quality_rules, sentence_pieces, token_files, top_k, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -116,3 +116,8 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.round_trip(table(spark, sf_dir, "documents"))
