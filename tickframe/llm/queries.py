@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.llm import bpe_chunks, classifier, katz, near_dups, packing, passages, quality_rules, sentence_pieces, token_files, top_k, url_filter
+from tickframe.llm import bpe_chunks, classifier, katz, near_dups, packing, passages, phrase_index, quality_rules, sentence_pieces, source_audit, token_files, top_k, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -118,6 +118,69 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_source_audit"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS lang_n FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+langs AS (SELECT lang, count(*)::HUGEINT AS v, sum(lang_n)::HUGEINT AS lang_total FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+totals AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM c GROUP BY lang, source),
+g AS (SELECT d.lang, d.source, coalesce(total, 0) AS total, v, lang_total
+      FROM (SELECT DISTINCT lang, source FROM d) d LEFT JOIN totals USING (lang, source) LEFT JOIN langs USING (lang)),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 5)) // (total + 5 * v) AS p,
+             1 + (1000000000::HUGEINT * (lang_n + 5)) // (lang_total + 5 * v) AS q
+      FROM g JOIN kept USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+         FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+           FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
+@_query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_index.collocations(table(spark, sf_dir, "documents"))
+
+
+# Phrases of each length are joined from numbered words; a long list per text would be slow.
+ORACLES["op12_collocations"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT row_number() OVER () AS piece, lang, s FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS s FROM d)),
+l AS (SELECT piece, lang, regexp_extract_all(s, '[^\x20\x09]+') AS words FROM p),
+w AS (SELECT piece, lang, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM l),
+totals AS (SELECT lang, count(*) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, word AS w1, lead(word, 1) OVER s AS w2, lead(word, 2) OVER s AS w3, lead(word, 3) OVER s AS w4
+      FROM w WINDOW s AS (PARTITION BY piece ORDER BY i)),
+f AS (SELECT lang, list_value(w1) AS ws, count(*) AS f FROM g GROUP BY lang, w1 HAVING count(*) >= 30
+      UNION ALL SELECT lang, list_value(w1, w2), count(*) FROM g WHERE w2 IS NOT NULL GROUP BY lang, w1, w2 HAVING count(*) >= 30
+      UNION ALL SELECT lang, list_value(w1, w2, w3), count(*) FROM g WHERE w3 IS NOT NULL GROUP BY lang, w1, w2, w3 HAVING count(*) >= 30
+      UNION ALL SELECT lang, list_value(w1, w2, w3, w4), count(*) FROM g WHERE w4 IS NOT NULL GROUP BY lang, w1, w2, w3, w4 HAVING count(*) >= 30),
+c AS (SELECT *, unnest(range(1, len(ws))) AS k FROM f WHERE len(ws) > 1),
+cut AS (SELECT c.lang, c.ws, c.f AS a, k, x.f AS l, y.f AS r, ((2000000::HUGEINT * c.f) // (x.f::HUGEINT + y.f))::BIGINT AS score
+        FROM c JOIN f x ON x.lang = c.lang AND x.ws = c.ws[1:k] JOIN f y ON y.lang = c.lang AND y.ws = c.ws[k + 1:]),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) = 1),
+inside AS (SELECT lang, ws[s:s + n - 1] AS ws, max(f) AS around
+           FROM (SELECT lang, ws, f, n, unnest(range(1, len(ws) - n + 2)) AS s FROM (SELECT lang, ws, f, unnest(range(2, len(ws))) AS n FROM f WHERE len(ws) > 2))
+           GROUP BY ALL),
+kept AS (SELECT best.lang, array_to_string(best.ws, ' ') AS phrase, a, l, r, score FROM best LEFT JOIN inside USING (lang, ws)
+         WHERE around IS NULL OR 100 * around < 80 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
+
 @_query
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.round_trip(table(spark, sf_dir, "documents"))
