@@ -45,9 +45,11 @@ def test_payloads_are_not_read_for_packet_lists(spark, tmp_path):
 
 
 def test_telemetry_queries_read_only_their_columns(spark):
-    text = plan(QUERIES["sleep_onsets"](spark, SMALL))
-    assert "EqualTo(event_type,view)" in text
-    assert all("value:double" not in line for line in text.split("\n") if "ReadSchema" in line)
+    sleep = plan(QUERIES["sleep_onsets"](spark, SMALL))
+    assert all("value:double" not in line for line in sleep.split("\n") if "ReadSchema" in line)
+    changes = plan(QUERIES["dimension_changes"](spark, SMALL))
+    assert "EqualTo(event_type,signup)" in changes
+    assert all("value:double" not in line for line in changes.split("\n") if "ReadSchema" in line)
 
 
 def test_only_the_carry_of_the_numbering_is_broadcast_by_hint(spark):

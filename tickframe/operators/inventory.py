@@ -53,6 +53,29 @@ def item_deltas(totals: DataFrame, ticks: DataFrame, reset_every: int | None = N
                     (F.col("count") - F.col("prev_count")).alias("delta")))
 
 
+def observed_deltas(totals: DataFrame, ticks: DataFrame, reset_every: int | None = None, width: int | None = None) -> DataFrame:
+    """``item_deltas`` for sessions with holes: compared is the snapshot of the last tick observed.
+
+    ``ticks`` (session_id, tick) lists the observed ticks; one without items is an empty snapshot, a missing
+    one is no snapshot. A count is written for its own tick and as the previous count of the tick that follows in
+    ``ticks``, which comes from a table of successors by segment. ``reset_every`` forgets the snapshot where a
+    multiple lies between both.
+    """
+    after = segments.following(ticks.select(*_TICK).distinct(), ["session_id"], "tick", "_next", width)
+    kept = F.col("_next").isNotNull()
+    if reset_every is not None:
+        kept = kept & (F.call_function("div", F.col("_next"), F.lit(reset_every)) == F.call_function("div", F.col("tick"), F.lit(reset_every)))
+    none = F.lit(0).cast("long")
+    now = F.struct(F.col("tick"), F.col("count"), none.alias("prev_count"))
+    then = F.when(kept, F.struct(F.col("_next").alias("tick"), none.alias("count"), F.col("count").alias("prev_count")))
+    both = (totals.join(after, _TICK).select("session_id", "item", F.explode(F.array_compact(F.array(now, then))).alias("s"))
+            .select("session_id", "item", "s.*"))
+    return (both.groupBy("session_id", "tick", "item")
+            .agg(F.sum("count").alias("count"), F.sum("prev_count").alias("prev_count"))
+            .where(F.col("count") != F.col("prev_count"))
+            .select("session_id", "tick", "item", "count", "prev_count", (F.col("count") - F.col("prev_count")).alias("delta")))
+
+
 def repair_deltas(deltas: DataFrame, keys: Sequence[str] = ("session_id", "item"),
                   width: int | None = None) -> DataFrame:
     """Deltas of chunked logs without the phantom gains at chunk starts (Q3).

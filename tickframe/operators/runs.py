@@ -60,8 +60,8 @@ _PLAIN = {
 
 
 def _stamp(condition: str, ticks_per_row: int) -> str:
-    """Ticks counted so far at the calls that stamp a milestone, else null."""
-    return f"IF({condition}, (tick + 1) * {ticks_per_row}, NULL)"
+    """Ticks counted so far in the segment at the calls that stamp a milestone, else null."""
+    return f"IF({condition}, _counted * {ticks_per_row}, NULL)"
 
 
 def _first_wins(ticks_per_row: int) -> dict[str, str]:
@@ -93,9 +93,10 @@ def attribute_phase(stream: DataFrame, width: int | None = None) -> DataFrame:
 
 
 def _locally_phased(segmented: DataFrame) -> DataFrame:
-    """Adds the phase set so far within the segment; null before its first change."""
+    """Adds the phase set so far within the segment, null before its first change, and the ticks counted so far."""
     w = segments.segment_window(_KEYS, "at").rowsBetween(Window.unboundedPreceding, 0)
-    return segmented.withColumn("_phase", F.last(F.expr(_NEW_PHASE), ignorenulls=True).over(w))
+    return segmented.withColumns({"_phase": F.last(F.expr(_NEW_PHASE), ignorenulls=True).over(w),
+                                  "_counted": F.count_if(F.expr(_IS_TICK)).over(w)})
 
 
 def segment_partials(stream: DataFrame, ticks_per_row: int = 1,
@@ -137,18 +138,23 @@ def segment_partials(stream: DataFrame, ticks_per_row: int = 1,
 
 
 def resolve_partials(partials: DataFrame) -> DataFrame:
-    """Credits what preceded a segment's first change to the phase the segment began in."""
+    """Credits what preceded a segment's first change to the phase the segment began in.
+
+    Milestones are counted from the session's start then: a segment's own ticks follow those of earlier ones.
+    """
     earlier = (Window.partitionBy(*_KEYS).orderBy(SEGMENT)
                .rowsBetween(Window.unboundedPreceding, -1))
     entered = F.coalesce(F.last("exit_phase", ignorenulls=True).over(earlier), F.lit(0))
+    counted = F.coalesce(F.sum("duration_ticks").over(earlier), F.lit(0))
 
     def credit(total: str, share: str, phase: int) -> str:
         return f"{total} + IF(entry_phase = {phase}, {share}, 0L)"
 
-    return partials.withColumn("entry_phase", entered).select(
-        *_KEYS, SEGMENT, "entry_phase",
+    return partials.withColumns({"entry_phase": entered, "entry_count": counted}).select(
+        *_KEYS, SEGMENT, "entry_phase", "entry_count",
         "duration_ticks", "blaze_rods_used", "blaze_rods_collected", "blaze_kills",
-        "pearls_used", "deaths", *_MILESTONES, *_exprs(
+        "pearls_used", "deaths", *_exprs(
+            *[f"{n} + entry_count AS {n}" for n in _MILESTONES],
             credit("overworld_ticks", "entry_ticks", 0) + " AS overworld_ticks",
             credit("nether_ticks", "entry_ticks", _NETHER) + " AS nether_ticks",
             credit("end_ticks", "entry_ticks", _END) + " AS end_ticks",
@@ -219,12 +225,13 @@ def live_state(stream: DataFrame, ticks_per_row: int = 1, width: int | None = No
     keys = ", ".join(_KEYS)
     before = (f"OVER (PARTITION BY {keys} ORDER BY {SEGMENT} "
               "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
-    entry = resolved.select(*_KEYS, SEGMENT, "entry_phase", *_exprs(
+    entry = resolved.select(*_KEYS, SEGMENT, "entry_phase", "entry_count", *_exprs(
         *[f"coalesce(sum({n}) {before}, 0L) AS _in_{n}" for n in sums],
         *[f"min({n}) {before} AS _in_{n}" for n in _FIRST_WINS],
         f"max(kill_tick) {before} AS _in_kill_tick"))
-    phased = rows.join(entry, [*_KEYS, SEGMENT], "left").withColumn(
-        "_phase", F.coalesce("_phase", "entry_phase"))
+    phased = rows.join(entry, [*_KEYS, SEGMENT], "left").withColumns(
+        {"_phase": F.coalesce("_phase", "entry_phase"),
+         "_counted": F.col("_counted") + F.expr(f"entry_count div {ticks_per_row}")})
     tick = f"IF({_IS_TICK}, {ticks_per_row}L, 0L)"
     contribution = {
         "overworld_ticks": f"IF(_phase = 0, {tick}, 0L)",

@@ -82,29 +82,66 @@ def with_entry(rows: DataFrame, keys: Sequence[str], order: str, **states) -> Da
     return rows.join(entry_states(rows, keys, order, **states), [*keys, SEGMENT], "left")
 
 
+def _border(rows: DataFrame, keys: Sequence[str], order: str):
+    """``_head`` and ``_tail``: whether a row is the first or the last of its segment."""
+    w = segment_window(keys, order)
+    return rows.withColumns({"_head": F.lag(SEGMENT).over(w).isNull(), "_tail": F.lead(SEGMENT).over(w).isNull()})
+
+
 def previous(rows: DataFrame, keys: Sequence[str], order: str, values: Mapping[str, Column],
              width: int | None = None) -> DataFrame:
     """Adds, per name, the value of the row before as a struct ``{value}``; null on the first row.
 
-    The struct tells "no row before" from "the row before held null". What a segment begins with is
-    the last row of the segment before it; the values are kept unboxed there, so that numbers
-    and booleans aggregate by hash.
+    The struct tells "no row before" from "the row before held null". Only the first row of a segment
+    looks beyond it: the first and last rows of all segments, two of each at most, meet in a second
+    window. Both windows read the same exchange, so the rows are scanned and shuffled once.
     """
-    cut = add_segment(rows, order, width)
-    tails = cut.groupBy(*keys, SEGMENT).agg(
-        *[F.max_by(v, F.col(order)).alias(f"_in_{n}") for n, v in values.items()])
-    by_segment = Window.partitionBy(*keys).orderBy(SEGMENT)
-    entry = tails.select(
-        *keys, SEGMENT, F.lag(SEGMENT).over(by_segment).isNotNull().alias("_entered"),
-        *[F.lag(f"_in_{n}").over(by_segment).alias(f"_in_{n}") for n in values])
     w = segment_window(keys, order)
-    inside = F.lag(SEGMENT).over(w).isNotNull()
-    return cut.join(entry, [*keys, SEGMENT], "left").select(
-        *rows.columns,
-        *[F.when(inside, F.struct(F.lag(v).over(w).alias("value")))
-          .when(F.col("_entered"), F.struct(F.col(f"_in_{n}").alias("value"))).alias(n)
-          for n, v in values.items()],
-    )
+    cut = add_segment(rows, order, width)
+    own = cut.withColumns({f"_own_{n}": v for n, v in values.items()})
+    seen = _border(own, keys, order).withColumns(
+        {n: F.struct(F.lag(f"_own_{n}").over(w).alias("value")) for n in values})
+    inside = seen.where("NOT _head").select(*rows.columns, *values)
+    across = Window.partitionBy(*keys).orderBy(order)
+    entered = F.lag(SEGMENT).over(across).isNotNull()
+    heads = seen.where("_head OR _tail").withColumns(
+        {n: F.when(entered, F.struct(F.lag(f"_own_{n}").over(across).alias("value"))) for n in values}).where("_head")
+    return inside.unionByName(heads.select(*rows.columns, *values))
+
+
+def following(rows: DataFrame, keys: Sequence[str], order: str, name: str, width: int | None = None) -> DataFrame:
+    """Adds the ``order`` value of the next row of the key, null on the last; like :func:`previous`."""
+    cut = add_segment(rows, order, width)
+    seen = _border(cut, keys, order).withColumn(name, F.lead(order).over(segment_window(keys, order)))
+    inside = seen.where("NOT _tail").select(*rows.columns, name)
+    across = Window.partitionBy(*keys).orderBy(order)
+    tails = seen.where("_head OR _tail").withColumn(name, F.lead(order).over(across)).where("_tail")
+    return inside.unionByName(tails.select(*rows.columns, name))
+
+
+def last_known_before(rows: DataFrame, keys: Sequence[str], order: str, values: Mapping[str, Column],
+                      width: int | None = None) -> DataFrame:
+    """Adds the newest non-null value strictly before each row, and keeps the segment column.
+
+    What a segment begins with comes from the last rows of earlier segments. They are found behind the
+    same exchange, and the result is still partitioned by (keys, segment): windows that follow on the same
+    segments add no shuffle. Select the columns wanted before calling; all of them are shuffled. Rows with a null
+    key belong to nothing and are left out.
+    """
+    w = segment_window(keys, order).rowsBetween(Window.unboundedPreceding, -1)
+    cut = add_segment(rows, order, width)
+    for key in keys:  # as the join below would ask of one side only
+        cut = cut.where(F.col(key).isNotNull())
+    # A condition that always holds, over all columns: both readers of the exchange then ask for the same ones, and
+    # Spark reuses it.
+    whole = F.xxhash64(*cut.columns) >= F.lit(-(1 << 63)).cast("long")
+    carried = cut.withColumns({f"_before_{n}": F.last(v, ignorenulls=True).over(w) for n, v in values.items()}).where(whole)
+    tails = _border(carried, keys, order).where("_tail").select(
+        *keys, SEGMENT, *[F.coalesce(v, F.col(f"_before_{n}")).alias(f"_in_{n}") for n, v in values.items()])
+    earlier = _earlier_segments(keys)
+    entry = tails.select(*keys, SEGMENT, *[F.last(f"_in_{n}", ignorenulls=True).over(earlier).alias(f"_in_{n}") for n in values])
+    return carried.join(entry, [*keys, SEGMENT], "left").select(
+        *cut.columns, *[F.coalesce(f"_before_{n}", f"_in_{n}").alias(n) for n in values])
 
 
 def as_of(rows: DataFrame, keys: Sequence[str], order: str, values: Mapping[str, Column],

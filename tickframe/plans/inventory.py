@@ -68,6 +68,25 @@ def inventory_deltas_chunked(spark, sf_dir):
     return _deltas(spark, sf_dir, reset_every=RESET_TICKS)
 
 
+# Snapshots of the ticks with a purchase or an error, of which the latter are empty: all other ticks are holes.
+_HOLES = f"""{_SNAP},
+seen AS (SELECT session_id, tick, lag(tick) OVER (PARTITION BY session_id ORDER BY tick) AS was,
+                lead(tick) OVER (PARTITION BY session_id ORDER BY tick) AS next_tick
+         FROM (SELECT DISTINCT session_id, tick FROM tele WHERE event_type IN ('purchase', 'error'))),
+before AS (SELECT session_id, next_tick AS tick, item, count FROM totals JOIN seen USING (session_id, tick) WHERE next_tick IS NOT NULL),
+deltas AS (
+  SELECT session_id, tick, item, coalesce(c.count, 0) AS count, coalesce(p.count, 0) AS prev_count
+  FROM totals c FULL JOIN before p USING (session_id, tick, item)
+  WHERE coalesce(c.count, 0) <> coalesce(p.count, 0))"""
+
+
+@query("inventory_deltas_observed", f"{_HOLES} {_OUT}")
+def inventory_deltas_observed(spark, sf_dir):
+    """Deltas of sessions whose snapshots have holes."""
+    seen = W.telemetry(spark, sf_dir).where(F.col("event_type").isin("purchase", "error")).select("session_id", "tick")
+    return inventory.observed_deltas(inventory.item_totals(_slots(spark, sf_dir)), seen)
+
+
 @query("inventory_repair", f"""{_RESET},
 seen AS (SELECT session_id, tick, item, count, coalesce(lag(count) OVER (
            PARTITION BY session_id, item ORDER BY tick), 0) AS prev_count FROM deltas)

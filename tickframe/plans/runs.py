@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickframe.operators import runs
+from tickframe.operators import runs, segments
 from tickframe.plans import workload as W
 from tickframe.plans.registry import query
-from tickframe.schemas import RUN_SUMMARY
+from tickframe.schemas import CALLS_PER_TICK, RUN_SUMMARY, TRACKER
 from tickframe.sinks.shared import new_shared_path
 from tickframe.streaming import sessions as streaming
 
@@ -34,6 +34,13 @@ summary AS (
 _SUMMARY_SQL = f"WITH {W.TOTALS_SQL},{_SUMMARY_SELECT} SELECT * FROM summary"
 
 
+@query("tracker_calls", f"""WITH {W.STREAM_SQL}
+SELECT session_id, 'player-' || session_id AS player_id, tick, rank, kind, name, delta FROM stream""")
+def tracker_calls(spark, sf_dir):
+    """Every call that the observed ticks lead to."""
+    return W.tracker_stream(W.telemetry(spark, sf_dir)).select(*TRACKER.names)
+
+
 @query("run_summary", _SUMMARY_SQL)
 def run_summary(spark, sf_dir):
     tele = W.telemetry(spark, sf_dir)
@@ -127,14 +134,14 @@ STREAM_CHUNK_TICKS = 8
 
 def landing_rows(tele):
     """Tracker calls with their chunk, plus the END call of every session."""
-    stream = W.tracker_stream(tele, numbered=True)
+    stream = W.tracker_stream(tele)
     ends = tele.groupBy("session_id").agg(F.max("tick").alias("tick"), F.max("ts").alias("ts")).select(
         "session_id", "tick", "ts", F.lit(3).alias("rank"), F.lit("END").alias("kind"),
         F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("delta"),
-        (8 * F.col("tick") + 7).cast("long").alias("call_no"),
+        (F.col("tick") * CALLS_PER_TICK + (CALLS_PER_TICK - 1)).alias("call_no"),
         W.player_id(F.col("session_id")).alias("player_id"))
     chunk = F.call_function("div", F.col("tick"), F.lit(STREAM_CHUNK_TICKS)).cast("int")
-    return (stream.unionByName(ends).withColumn(streaming.CHUNK, chunk)
+    return (stream.drop(segments.SEGMENT).unionByName(ends).withColumn(streaming.CHUNK, chunk)
             .withColumn("ts", F.col("ts").cast("timestamp"))
             .select(*streaming.STREAM.names))
 

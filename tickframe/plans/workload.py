@@ -11,10 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.operators import edges, segments
+from tickframe.operators import edges, segments, tracker
 from tickframe.operators.ordinals import number_rows
 from tickframe.sources.sizing import size_shuffles
-from tickframe.schemas import RANK_DIMENSION, RANK_OTHER, RANK_TICK
 
 TICKS_PER_ROW = 600
 MOD_VERSION = "0.1.0"
@@ -107,42 +106,52 @@ changes AS (
   WHERE was IS NOT NULL AND was <> dimension)"""
 
 
-DELTA_SQL = "CASE WHEN k % 2 = 0 THEN -1 - k % 4 ELSE 1 + k % 4 END"
-
-
-def _call(rank: int, kind: str, name: str = "NULL", delta: str = "NULL") -> str:
-    return (f"named_struct('rank', {rank}, 'kind', '{kind}', 'name', CAST({name} AS STRING), "
-            f"'delta', CAST({delta} AS INT))")
-
-
-def _pick(names: tuple[str, ...], prefix: str = "") -> str:
-    listed = ", ".join(f"'{prefix}{n}'" for n in names)
-    return f"element_at(array({listed}), k % {len(names)} + 1)"
-
-
-_HAPPENED = f"""CASE
-  WHEN event_type = 'purchase' THEN {_call(RANK_OTHER, 'INVENTORY', _pick(ITEMS, 'minecraft:'), DELTA_SQL)}
-  WHEN event_type = 'error' AND k % 10 = 0 THEN {_call(RANK_OTHER, 'DIED')}
-  WHEN event_type = 'click' AND k % 50 = 0 THEN {_call(RANK_OTHER, 'KILLED', "'minecraft:ender_dragon'")}
-  WHEN event_type = 'click' AND k % 5 < 2 THEN {_call(RANK_OTHER, 'KILLED', "'minecraft:blaze'")}
-  WHEN event_type = 'click' THEN {_call(RANK_OTHER, 'PLACED',
-                                        "IF(k % 5 = 2, 'minecraft:white_bed', 'minecraft:stone')")}
-  WHEN event_type = 'view' THEN {_call(RANK_OTHER, 'ADVANCEMENT', _pick(ADVANCEMENTS))} END"""
-_TICKED = f"IF(ord % 2 = 0, {_call(RANK_TICK, 'TICK')}, NULL)"
-
-
-def tracker_stream(tele: DataFrame, numbered: bool = False) -> DataFrame:
-    """Tracker calls of every session, in no particular order; with ``call_no`` if ``numbered``."""
-    calls = (tele.select("session_id", "tick", "ts", "ord", F.expr(f"inline(array({_TICKED}, {_HAPPENED}))"))
-             .where("kind IS NOT NULL"))
-    # A tick has one TICK, one DIMENSION and two other calls at most.
-    number = F.expr(f"CASE WHEN rank = {RANK_TICK} THEN 8 * tick ELSE 8 * tick + 2 + ord % 2 END")
-    calls = calls.withColumn("call_no", number.cast("long")).drop("ord")
-    moved = dimension_changes(tele).selectExpr(
-        "session_id", "tick", "ts", f"{RANK_DIMENSION} AS rank", "'DIMENSION' AS kind",
-        "dimension AS name", "CAST(NULL AS INT) AS delta", "CAST(8 * tick + 1 AS BIGINT) AS call_no")
-    both = calls.unionByName(moved).withColumn("player_id", player_id(F.col("session_id")))
-    return both if numbered else both.drop("call_no")
+# Items of a tick's inventory: its purchases, in slots; a slot with no items is empty. Ticks without a purchase
+# do not show their inventory.
+_SLOT = "named_struct('slot', cast(ord % 2 AS int), 'item', element_at(array({items}), k % 3 + 1), 'count', cast(k % 9 AS int))"
+_DIED = "event_type = 'error' AND k % 10 = 0"
+# What hooks report. Status 3 of an entity is its death; other statuses and unknown entities count for nothing.
+_REPORTED = f"""CASE
+  WHEN event_type = 'click' AND k % 50 = 0 THEN named_struct('kind', 'STATUS', 'name', 'minecraft:ender_dragon', 'delta', 3)
+  WHEN event_type = 'click' AND k % 5 < 2 THEN named_struct('kind', 'STATUS', 'name', 'minecraft:blaze', 'delta', 3)
+  WHEN event_type = 'click' AND k % 5 = 2 THEN named_struct('kind', 'PLACED', 'name', 'minecraft:white_bed', 'delta', CAST(NULL AS INT))
+  WHEN event_type = 'click' AND k % 5 = 3 THEN named_struct('kind', 'PLACED', 'name', 'minecraft:stone', 'delta', CAST(NULL AS INT))
+  WHEN event_type = 'click' AND k % 2 = 0 THEN named_struct('kind', 'STATUS', 'name', 'minecraft:blaze', 'delta', 2)
+  WHEN event_type = 'click' THEN named_struct('kind', 'STATUS', 'name', CAST(NULL AS STRING), 'delta', 3)
+  WHEN event_type = 'view' THEN named_struct('kind', 'ADVANCEMENT', 'name', element_at(array({{advancements}}), k % 5 + 1), 'delta', CAST(NULL AS INT))
+  END"""
+
+
+def _listed(names: tuple[str, ...]) -> str:
+    return ", ".join(f"'{n}'" for n in names)
+
+
+def observed_ticks(tele: DataFrame) -> DataFrame:
+    """Ticks as a recorder sees them (``schemas.OBSERVED``), with the time of the tick.
+
+    Partitioned by segment already, and grouped within it, so the tracker's windows add no shuffle.
+    """
+    dealt = segments.add_segment(tele.select("session_id", "tick", "ts", "event_id", "ord", "event_type", "k"), "tick")
+    dealt = dealt.repartition("session_id", segments.SEGMENT)
+    slot = _SLOT.format(items=_listed(ITEMS))
+    ticks = dealt.groupBy("session_id", segments.SEGMENT, "tick").agg(
+        F.max_by(name_by_k(DIMENSIONS), F.when(F.col("event_type") == "signup", F.col("event_id"))).alias("dimension"),
+        F.expr(f"NOT bool_or({_DIED})").alias("alive"),
+        # At most two rows have one tick here.
+        F.array_sort(F.collect_list(F.expr(f"IF(event_type = 'purchase', {slot}, NULL)"))).alias("inventory"),
+        F.array_sort(F.collect_list(F.expr(
+            f"IF(({_REPORTED.format(advancements=_listed(ADVANCEMENTS))}) IS NULL, NULL, named_struct('ord', ord, "
+            f"'call', {_REPORTED.format(advancements=_listed(ADVANCEMENTS))}))"))).alias("reported"),
+        F.max("ts").alias("ts"))
+    return ticks.select(
+        "session_id", player_id(F.col("session_id")).alias("player_id"), "tick", "dimension", "alive",
+        F.when(F.size("inventory") > 0, F.col("inventory")).alias("inventory"),
+        F.transform("reported", lambda r: r["call"]).alias("happened"), "ts", segments.SEGMENT)
+
+
+def tracker_stream(tele: DataFrame, width: int | None = None) -> DataFrame:
+    """Tracker calls derived from the observed ticks of every session, with ``call_no``, ``ts`` and their segment."""
+    return tracker.tracker_calls(observed_ticks(tele), width, segmented=True)
 
 
 def sessions(tele: DataFrame) -> DataFrame:
@@ -153,20 +162,33 @@ def sessions(tele: DataFrame) -> DataFrame:
 
 
 STREAM_SQL = f"""{TELEMETRY_SQL},{CHANGES_SQL},
+deaths AS (
+  SELECT session_id, tick FROM (
+    SELECT *, lag(dead, 1, false) OVER (PARTITION BY session_id ORDER BY tick) AS was
+    FROM (SELECT session_id, tick, bool_or(event_type = 'error' AND k % 10 = 0) AS dead FROM tele GROUP BY ALL))
+  WHERE dead AND NOT was),
+shown AS (SELECT session_id, tick, lead(tick) OVER (PARTITION BY session_id ORDER BY tick) AS next_tick
+          FROM (SELECT DISTINCT session_id, tick FROM tele WHERE event_type = 'purchase')),
+held AS (SELECT session_id, tick, {ITEM_SQL} AS item, sum(k % 9) AS count
+         FROM tele WHERE event_type = 'purchase' GROUP BY ALL),
+gains AS (
+  SELECT session_id, tick, item, CAST(sum(count) AS INTEGER) AS delta FROM (
+    SELECT session_id, tick, item, count FROM held
+    UNION ALL SELECT session_id, next_tick, item, -count FROM held JOIN shown USING (session_id, tick)
+    WHERE next_tick IS NOT NULL)
+  GROUP BY ALL HAVING sum(count) <> 0),
 stream AS (
   SELECT session_id, tick, 0 AS rank, 'TICK' AS kind, NULL AS name, NULL AS delta
   FROM tele WHERE ord % 2 = 0
   UNION ALL SELECT session_id, tick, 1, 'DIMENSION', dimension, NULL FROM changes
-  UNION ALL SELECT session_id, tick, 2, 'INVENTORY', 'minecraft:' || {ITEM_SQL}, {DELTA_SQL}
-  FROM tele WHERE event_type = 'purchase'
-  UNION ALL SELECT session_id, tick, 2, 'DIED', NULL, NULL
-  FROM tele WHERE event_type = 'error' AND k % 10 = 0
+  UNION ALL SELECT session_id, tick, 2, 'INVENTORY', 'minecraft:' || item, delta FROM gains
+  UNION ALL SELECT session_id, tick, 2, 'DIED', NULL, NULL FROM deaths
   UNION ALL SELECT session_id, tick, 2, 'KILLED',
     CASE WHEN k % 50 = 0 THEN 'minecraft:ender_dragon' ELSE 'minecraft:blaze' END, NULL
   FROM tele WHERE event_type = 'click' AND k % 5 < 2
   UNION ALL SELECT session_id, tick, 2, 'PLACED',
     CASE WHEN k % 5 = 2 THEN 'minecraft:white_bed' ELSE 'minecraft:stone' END, NULL
-  FROM tele WHERE event_type = 'click' AND k % 5 >= 2
+  FROM tele WHERE event_type = 'click' AND k % 5 IN (2, 3)
   UNION ALL SELECT session_id, tick, 2, 'ADVANCEMENT', {ADVANCEMENT_SQL}, NULL
   FROM tele WHERE event_type = 'view'),
 phased AS (

@@ -103,6 +103,17 @@ TRACKER = _struct(
     ("kind", _STR), ("name", _STR), ("delta", _INT),
 )
 
+# A tick as it was seen, before anything is derived from it. ``happened`` holds what hooks reported during the
+# tick, in order: STATUS (an entity's type and status code), PLACED, ADVANCEMENT, TRADE.
+OBSERVED = _struct(
+    ("session_id", _STR), ("player_id", _STR), ("tick", _LONG), ("dimension", _STR), ("alive", _BOOL),
+    ("inventory", T.ArrayType(_struct(("slot", _INT), ("item", _STR), ("count", _INT)))),
+    ("happened", T.ArrayType(_struct(("kind", _STR), ("name", _STR), ("delta", _INT)))),
+)
+ENTITY_DIED = 3
+# Room for the calls of one tick in a session's call numbers.
+CALLS_PER_TICK = 1 << 20
+
 # Order of the calls within one tick: the tick itself is counted in the phase
 # it began in, then the dimension change, then everything else.
 RANK_TICK, RANK_DIMENSION, RANK_OTHER = 0, 1, 2
