@@ -12,17 +12,28 @@ from tests.test_runs import random_session
 from tickframe import schemas as S
 from tickframe.operators import runs
 from tickframe.streaming import sessions as streaming
+from tickframe.streaming.assembly import window_counts
+from tickframe.streaming.runtime import stateful_session
 
 CHUNK_TICKS = 5
 START = dt.datetime(2024, 1, 1)
 
 
-def land(spark, folder, calls, chunk, ended):
-    """One file per closed chunk."""
-    out = [(*c, chunk, START + dt.timedelta(seconds=max(c[2], 0)), 1000 * chunk + calls.index(c)) for c in calls]
+def as_rows(calls, chunk, ended):
+    """Landed rows of one closed chunk."""
+    out = [(*c, chunk, START + dt.timedelta(seconds=max(c[2], 0)), 1000 * chunk + k) for k, c in enumerate(calls)]
     if ended:
         out.append((calls[0][0], calls[0][1], calls[-1][2], 7, "END", None, None, chunk, out[-1][-2], 1000 * chunk + 999))
-    (spark.createDataFrame(out, streaming.STREAM).coalesce(1).write.mode("append").parquet(str(folder)))
+    return [(*r, len(out)) for r in out]
+
+
+def land_rows(spark, folder, rows):
+    spark.createDataFrame(rows, streaming.STREAM).coalesce(1).write.mode("append").parquet(str(folder))
+
+
+def land(spark, folder, calls, chunk, ended):
+    """One file per closed chunk."""
+    land_rows(spark, folder, as_rows(calls, chunk, ended))
 
 
 def by_chunk(calls):
@@ -32,15 +43,23 @@ def by_chunk(calls):
     return groups
 
 
-def totals_of(spark, landing, work, files_per_batch=1, **options):
-    shape = streaming.chunk_partials(spark.createDataFrame([], streaming.STREAM)).schema
+def gather(spark, landing, work, files_per_batch=1, **options):
     streaming.write_partials(
-        streaming.read_closed_chunks(spark, str(landing), files_per_batch), str(work / "partials"),
-        str(work / "c1"), availableNow=True).awaitTermination()
-    totals = streaming.summarise_sessions(
-        streaming.read_partials(spark, str(work / "partials" / "batch=*"), shape), **options)
-    streaming.write_totals(totals, str(work / "totals"), str(work / "c2"), availableNow=True).awaitTermination()
-    return spark.read.schema(totals.schema).parquet(str(work / "totals" / "batch=*"))
+        streaming.read_closed_chunks(stateful_session(spark), str(landing), files_per_batch), str(work / "partials"),
+        str(work / "c1"), str(work / "rejected"), availableNow=True, **options).awaitTermination()
+
+
+def summarise(spark, work, checkpoint="c2", **options):
+    told = F.lit("call").alias("outcome")
+    shape = streaming.chunk_partials(spark.createDataFrame([], streaming.STREAM).select("*", told)).schema
+    totals = streaming.summarise_sessions(streaming.read_partials(stateful_session(spark), str(work / "partials"), shape), **options)
+    streaming.write_runs(totals, str(work / "runs"), str(work / checkpoint), availableNow=True).awaitTermination()
+    return streaming.read_runs(spark, str(work / "runs"))
+
+
+def totals_of(spark, landing, work, files_per_batch=1, **options):
+    gather(spark, landing, work, files_per_batch)
+    return summarise(spark, work, **options)
 
 
 def test_out_of_order_chunks_give_the_batch_summary(spark, tmp_path):
@@ -64,45 +83,105 @@ def test_out_of_order_chunks_give_the_batch_summary(spark, tmp_path):
         assert r == want[r.session_id]
 
 
-def test_a_silent_session_is_emitted_after_the_gap(spark, tmp_path):
+def test_a_silent_session_is_told_after_the_gap(spark, tmp_path):
+    """Its second chunk never comes: what is known of it is told, and marked."""
     quiet = random_session(random.Random(4), "quiet")
-    for n, calls in by_chunk(quiet).items():
-        land(spark, tmp_path / "in", calls, n, False)
-    later = [("late", "p", 100_000, 0, "TICK", None, None)]
-    land(spark, tmp_path / "in", later, 20_000, False)
-    land(spark, tmp_path / "in", [("later", "p", 200_000, 0, "TICK", None, None)], 40_000, False)
-    got = totals_of(spark, tmp_path / "in", tmp_path, files_per_batch=100, gap_ms=60_000)
-    again = totals_of(spark, tmp_path / "in", tmp_path, files_per_batch=100, gap_ms=60_000)
-    found = {r.session_id: r for r in again.collect()} | {r.session_id: r for r in got.collect()}
-    want = runs.run_summary(spark.createDataFrame(quiet, S.TRACKER)).first()
-    assert found["quiet"].duration_ticks == want.duration_ticks
-    assert found["quiet"].gold_traded == want.gold_traded
-
-
-def test_late_rows_are_set_aside(spark):
-    batch = spark.createDataFrame([("s", 0, 1), ("s", 1, 2)], "session_id string, chunk_index int, v int")
-    sealed = spark.createDataFrame([("s", 0)], "session_id string, chunk_index int")
-    fresh, late = streaming.split_late(batch, sealed)
-    assert [r.v for r in fresh.collect()] == [2] and [r.v for r in late.collect()] == [1]
-
-
-def test_late_chunks_go_to_their_own_table(spark, tmp_path):
-    for n in (0, 1):
-        land(spark, tmp_path / "in", [("s", "p", n * CHUNK_TICKS, 0, "TICK", None, None)], n, False)
-        land(spark, tmp_path / "in", [("s", "p", n, 0, "TICK", None, None)], 0, False) if n else None
-        streaming.write_partials(
-            streaming.read_closed_chunks(spark, str(tmp_path / "in")), str(tmp_path / "partials"),
-            str(tmp_path / "c"), late_path=str(tmp_path / "late"), availableNow=True).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "late")).where("chunk_index = 0").count() == 1
-    parts = spark.read.parquet(str(tmp_path / "partials"))
-    assert sorted(r[0] for r in parts.select("_segment").collect()) == [0, 1]
+    chunks = by_chunk(quiet)
+    for n, calls in chunks.items():
+        if n != 1:
+            land(spark, tmp_path / "in", calls, n, n == max(chunks))
+    options = {"gap_ms": 1, "slack": "0 seconds"}
+    assert totals_of(spark, tmp_path / "in", tmp_path, 100, **options).count() == 0
+    land(spark, tmp_path / "in", [("later", "p", 0, 0, "TICK", None, None)], 0, True)
+    found = {r.session_id: r for r in totals_of(spark, tmp_path / "in", tmp_path, 100, **options).collect()}
+    heard = [c for n, calls in chunks.items() if n != 1 for c in calls]
+    want = runs.run_summary(spark.createDataFrame(heard, S.TRACKER)).first()
+    assert (found["quiet"].complete, found["quiet"].missing_chunks, found["quiet"].chunks) == (False, 1, len(chunks) - 1)
+    assert found["quiet"].duration_ticks == want.duration_ticks and found["quiet"].gold_traded == want.gold_traded
+    assert found["later"].complete
+
+
+def test_a_chunk_in_two_files_and_a_replay_after_the_end(spark, tmp_path):
+    calls = random_session(random.Random(12), "s")
+    chunks = by_chunk(calls)
+    landed = {n: as_rows(own, n, n == max(chunks)) for n, own in chunks.items()}
+    for n, rows in landed.items():  # odd calls first, in a batch of their own
+        if rows[1::2]:
+            land_rows(spark, tmp_path / "in", rows[1::2])
+    gather(spark, tmp_path / "in", tmp_path)
+    assert summarise(spark, tmp_path).count() == 0
+    for rows in landed.values():
+        land_rows(spark, tmp_path / "in", rows[::2])
+    assert totals_of(spark, tmp_path / "in", tmp_path).count() == 1
+    land_rows(spark, tmp_path / "in", landed[0])
+    land_rows(spark, tmp_path / "in", landed[max(chunks)][-1:])
+    got = totals_of(spark, tmp_path / "in", tmp_path)
+    assert runs.finish_summary(got).collect() == runs.run_summary(spark.createDataFrame(calls, S.TRACKER)).collect()
+    assert got.first().complete
+    rejected = spark.read.parquet(str(tmp_path / "rejected"))
+    assert rejected.count() == len(landed[0]) + 1 and {r.outcome for r in rejected.collect()} == {"repeated"}
+
+
+def test_a_chunk_that_stays_open_goes_on_as_it_is(spark, tmp_path):
+    rows = as_rows([("s", "p", t, 0, "TICK", None, None) for t in range(4)], 0, True)
+    land_rows(spark, tmp_path / "in", rows[1:])
+    gather(spark, tmp_path / "in", tmp_path, gap_ms=1, slack="0 seconds")
+    land(spark, tmp_path / "in", [("t", "p", 0, 0, "TICK", None, None)], 0, True)
+    gather(spark, tmp_path / "in", tmp_path, gap_ms=1, slack="0 seconds")
+    found = {r.session_id: r for r in summarise(spark, tmp_path).collect()}
+    assert (found["s"].duration_ticks, found["s"].complete) == (3, False)
+    assert (found["t"].duration_ticks, found["t"].complete) == (1, True)
+
+
+def test_another_checkpoint_replaces_runs_and_nothing_else(spark, tmp_path):
+    for name in ("a", "b", "c"):
+        land(spark, tmp_path / "in", [(name, "p", t, 0, "TICK", None, None) for t in range(3)], 0, True)
+    gather(spark, tmp_path / "in", tmp_path)
+    first = sorted(summarise(spark, tmp_path).collect())
+    land(spark, tmp_path / "in", [("d", "p", 0, 0, "TICK", None, None)], 0, True)
+    gather(spark, tmp_path / "in", tmp_path)
+    assert summarise(spark, tmp_path).count() == 4
+    # A checkpoint that starts anew counts its batches from 0 and tells all runs again.
+    again = sorted(summarise(spark, tmp_path, "c3").collect())
+    assert [r for r in again if r.session_id != "d"] == first and len(again) == 4
+
+
+def test_the_callers_session_keeps_its_settings(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    beside = stateful_session(spark, 3)
+    assert "RocksDB" in beside.conf.get(key) and beside.conf.get("spark.sql.shuffle.partitions") == "3"
+    assert beside.conf.get("spark.sql.session.timeZone") == "UTC"
+    assert spark.conf.get(key) == before and spark.conf.get("spark.sql.shuffle.partitions") == "4"
+
+
+def test_late_rows_are_told(spark, tmp_path):
+    at = lambda minutes: START + dt.timedelta(minutes=minutes)
+    shape = "session_id string, ts timestamp, call_no long, ended boolean"
+    batches = [[("s", at(0), 1, False), ("s", at(30), 2, False), ("t", at(0), 1, False)],
+               [("s", at(1), 3, False), ("s", at(25), 4, False), ("s", None, 5, False), ("t", at(1), 2, False)],
+               [("s", None, 6, True), ("t", None, 3, True)]]
+    for rows in batches:
+        spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        landed = stateful_session(spark).readStream.schema(shape).parquet(str(tmp_path / "in"))
+        counted = window_counts(landed, "5 minutes", "10 minutes")
+        streaming.write_totals(counted, str(tmp_path / "out"), str(tmp_path / "c"), availableNow=True).awaitTermination()
+    out = streaming.read_totals(spark, str(tmp_path / "out"), counted.schema).collect()
+    assert {(r.session_id, r.call_no) for r in out if r.what == "late"} == {("s", 3), ("s", 5), ("s", 6), ("t", 3)}
+    windows = {}
+    for r in out:
+        if r.what == "window":
+            windows[r.session_id, r.window_start] = windows.get((r.session_id, r.window_start), 0) + r.rows
+    assert windows == {("s", at(0)): 1, ("s", at(30)): 1, ("s", at(25)): 1, ("t", at(0)): 2}
+    assert sum(r.rows for r in out) == sum(map(len, batches))
 
 
 def test_duplicates_within_the_watermark_go_away(spark, tmp_path):
     row = ("s", "p", 3, 0, "TICK", None, None)
-    land(spark, tmp_path / "in", [row, row], 0, False)
-    land(spark, tmp_path / "in", [row, ("s", "p", 4, 0, "TICK", None, None)], 0, False)
-    equal = [(*row, 0, START, 7), (*row, 0, START, 8)]  # two equal calls of one tick
+    later = ("s", "p", 4, 0, "TICK", None, None)
+    for calls in ([(row, 0, 3), (row, 0, 3)], [(row, 0, 3), (later, 1, 4)]):  # a call delivered three times, and another
+        land_rows(spark, tmp_path / "in", [(*c, 0, START + dt.timedelta(seconds=at), number, 2) for c, number, at in calls])
+    equal = [(*row, 0, START, 7, 2), (*row, 0, START, 8, 2)]  # two equal calls of one tick
     spark.createDataFrame(equal, streaming.STREAM).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = streaming.drop_duplicates(streaming.read_closed_chunks(spark, str(tmp_path / "in")), "1 hour")
     q = (stream.writeStream.format("parquet").option("path", str(tmp_path / "out"))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickframe.operators import runs, segments
 from tickframe.plans import workload as W
 from tickframe.plans.registry import query
 from tickframe.schemas import CALLS_PER_TICK, RUN_SUMMARY, TRACKER
-from tickframe.sinks.shared import new_shared_path
+from tickframe.sinks.shared import new_shared_path, write_shared
 from tickframe.streaming import sessions as streaming
+from tickframe.streaming.assembly import window_counts
+from tickframe.streaming.runtime import stateful_session
 
 _DIGEST = "sha256(session_id || '|player-' || session_id)"
 _RUN_ID = "||'-'||".join(f"substr({_DIGEST}, {a}, {n})" for a, n in
@@ -129,7 +132,7 @@ def summary_json(spark, sf_dir):
 
 
 # Chunk length of the streamed sessions, in ticks of the workload.
-STREAM_CHUNK_TICKS = 8
+STREAM_CHUNK_TICKS = 16
 
 
 def landing_rows(tele):
@@ -141,35 +144,134 @@ def landing_rows(tele):
         (F.col("tick") * CALLS_PER_TICK + (CALLS_PER_TICK - 1)).alias("call_no"),
         W.player_id(F.col("session_id")).alias("player_id"))
     chunk = F.call_function("div", F.col("tick"), F.lit(STREAM_CHUNK_TICKS)).cast("int")
-    return (stream.drop(segments.SEGMENT).unionByName(ends).withColumn(streaming.CHUNK, chunk)
-            .withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = stream.drop(segments.SEGMENT).unionByName(ends).withColumn(streaming.CHUNK, chunk)
+    # What the manifest of a closed chunk says of its size; a chunk has a few thousand calls.
+    size = F.count(F.lit(1)).over(Window.partitionBy("session_id", streaming.CHUNK))
+    return (rows.withColumn("chunk_calls", size.cast("int")).withColumn("ts", F.col("ts").cast("timestamp"))
             .select(*streaming.STREAM.names))
 
 
-def run_stream(spark, landing: str, work: str, files_per_batch: int | None = None):
-    """Runs both streaming queries over what has landed and returns the session totals."""
-    partials = f"{work}/partials"
-    rows = streaming.read_closed_chunks(spark, landing, files_per_batch)
-    shape = streaming.chunk_partials(
-        spark.createDataFrame([], streaming.STREAM), W.TICKS_PER_ROW).schema
-    streaming.write_partials(rows, partials, f"{work}/ckpt-partials", None, W.TICKS_PER_ROW,
-                             availableNow=True).awaitTermination()
-    totals = streaming.summarise_sessions(
-        streaming.read_partials(spark, f"{partials}/batch=*", shape))
-    streaming.write_totals(totals, f"{work}/totals", f"{work}/ckpt-totals",
-                           availableNow=True).awaitTermination()
-    return spark.read.schema(totals.schema).parquet(f"{work}/totals/batch=*")
+def gather(spark, work: str, files_per_batch: int | None = None, **options) -> None:
+    """Runs the first streaming query over what has landed since it last ran."""
+    rows = streaming.read_closed_chunks(stateful_session(spark), f"{work}/landing", files_per_batch)
+    streaming.write_partials(rows, f"{work}/partials", f"{work}/ckpt-partials", f"{work}/rejected", W.TICKS_PER_ROW,
+                             availableNow=True, **options).awaitTermination()
+
+
+def summarise(spark, work: str, checkpoint: str, **options) -> None:
+    """Runs the second one over the partial rows written since."""
+    told = F.lit(streaming.CALL).alias("outcome")
+    shape = streaming.chunk_partials(spark.createDataFrame([], streaming.STREAM).select("*", told), W.TICKS_PER_ROW).schema
+    totals = streaming.summarise_sessions(streaming.read_partials(stateful_session(spark), f"{work}/partials", shape), **options)
+    streaming.write_runs(totals, f"{work}/runs", checkpoint, availableNow=True).awaitTermination()
+
+
+def land(rows, work: str) -> None:
+    rows.write.mode("append").parquet(f"{work}/landing")
 
 
 @query("stream_summary", _SUMMARY_SQL)
 def stream_summary(spark, sf_dir):
-    """The run summary computed by Structured Streaming from landed chunks."""
+    """The run summary computed by Structured Streaming from landed chunks.
+
+    Every chunk lands in two halves and many files, and the first chunk of every session twice.
+    """
     tele = W.telemetry(spark, sf_dir)
     work = new_shared_path(spark, "stream")
-    (landing_rows(tele).repartition("session_id", streaming.CHUNK)
-     .write.parquet(f"{work}/landing"))
-    totals = run_stream(spark, f"{work}/landing", work)
-    return runs.finish_summary(totals, W.sessions(tele)).select(*RUN_SUMMARY.names)
+    rows = write_shared(landing_rows(tele).repartition("session_id", streaming.CHUNK), "stream-calls")
+    half = F.pmod(F.xxhash64("call_no"), F.lit(2)) == 0
+    for part in (half, ~half, F.col(streaming.CHUNK) == 0):
+        land(rows.where(part), work)
+    gather(spark, work)
+    summarise(spark, work, f"{work}/ckpt-totals")
+    return runs.finish_summary(streaming.read_runs(spark, f"{work}/runs"), W.sessions(tele)).select(*RUN_SUMMARY.names)
+
+
+# Sessions that come a day later, and sessions whose second chunk never comes.
+_LATER, _LOST = "CAST(session_id AS INT) % 5 = 4", "CAST(session_id AS INT) % 5 = 1"
+
+
+@query("stream_runs", f"""WITH {W.TELEMETRY_SQL},
+ticks AS (SELECT session_id, tick, max(tick) OVER (PARTITION BY session_id) // {STREAM_CHUNK_TICKS} AS last_chunk
+          FROM tele WHERE ord % 2 = 0),
+s AS (SELECT session_id, {_LOST} AND max(last_chunk) > 0 AS lost,
+        count(*) FILTER (NOT ({_LOST} AND tick // {STREAM_CHUNK_TICKS} = 1)) AS n, max(last_chunk) AS last_chunk
+      FROM ticks GROUP BY session_id)
+SELECT {_RUN_ID} AS run_id, session_id, n * 600 AS duration_ticks, NOT lost AS complete,
+  CAST(last_chunk + 1 - lost::INT AS INTEGER) AS chunks, CAST((lost AND last_chunk > 1)::INT AS INTEGER) AS missing_chunks
+FROM s""")
+def stream_runs(spark, sf_dir):
+    """One row per run, whole or marked as incomplete, written by two checkpoints that know nothing of each other.
+
+    The sessions with a lost chunk are told once later arrivals have shown that nothing comes any more.
+    """
+    tele = W.telemetry(spark, sf_dir)
+    work = new_shared_path(spark, "runs")
+    lost = F.expr(_LOST) & (F.col(streaming.CHUNK) == 1)
+    rows = write_shared(landing_rows(tele).where(~lost).repartition("session_id", streaming.CHUNK), "stream-calls")
+    for part in (~F.expr(_LATER), F.expr(_LATER)):
+        land(rows.where(part), work)
+        gather(spark, work)
+        summarise(spark, work, f"{work}/ckpt-1", gap_ms=1, slack="0 seconds")
+    summarise(spark, work, f"{work}/ckpt-2")
+    return streaming.read_runs(spark, f"{work}/runs").select("run_id", "session_id", "duration_ticks", "complete", "chunks", "missing_chunks")
+
+
+@query("stream_rejects", f"""WITH {W.STREAM_SQL},
+d AS (SELECT session_id, tick // {STREAM_CHUNK_TICKS} AS chunk FROM stream
+      UNION ALL SELECT session_id, max(tick) // {STREAM_CHUNK_TICKS} FROM tele GROUP BY session_id)
+SELECT session_id, CAST(count(*) + count(*) FILTER (chunk % 2 = 0) AS BIGINT) AS delivered, count(*) AS kept,
+  count(*) FILTER (chunk % 2 = 0) AS repeated
+FROM d GROUP BY session_id""")
+def stream_rejects(spark, sf_dir):
+    """Calls delivered, passed on once, and set aside as repeated.
+
+    Every chunk comes in two halves, in two runs of the stream; every second chunk comes whole again in the later one.
+    """
+    work = new_shared_path(spark, "rejects")
+    rows = write_shared(landing_rows(W.telemetry(spark, sf_dir)), "stream-calls")
+    half = F.pmod(F.xxhash64("call_no"), F.lit(2)) == 0
+    for parts in ((half,), (~half, F.col(streaming.CHUNK) % 2 == 0)):
+        for part in parts:
+            land(rows.where(part), work)
+        gathered = streaming.complete_chunks(streaming.read_closed_chunks(stateful_session(spark), f"{work}/landing"), ["session_id", streaming.CHUNK])
+        streaming.write_totals(gathered, f"{work}/out", f"{work}/ckpt", availableNow=True).awaitTermination()
+    out = spark.read.schema("session_id string, outcome string").parquet(f"{work}/out/source=*/batch=*")
+    count = lambda which: F.count_if(F.col("outcome") == which)
+    delivered = spark.read.parquet(f"{work}/landing").groupBy("session_id").agg(F.count(F.lit(1)).alias("delivered"))
+    return delivered.join(out.groupBy("session_id").agg(
+        count(streaming.CALL).alias("kept"), count(streaming.REPEATED).alias("repeated")), "session_id")
+
+
+@query("stream_late", f"""WITH {W.TELEMETRY_SQL},
+d AS (SELECT *, max(CASE WHEN k % 3 > 0 THEN ts END) OVER (PARTITION BY session_id) - INTERVAL '3 days' AS bound FROM tele),
+r AS (SELECT session_id, ts, k % 3 = 0 AND bound IS NOT NULL AND ts < bound AS late FROM d)
+SELECT session_id, epoch_us(time_bucket(INTERVAL '1 day', ts)) // 1000 AS window_start_ms,
+  count(*) FILTER (NOT late) AS kept, count(*) FILTER (late) AS late
+FROM r GROUP BY ALL""")
+def stream_late(spark, sf_dir):
+    """Rows per session and day: those counted in their window, and those that came over three days late.
+
+    Every third row lands after the others.
+    """
+    work = new_shared_path(spark, "late")
+    rows = write_shared(W.telemetry(spark, sf_dir).select(
+        "session_id", F.col("ts").cast("timestamp").alias("ts"), F.col("ord").alias("call_no"), "k"), "late-rows")
+    for late in (False, True):
+        part = rows.where((F.col("k") % 3 == 0) == late).select("session_id", "ts", "call_no", F.lit(False).alias("ended"))
+        if late:  # a last row ends every session, so that its open windows are told
+            ends = rows.select("session_id").distinct().select(
+                "session_id", F.lit(None).cast("timestamp").alias("ts"), F.lit(-1).cast("long").alias("call_no"), F.lit(True).alias("ended"))
+            part = part.unionByName(ends).coalesce(1)  # the END of a session must not come before its rows
+        land(part, work)
+        landed = stateful_session(spark).readStream.schema(part.schema).parquet(f"{work}/landing")
+        counted = window_counts(landed, "1 day", "3 days")
+        streaming.write_totals(counted, f"{work}/out", f"{work}/ckpt", availableNow=True).awaitTermination()
+    told = streaming.read_totals(spark, f"{work}/out", counted.schema).where("call_no IS NULL OR call_no >= 0")
+    start = F.coalesce("window_start", F.date_trunc("day", "ts")).cast("timestamp_ntz")
+    count = lambda which: F.sum(F.when(F.col("what") == which, F.col("rows")).otherwise(0))
+    return told.groupBy("session_id", W.epoch_ms(start).alias("window_start_ms")).agg(
+        count("window").alias("kept"), count("late").alias("late"))
 
 
 def _land(spark, rows, name):
@@ -192,7 +294,7 @@ def stream_windows(spark, sf_dir):
     windows = streaming.chunk_windows(landed, "1 day")
     streaming.write_totals(windows, f"{work}/out", f"{work}/ckpt", mode="update",
                            availableNow=True).awaitTermination()
-    newest = (spark.read.schema(windows.schema).parquet(f"{work}/out/batch=*")
+    newest = (streaming.read_totals(spark, f"{work}/out", windows.schema)
               .groupBy("session_id", "window_start").agg(F.max("rows").alias("rows")))
     return newest.select("session_id", W.epoch_ms(F.col("window_start").cast("timestamp_ntz"))
                          .alias("window_start_ms"), "rows")
@@ -207,5 +309,5 @@ def stream_deduplicated(spark, sf_dir):
     once = streaming.drop_duplicates(
         streaming.read_closed_chunks(spark, f"{work}/landing"), "1 day")
     streaming.write_totals(once, f"{work}/out", f"{work}/ckpt", availableNow=True).awaitTermination()
-    return (spark.read.schema(once.schema).parquet(f"{work}/out/batch=*")
+    return (streaming.read_totals(spark, f"{work}/out", once.schema)
             .select("session_id", "tick", "rank", "kind", "name", "delta"))
