@@ -125,6 +125,28 @@ def test_lookup_takes_the_first_chunk(spark):
             (0, "a", 0), (8, "a", 8), (9, "a", 9), (10, "b", 2), (20, "b", 12), (30, "d", 0)]
 
 
+@pytest.mark.parametrize("width", [None, 7, 100])
+def test_overlapping_chunks_are_cut_apart(spark, width):
+    rng = random.Random(2)
+    ranges = [(rng.choice("ab"), f"{rng.randint(0, 30):02}.cap", s, s + rng.choice([0, 3, 40, 400]))
+              for s in [rng.randint(0, 300) for _ in range(3000)]]
+    index = spark.createDataFrame(ranges, "session_id string, path string, start_tick long, end_tick long")
+    owner = {}
+    for session, path, start, end in sorted(ranges, key=lambda r: (r[2], r[1])):
+        for t in range(start, end + 1):
+            owner.setdefault((session, t), (path, start))
+    cut = {}
+    for r in chunks.disjoint_chunks(index, width=width).collect():
+        for t in range(r.first_tick, r.end_tick + 1):
+            assert (r.session_id, t) not in cut
+            cut[r.session_id, t] = (r.path, r.start_tick)
+    assert cut == owner
+    points = spark.createDataFrame([(s, t, t % 5) for s in "abc" for t in range(-3, 760, 2)] * 2, "session_id string, tick long, v long")
+    got = chunks.lookup_chunk(points, index, width).collect()
+    assert len(got) == 2 * sum((s, t) in owner for s in "abc" for t in range(-3, 760, 2))
+    assert all(owner[r.session_id, r.tick] == (r.path, r.start_tick) and r.offset_in_chunk == r.tick - r.start_tick and r.v == r.tick % 5 for r in got)
+
+
 def test_positional_chunks_start_at_the_first_row(spark):
     ticks = spark.createDataFrame([("s", t) for t in (7, 8, 20, 21, 22)], "session_id string, tick long")
     for width in (None, 2):

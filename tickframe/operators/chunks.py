@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickframe.operators import segments
@@ -38,31 +38,44 @@ def index_from_headers(headers: DataFrame) -> DataFrame:
     ).sortWithinPartitions("session_id", "start_tick")
 
 
-def lookup_chunk(points: DataFrame, index: DataFrame, bin_ticks: int = 1024,
+def disjoint_chunks(index: DataFrame, keys: Sequence[str] = _SESSION, width: int | None = None) -> DataFrame:
+    """Ranges without overlap, each with the chunk that wins it: ``first_tick, end_tick, path, start_tick``.
+
+    The lowest start wins, then the path. In that order a chunk wins the ticks behind all chunks before it,
+    so one running maximum of their ends cuts the ranges, whatever their number and however they overlap.
+    """
+    unique = index.groupBy(*keys, "start_tick", "end_tick").agg(F.min("path").alias("path"))
+    cut = segments.add_segment(unique, "start_tick", width)
+    w = (Window.partitionBy(*keys, segments.SEGMENT).orderBy("start_tick", "path", "end_tick")
+         .rowsBetween(Window.unboundedPreceding, -1))
+    reached = (segments.with_entry(cut.withColumn("_here", F.max("end_tick").over(w)), keys, "start_tick",
+                                   highest={"_earlier": F.col("end_tick")})
+               .withColumn("_reached", F.greatest("_here", "_earlier")))
+    first = F.greatest("start_tick", F.col("_reached") + 1)
+    return (reached.withColumn("first_tick", first).where(F.col("first_tick") <= F.col("end_tick"))
+            .select(*keys, "first_tick", "end_tick", "path", "start_tick"))
+
+
+def lookup_chunk(points: DataFrame, index: DataFrame, width: int | None = None,
                  keys: Sequence[str] = _SESSION) -> DataFrame:
     """The chunk each tick lies in (J2); the lowest start, then path, when chunks overlap.
 
-    Chunks are spread over coarse tick bins and the join is an equi-join on the bin. All chunks
-    of a bin sit in one array, so a tick meets one row and no pair is formed. Equal ranges
-    are reduced to one chunk first, so copies of a chunk do not grow the array.
+    An as-of join with the disjoint ranges, by segment: a tick takes the newest range that has begun and
+    keeps it if the range has not ended. No pair is formed and no list gathered. Ticks in no chunk go away.
     """
-    def bin_of(tick: Column) -> Column:
-        return F.call_function("div", tick, F.lit(bin_ticks))
-
-    unique = index.groupBy(*keys, "start_tick", "end_tick").agg(F.min("path").alias("path"))
-    bins = (unique.withColumn("_bin", F.explode(F.sequence(bin_of(F.col("start_tick")),
-                                                           bin_of(F.col("end_tick")))))
-            .groupBy(*keys, "_bin")
-            .agg(F.sort_array(F.collect_list(F.struct("start_tick", "path", "end_tick")))
-                 .alias("_chunks")))
-    hits = F.filter("_chunks", lambda c: (c["start_tick"] <= F.col("tick"))
-                    & (c["end_tick"] >= F.col("tick")))
-    return (points.withColumn("_bin", bin_of(F.col("tick")))
-            .join(bins, [*keys, "_bin"])
-            .select(*points.columns, F.explode(F.slice(hits, 1, 1)).alias("_hit"))
-            .select(*points.columns, F.col("_hit.path").alias("path"),
-                    F.col("_hit.start_tick").alias("start_tick"),
-                    (F.col("tick") - F.col("_hit.start_tick")).alias("offset_in_chunk")))
+    chunk = "struct<path:string,start_tick:bigint,end_tick:bigint>"
+    begins = disjoint_chunks(index, keys, width).select(
+        *keys, (F.col("first_tick") * 2).alias("_at"), F.struct("path", "start_tick", "end_tick").cast(chunk).alias("_chunk"))
+    own = [c for c in points.columns if c not in keys]
+    both = points.select(*keys, (F.col("tick").cast("long") * 2 + 1).alias("_at"), F.lit(None).cast(chunk).alias("_chunk"),
+                         F.struct(*own).alias("_row")).unionByName(begins, allowMissingColumns=True)
+    size = 2 * (segments.SEGMENT_TICKS if width is None else width)
+    found = segments.as_of(both, keys, "_at", {"_hit": F.col("_chunk")}, size)
+    hit = F.col("_hit.end_tick") >= F.col("_row.tick")
+    return found.where(F.col("_row").isNotNull() & hit).select(
+        *[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in points.columns],
+        F.col("_hit.path").alias("path"), F.col("_hit.start_tick").alias("start_tick"),
+        (F.col("_row.tick") - F.col("_hit.start_tick")).alias("offset_in_chunk"))
 
 
 def tick_lookup(ticks: DataFrame, session_id: str, tick: int) -> DataFrame:

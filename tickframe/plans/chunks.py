@@ -100,7 +100,7 @@ def chunk_lookup(spark, sf_dir):
 SELECT l_orderkey AS tick, n || '.cap' AS path, count(*) AS rows FROM lineitem
 JOIN files ON l_orderkey BETWEEN start_tick AND end_tick GROUP BY ALL""")
 def chunk_lookup_orders(spark, sf_dir):
-    """One single session: bins, not the session, spread the work."""
+    """One single session: segments, not the session, spread the work."""
     number = F.call_function("div", F.col("o_orderkey"), F.lit(400))
     index = (W.table(spark, sf_dir, "orders").groupBy(number.alias("n"))
              .agg(F.min("o_orderkey").alias("start_tick"), F.max("o_orderkey").alias("end_tick"))
@@ -113,6 +113,26 @@ def chunk_lookup_orders(spark, sf_dir):
             .agg(F.count("*").alias("rows")))
 
 
+# Every order is a chunk of up to 2,000 ticks, so hundreds of chunks lie over each tick, many with the same start.
+@query("chunk_lookup_overlaps", """WITH files AS (
+  SELECT o_orderkey % 3 AS session, o_orderkey // 40 * 40 AS start_tick, o_orderkey // 40 * 40 + o_custkey * 7 % 2000 AS end_tick,
+    o_custkey % 100 || '.cap' AS path FROM orders),
+hits AS (SELECT l_orderkey AS tick, session, min(start_tick) AS start_tick, min((start_tick, path)) AS best, count(*) AS n
+  FROM (SELECT DISTINCT l_orderkey FROM lineitem) JOIN files ON l_orderkey % 3 = session AND l_orderkey BETWEEN start_tick AND end_tick
+  GROUP BY ALL)
+SELECT CAST(session AS VARCHAR) AS session_id, tick, best[2] AS path, start_tick, tick - start_tick AS offset_in_chunk FROM hits""")
+def chunk_lookup_overlaps(spark, sf_dir):
+    """Chunks that overlap by the hundred: they are cut into disjoint ranges before any tick is looked up."""
+    start = F.call_function("div", F.col("o_orderkey"), F.lit(40)) * 40
+    index = W.table(spark, sf_dir, "orders").select(
+        (F.col("o_orderkey") % 3).cast("string").alias("session_id"), start.alias("start_tick"),
+        (start + F.col("o_custkey") * 7 % 2000).alias("end_tick"),
+        F.concat((F.col("o_custkey") % 100).cast("string"), F.lit(".cap")).alias("path"))
+    points = W.table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") % 3).cast("string").alias("session_id"), F.col("l_orderkey").alias("tick")).distinct()
+    return chunks.lookup_chunk(points, index)
+
+
 @query("tick_lookup", f"""{_T} SELECT session_id, tick, ord, event_type, value
 FROM tele JOIN (SELECT session_id, max(tick) // 2 AS tick FROM tele GROUP BY ALL) USING (session_id, tick)""")
 def tick_lookup(spark, sf_dir):

@@ -1,8 +1,8 @@
 """Binary session logs as DataFrames.
 
 Fixed-size records are cut anywhere on a record border. Variable-size records carry no
-sync marker, so a file larger than one split is first walked header by header, skipping
-payloads, to find record borders to cut at; the pieces are then decoded in parallel.
+sync marker; ``borders.py`` finds where they begin in a file larger than one split. All records of a
+piece are decoded together, as columns.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +20,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tickframe import schemas as S
 from tickframe.functions.labels import record_size
 from tickframe.runtime import ship_package
-from tickframe.sources import ranges
-from tickframe.sources.listing import list_files, read_files
+from tickframe.sources import borders, ranges
+from tickframe.sources.listing import list_files, list_folders, read_files
 
 _WHERE = T.StructType([T.StructField("session_id", T.StringType()),
                        T.StructField("chunk_index", T.IntegerType())])
@@ -138,90 +137,68 @@ def tick_rejects(spark: SparkSession, path: str, glob: str = "gamestate.bin") ->
 
 # --- variable-size records --------------------------------------------------
 
-def _event_size(header: bytes, at: int) -> int:
-    return S.EVENT_HEADER_BYTES + header[at + 5] + S.EVENT_TAIL_BYTES
-
-
-def _packet_size_v1(header: bytes, at: int) -> int:
-    return S.PACKET_HEADER_BYTES_V1 + struct.unpack_from("<H", header, at + 6)[0]
-
-
-def _packet_size_v2(header: bytes, at: int) -> int:
-    return S.PACKET_HEADER_BYTES_V2 + struct.unpack_from("<I", header, at + 10)[0]
-
-
-# name -> (header bytes, size of the record starting at a header)
-_FORMATS = {
-    "event": (S.EVENT_HEADER_BYTES, _event_size),
-    "packet_v1": (S.PACKET_HEADER_BYTES_V1, _packet_size_v1),
-    "packet_v2": (S.PACKET_HEADER_BYTES_V2, _packet_size_v2),
-}
-
 _PIECES = T.StructType([*_WHERE.fields,
                         T.StructField("path", T.StringType()), T.StructField("format", T.StringType()),
                         T.StructField("offset", T.LongType()), T.StructField("size", T.LongType()),
                         T.StructField("first_pos", T.LongType())])
 
 
-def _walk(path: str, length: int, kind: str, piece_bytes: int) -> Iterator[tuple[int, int, int]]:
-    """``(offset, size, records before)`` of pieces of whole records."""
-    header, size_of = _FORMATS[kind]
-    window, window_at, at, start = b"", 0, 0, 0
-    pos = first = 0
-    with ranges.open_file(path) as source:
-        while at + header <= length:
-            if at < window_at or at + header > window_at + len(window):
-                window, window_at = source.read_at(min(1 << 20, length - at), at), at
-            size = size_of(window, at - window_at)
-            if at + size > length:
-                break
-            at, pos = at + size, pos + 1
-            if at - start >= piece_bytes:
-                yield start, at - start, first
-                start, first = at, pos
-    if at > start:
-        yield start, at - start, first
-
-
 def _pieces(files: DataFrame, split_bytes: int | None) -> DataFrame:
     """Pieces of every file; ``files`` has a ``format`` column. Small files stay whole."""
     limit = ranges.SPLIT_BYTES if split_bytes is None else split_bytes
-    columns = _PIECES.names
-
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(f.session_id, None if pd.isna(f.chunk_index) else int(f.chunk_index),
-                     f.path, f.format, *piece)
-                    for f in frame.itertuples() for piece in _walk(f.path, f.length, f.format, limit)]
-            yield pd.DataFrame(rows, columns=columns).astype({"chunk_index": "Int32"})
-
     listed = files.select(*_WHERE.names, "path", "format", "length")
-    large = ranges.spread(listed.where(F.col("length") > limit)
-                          .withColumn("offset", F.lit(0)), files, limit).drop("offset")
     small = listed.where(F.col("length") <= limit).select(
         *_WHERE.names, "path", "format", F.lit(0).cast("long").alias("offset"),
         F.col("length").alias("size"), F.lit(0).cast("long").alias("first_pos"))
-    return ranges.spread(small.unionByName(_in_python(large).mapInPandas(cut, _PIECES)), files, limit)
+    large = borders.pieces(listed.where(F.col("length") > limit), limit).select(*_PIECES.names)
+    return ranges.spread(small.unionByName(large), files, limit)
+
+
+def log_coverage(files: DataFrame, split_bytes: int | None = None) -> DataFrame:
+    """Records and bytes of every file that whole records cover, and the bytes after them.
+
+    ``session_id, path, length, records, bytes_read, trailing_bytes``; covered and trailing bytes make up the length.
+    """
+    limit = ranges.SPLIT_BYTES if split_bytes is None else split_bytes
+    covered = borders.pieces(files, limit).groupBy("path").agg(
+        F.sum("records").alias("records"), F.sum("size").alias("bytes_read"))
+    none = F.lit(0).cast("long")
+    return (files.select("session_id", "path", "length").join(covered, "path", "left")
+            .select("session_id", "path", "length", F.coalesce("records", none).alias("records"),
+                    F.coalesce("bytes_read", none).alias("bytes_read"),
+                    (F.col("length") - F.coalesce("bytes_read", none)).alias("trailing_bytes")))
 
 
 def _variable_rejects(files: DataFrame, split_bytes: int | None = None) -> DataFrame:
     """Bytes at the end of a file that no whole record covers."""
-    limit = ranges.SPLIT_BYTES if split_bytes is None else split_bytes
-    out = "session_id string, path string, length long, trailing_bytes long"
-
-    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for f in frame.itertuples():
-                covered = sum(size for _, size, _ in _walk(f.path, f.length, f.format, limit))
-                rows.append((f.session_id, f.path, f.length, f.length - covered))
-            yield pd.DataFrame(rows, columns=["session_id", "path", "length", "trailing_bytes"])
-
-    listed = files.select("session_id", "path", "format", "length", F.lit(0).alias("offset"))
-    return (_in_python(ranges.spread(listed, files, limit)).mapInPandas(measure, out)
+    return (log_coverage(files, split_bytes).select("session_id", "path", "length", "trailing_bytes")
             .where(F.col("trailing_bytes") != 0))
 
 
+def _numbers(raw: np.ndarray, at: np.ndarray, kind: str) -> np.ndarray:
+    """Numbers of one type at the given places."""
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw[at[:, None] + np.arange(width)]).view(kind).ravel()
+
+
+def _gathered(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of many spans in a row, and their bounds."""
+    upto = np.cumsum(sizes)
+    total = int(upto[-1]) if len(upto) else 0
+    return raw[np.arange(total) + np.repeat(starts - upto + sizes, sizes)], np.concatenate([[0], upto])
+
+
+def _names(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Texts of the spans; bytes that are no UTF-8 become the replacement character."""
+    flat, bounds = _gathered(raw, starts, sizes)
+    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [
+        None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat))])
+    try:
+        return found.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([b.decode("utf-8", "replace") for b in found.to_pylist()], pa.string())
+
+
 def decode_events(blocks: DataFrame, content: str | None = None) -> DataFrame:
     """Event rows from pieces of event logs, or from a binary column.
 
@@ -232,25 +209,28 @@ def decode_events(blocks: DataFrame, content: str | None = None) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _batches(_blocks(batches, content)):
-            found, counts = [], []
-            for _, data in group:
-                at, before = 0, len(found)
-                while at + S.EVENT_HEADER_BYTES <= len(data):
-                    end = at + _event_size(data, at)
-                    if end > len(data):
-                        break
-                    tick, code, _ = struct.unpack_from(">iBB", data, at)
-                    name = data[at + S.EVENT_HEADER_BYTES:end - S.EVENT_TAIL_BYTES]
-                    found.append((tick, code, name.decode("utf-8", "replace"),
-                                  *struct.unpack_from(">hh", data, end - S.EVENT_TAIL_BYTES)))
-                    at = end
-                counts.append(len(found) - before)
-            columns = dict(zip(S.EVENTS.names, zip(*found))) if found else {}
-            yield _batch(schema, {**columns, **_origin(group, counts)}, len(found))
+            raw, starts, counts = _joined(group, lambda row: "event")
+            sizes = raw[starts + 5].astype(np.int64)
+            tail = starts + S.EVENT_HEADER_BYTES + sizes
+            columns = {"tick": _numbers(raw, starts, ">i4").astype(np.int32), "event_type": raw[starts + 4].astype(np.int16),
+                       "item_name": _names(raw, starts + S.EVENT_HEADER_BYTES, sizes),
+                       "count": _numbers(raw, tail, ">i2").astype(np.int16),
+                       "prev_count": _numbers(raw, tail + 2, ">i2").astype(np.int16)}
+            yield _batch(schema, {**columns, **_origin(group, counts)}, len(starts))
 
     return _in_python(blocks).mapInArrow(decode, out)
 
 
+def _joined(group: list[tuple[dict, bytes]], kind) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """The blocks' bytes in a row, the places of all their records in them, and the records per block."""
+    raw = np.frombuffer(b"".join(data for _, data in group) or b"\0", np.uint8)
+    found, at = [], 0
+    for row, data in group:
+        found.append(borders.record_starts(data, kind(row))[0] + at)
+        at += len(data)
+    return raw, np.concatenate(found) if found else np.zeros(0, np.int64), [len(f) for f in found]
+
+
 def _event_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return list_files(spark, path, glob).withColumn("format", F.lit("event"))
 
@@ -275,27 +255,26 @@ def decode_packets(blocks: DataFrame, content: str | None = None, payload: bool
     schema = to_arrow_schema(out)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _batches(_blocks(batches, content)):
-            found, counts = [], []
-            for row, data in group:
-                header, size_of = _FORMATS[row["format"]]
-                v2 = row["format"] == "packet_v2"
-                at, pos, before = 0, row["first_pos"], len(found)
-                while at + header <= len(data):
-                    end = at + size_of(data, at)
-                    if end > len(data):
-                        break
-                    if v2:
-                        tick, stamp, kind, size = struct.unpack_from("<IIHI", data, at)
-                    else:
-                        tick, kind, size = struct.unpack_from("<IHH", data, at)
-                        stamp = None
-                    found.append((pos, tick, stamp, kind, size,
-                                  data[at + header:end] if payload else None))
-                    at, pos = end, pos + 1
-                counts.append(len(found) - before)
-            columns = dict(zip(S.PACKETS.names, zip(*found))) if found else {}
-            yield _batch(schema, {**columns, **_origin(group, counts)}, len(found))
+        for mixed in _batches(_blocks(batches, content)):
+            for kind in ("packet_v1", "packet_v2"):
+                group = [(row, data) for row, data in mixed if row["format"] == kind]
+                if not group:
+                    continue
+                raw, starts, counts = _joined(group, lambda row: kind)
+                n, v2 = len(starts), kind == "packet_v2"
+                header = borders.FORMATS[kind][0]
+                sizes = _numbers(raw, starts + (10 if v2 else 6), "<u4" if v2 else "<u2").astype(np.int64)
+                first = np.repeat([row["first_pos"] for row, _ in group], counts)
+                upto = np.cumsum(counts)
+                columns = {"pos": first + np.arange(n) - np.repeat(upto - counts, counts),
+                           "tick": _numbers(raw, starts, "<u4").astype(np.int64),
+                           "packet_id": _numbers(raw, starts + (8 if v2 else 4), "<u2").astype(np.int32), "data_len": sizes}
+                if v2:
+                    columns["timestamp_ms"] = _numbers(raw, starts + 4, "<u4").astype(np.int64)
+                if payload:
+                    whole = memoryview(raw)
+                    columns["data"] = [bytes(whole[a:b]) for a, b in zip((starts + header).tolist(), (starts + header + sizes).tolist())]
+                yield _batch(schema, {**columns, **_origin(group, counts)}, n)
 
     return _in_python(blocks).mapInArrow(decode, out)
 
@@ -303,8 +282,7 @@ def decode_packets(blocks: DataFrame, content: str | None = None, payload: bool
 def _packet_files(spark: SparkSession, path: str) -> DataFrame:
     """Packet logs with their version: 2 when the marker lies in the same folder."""
     folder = F.regexp_replace("path", r"/[^/]+$", "")
-    markers = (list_files(spark, path, "packets_v2.marker")
-               .select(folder.alias("folder"), F.lit("packet_v2").alias("_v2")).distinct())
+    markers = list_folders(spark, path, "packets_v2.marker").withColumn("_v2", F.lit("packet_v2"))
     return (list_files(spark, path, "packets.bin").withColumn("folder", folder)
             .join(markers, "folder", "left")
             .withColumn("format", F.coalesce("_v2", F.lit("packet_v1"))).drop("_v2", "folder"))

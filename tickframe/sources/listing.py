@@ -49,6 +49,23 @@ def list_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return read_files(spark, path, glob).drop("content")
 
 
+def list_folders(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """``folder`` of every file called ``name`` below ``path``, empty files among them.
+
+    Spark's scan leaves out empty files, its index does not; the index is on the driver in any case.
+    """
+    reader = (spark.read.format("binaryFile").option("pathGlobFilter", name).option("recursiveFileLookup", "true"))
+    try:
+        found = reader.load(path).inputFiles()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        found = []
+    folders = spark.createDataFrame([(f.rsplit("/", 1)[0],) for f in found], "folder string")
+    # Spark writes local paths with one slash in a scan and with three in the index.
+    return folders.select(F.regexp_replace("folder", "^file:/+", "file:/").alias("folder")).distinct()
+
+
 def discover_sessions(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """Sessions with files below ``path``, their newest change and file count."""
     return (list_files(spark, path, glob).groupBy("session_id")
