@@ -90,6 +90,6 @@ def test_logs_read_in_any_pieces(spark, tmp_path, split_bytes):
     whole = packets if not packets[-1] else packets[:-1]
     assert [r.pos for r in back] == list(range(len(whole)))
     assert [pack_packet(2, r.tick, r.timestamp_ms, r.packet_id, bytes(r.data)) for r in back] == whole
-    covered = rows(binlogs.log_coverage(binlogs._packet_files(spark, str(tmp_path)), split_bytes).select("records", "bytes_read", "trailing_bytes"))
+    covered = rows(binlogs.log_coverage(binlogs.packet_files(spark, str(tmp_path)), split_bytes).select("records", "bytes_read", "trailing_bytes"))
     read = sum(map(len, whole))
     assert covered == [(len(whole), read, len(b"".join(packets)) - 1 - read)]

@@ -22,18 +22,17 @@ def packets_of(packets: DataFrame, session_id: str, tick: int) -> DataFrame:
 def packet_lists(packets: DataFrame, part_packets: int = PART_PACKETS) -> DataFrame:
     """Packet references per tick in file order, without payloads.
 
-    A tick with more than ``part_packets`` packets gets several lists, numbered by ``part`` and
-    cut at file positions, so no task gathers an unbounded list and no packet is dropped. Such
-    ticks are found by counting first. Usually there are none, and then Spark removes the join
-    with them at run time.
+    A packet belongs to the ``part`` of its tick that its place behind the tick's first packet gives, in steps of
+    ``part_packets``. So no list is longer than that, however many packets a tick has, and the parts do not depend
+    on anything but the log. Only ticks that reach beyond their first part need their first place; they are few, mostly
+    none, and then Spark removes the join with them at run time.
     """
-    run = F.call_function("div", F.col("pos"), F.lit(part_packets))
-    hot = (packets.groupBy(*_TICK).agg(F.count("*").alias("_n"), F.min(run).alias("_first_run"))
-           .where(F.col("_n") > part_packets).drop("_n"))
-    part = F.coalesce(run - F.col("_first_run"), F.lit(0)).cast("int")
+    spans = packets.groupBy(*_TICK).agg(F.min("pos").alias("_first"), F.max("pos").alias("_last"))
+    wide = spans.where(F.col("_last") - F.col("_first") >= part_packets).drop("_last")
+    part = F.coalesce(F.call_function("div", F.col("pos") - F.col("_first"), F.lit(part_packets)), F.lit(0)).cast("int")
     reference = F.struct("pos", F.col("packet_id").alias("id"), F.col("data_len").alias("len"),
                          "timestamp_ms")
-    return (packets.join(hot, _TICK, "left").withColumn("part", part)
+    return (packets.join(wide, _TICK, "left").withColumn("part", part)
             .groupBy(*_TICK, "part")
             .agg(F.transform(F.sort_array(F.collect_list(reference)),
                              lambda r: r.dropFields("pos")).alias("packets")))
@@ -41,15 +40,16 @@ def packet_lists(packets: DataFrame, part_packets: int = PART_PACKETS) -> DataFr
 
 def tick_packets(ticks: DataFrame, packets: DataFrame,
                  part_packets: int = PART_PACKETS) -> DataFrame:
-    """Ticks with their packet lists, an empty list where a tick has none.
+    """Ticks with their packet lists, an empty list where a tick has none (J1); one row per ``part``.
 
-    ``ticks`` may repeat a tick number; only its first row, by ``row_in_log``, gets the packets.
+    Where chunks overlap, a tick number comes more than once; its packets go to the first row only (T17), by
+    ``place`` as the capture reader gives it, or by ``row_in_log``. Rows with neither must have tick numbers of their own.
     """
     lists = packet_lists(packets, part_packets)
-    if "row_in_log" in ticks.columns:
-        first = ticks.groupBy(*_TICK).agg(F.min("row_in_log").alias("row_in_log"))
-        lists = lists.join(first, _TICK)
-        joined = ticks.join(lists, [*_TICK, "row_in_log"], "left")
+    by = next((c for c in ("place", "row_in_log") if c in ticks.columns), None)
+    if by is not None:
+        first = ticks.groupBy(*_TICK).agg(F.min(by).alias(by))
+        joined = ticks.join(lists.join(first, _TICK), [*_TICK, by], "left")
     else:
         joined = ticks.join(lists, _TICK, "left")
     empty = F.array().cast(lists.schema["packets"].dataType)

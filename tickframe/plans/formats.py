@@ -77,7 +77,7 @@ def _capture_rows(spark, sf_dir):
         (F.col("k") - 50).alias("cursor_x"), (50 - F.col("k")).alias("cursor_y"))
 
 
-def _encoded_capture(spark, sf_dir, old=False):
+def encoded_capture(spark, sf_dir, old=False):
     return encoders.encode_capture(_capture_rows(spark, sf_dir), "tick", old)
 
 
@@ -88,7 +88,7 @@ _FIELD_SQL = ", ".join(f"CAST({sql} AS INTEGER) AS {n}" for n, (sql, _) in _CAPT
 {_FIELD_SQL}, CAST(CAST(value AS FLOAT) AS DOUBLE) AS x, k % 21 AS food, k AS xp_level, k - 50 AS cursor_x
 FROM tele""")
 def capture_roundtrip(spark, sf_dir):
-    back = binlogs.decode_capture(_encoded_capture(spark, sf_dir), content="content")
+    back = binlogs.decode_capture(encoded_capture(spark, sf_dir), content="content")
     return back.select("session_id", "tick", "recorded_tick",
                        *[F.col(n).cast("int").alias(n) for n in _CAPTURE_FIELDS],
                        F.col("x").cast("double").alias("x"),
@@ -101,7 +101,7 @@ sizes AS (SELECT session_id, ord // {CHUNK_ROWS} AS chunk_index, count(*) AS n F
 SELECT session_id, ord AS tick, k % 9 AS hotbar, k * 600 - 30000 AS yaw_fp, k * 100 - 5000 AS pitch_fp
 FROM tele JOIN sizes USING (session_id) WHERE ord // {CHUNK_ROWS} = chunk_index AND n % 12 <> 0""")
 def old_capture_roundtrip(spark, sf_dir):
-    back = binlogs.decode_capture(_encoded_capture(spark, sf_dir, old=True), content="content",
+    back = binlogs.decode_capture(encoded_capture(spark, sf_dir, old=True), content="content",
                                   detect_size=True)
     return back.where(F.col("record_size") == 28).select(
         "session_id", "tick", *[F.col(n).cast("int").alias(n) for n in ("hotbar", "yaw_fp", "pitch_fp")])
@@ -111,7 +111,7 @@ def old_capture_roundtrip(spark, sf_dir):
 sizes AS (SELECT session_id, ord // {CHUNK_ROWS} AS chunk_index, count(*) AS records FROM tele GROUP BY ALL)
 SELECT session_id, min(records) AS records, 48 AS record_size FROM sizes GROUP BY session_id, chunk_index""")
 def record_sizes(spark, sf_dir):
-    headers = binlogs.chunk_headers(_encoded_capture(spark, sf_dir))
+    headers = binlogs.chunk_headers(encoded_capture(spark, sf_dir))
     return binlogs.payload_record_size(headers).select("session_id", "records", "record_size")
 
 
@@ -120,7 +120,7 @@ sizes AS (SELECT session_id, ord // {CHUNK_ROWS} AS chunk_index, min(ord) AS sta
           FROM tele GROUP BY ALL)
 SELECT session_id, start_tick, tick_count, start_tick + tick_count - 1 AS end_tick FROM sizes""")
 def chunk_headers(spark, sf_dir):
-    headers = binlogs.chunk_headers(_encoded_capture(spark, sf_dir))
+    headers = binlogs.chunk_headers(encoded_capture(spark, sf_dir))
     return index_from_headers(headers).select(
         "session_id", "start_tick", (F.col("end_tick") - F.col("start_tick") + 1).alias("tick_count"),
         "end_tick")
@@ -139,7 +139,7 @@ def chunk_crc(spark, sf_dir):
     damaged = (F.when(kind == 1, F.unhex(F.concat(hexed, F.lit("00"))))
                .when(kind == 2, patch(0, "58")).when(kind == 3, patch(12, "02"))
                .when(kind == 4, F.substring(content, 1, 20)).otherwise(content))
-    chunks = _encoded_capture(spark, sf_dir).withColumn("content", damaged)
+    chunks = encoded_capture(spark, sf_dir).withColumn("content", damaged)
     number = F.regexp_extract("path", r"chunk_index=(\d+)", 1).cast("long")
     return binlogs.chunk_headers(chunks).select("session_id", number.alias("chunk_index"), "status")
 
@@ -185,7 +185,7 @@ FROM tele t LEFT JOIN refs r ON r.session_id = t.session_id AND r.tick = t.ord""
     "SELECT session_id, ord AS tick", "SELECT t.session_id, ord AS tick"))
 def tick_export(spark, sf_dir):
     """Decoded capture ticks joined with decoded packets, in the nested export form."""
-    ticks = binlogs.decode_capture(_encoded_capture(spark, sf_dir), content="content")
+    ticks = binlogs.decode_capture(encoded_capture(spark, sf_dir), content="content")
     logged = binlogs.decode_packets(_packet_logs(spark, sf_dir, 2), content="content", payload=False)
     rows = tables.export_rows(packets.tick_packets(ticks, logged))
     return rows.select(

@@ -33,7 +33,11 @@ def write_events(events: DataFrame, path: str, mode: str = "overwrite", labels_m
 
 
 def export_rows(capture: DataFrame) -> DataFrame:
-    """Nested export form of capture ticks that already carry ``packets``."""
+    """Nested export form of capture ticks that already carry ``packets``.
+
+    A tick whose packets fill several lists has a line for each; all but the first have their ``part``.
+    """
+    part = F.col("part") if "part" in capture.columns else F.lit(0)
     return capture.select(
         "session_id", "tick",
         bits.unpack_flags(F.col("flags")).alias("flags"), "hotbar",
@@ -44,13 +48,13 @@ def export_rows(capture: DataFrame) -> DataFrame:
         "health", "food", "screen_type", "xp_level",
         angles.vector(F.col("vel_x"), F.col("vel_y"), F.col("vel_z")).alias("velocity"),
         angles.vector(F.col("cursor_x"), F.col("cursor_y")).alias("cursor"),
-        "packets",
+        F.when(part > 0, part).alias("part"), "packets",
     )
 
 
 def write_export(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """JSON Lines per session in tick order; a null packet time is left out."""
-    (rows.repartitionByRange("session_id", "tick").sortWithinPartitions("session_id", "tick")
+    """JSON Lines per session in tick order; a null packet time is left out, and the part of a first line."""
+    (rows.repartitionByRange("session_id", "tick").sortWithinPartitions("session_id", "tick", F.coalesce("part", F.lit(0)))
      .write.mode(mode).option("ignoreNullFields", "true").partitionBy("session_id").json(path))
 
 
@@ -80,7 +84,11 @@ def current_sessions(status: DataFrame) -> DataFrame:
 
 
 def write_chunked(ticks: DataFrame, path: str, size: int = CAPTURE_CHUNK_TICKS) -> DataFrame:
-    """Rewrites ticks in fixed chunks and returns the index of what was written (K7)."""
+    """Rewrites ticks in fixed chunks and returns the index of what was written (K7, O2).
+
+    Files hold ranges of (session, chunk, tick), sorted, so that a filter on session and tick reads a single row
+    group: the others' least and greatest values rule them out (F3).
+    """
     placed = chunks.positional_chunks(ticks, size)
     (placed.repartitionByRange("session_id", "chunk_no", "tick")
      .sortWithinPartitions("session_id", "chunk_no", "tick")

@@ -231,19 +231,19 @@ def _joined(group: list[tuple[dict, bytes]], kind) -> tuple[np.ndarray, np.ndarr
     return raw, np.concatenate(found) if found else np.zeros(0, np.int64), [len(f) for f in found]
 
 
-def _event_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
+def event_files(spark: SparkSession, path: str, glob: str = "gamestate_events.bin") -> DataFrame:
     return list_files(spark, path, glob).withColumn("format", F.lit("event"))
 
 
 def read_events(spark: SparkSession, path: str, glob: str = "gamestate_events.bin",
                 split_bytes: int | None = None) -> DataFrame:
     """Variable-size big-endian event records."""
-    return decode_events(_pieces(_event_files(spark, path, glob), split_bytes))
+    return decode_events(_pieces(event_files(spark, path, glob), split_bytes))
 
 
 def event_rejects(spark: SparkSession, path: str, glob: str = "gamestate_events.bin",
                   split_bytes: int | None = None) -> DataFrame:
-    return _variable_rejects(_event_files(spark, path, glob), split_bytes)
+    return _variable_rejects(event_files(spark, path, glob), split_bytes)
 
 
 def decode_packets(blocks: DataFrame, content: str | None = None, payload: bool = True) -> DataFrame:
@@ -279,7 +279,7 @@ def decode_packets(blocks: DataFrame, content: str | None = None, payload: bool
     return _in_python(blocks).mapInArrow(decode, out)
 
 
-def _packet_files(spark: SparkSession, path: str) -> DataFrame:
+def packet_files(spark: SparkSession, path: str) -> DataFrame:
     """Packet logs with their version: 2 when the marker lies in the same folder."""
     folder = F.regexp_replace("path", r"/[^/]+$", "")
     markers = list_folders(spark, path, "packets_v2.marker").withColumn("_v2", F.lit("packet_v2"))
@@ -291,11 +291,11 @@ def _packet_files(spark: SparkSession, path: str) -> DataFrame:
 def read_packets(spark: SparkSession, path: str, payload: bool = True,
                  split_bytes: int | None = None) -> DataFrame:
     """Packet logs of version 1 and 2 (S4); stops at a truncated payload."""
-    return decode_packets(_pieces(_packet_files(spark, path), split_bytes), payload=payload)
+    return decode_packets(_pieces(packet_files(spark, path), split_bytes), payload=payload)
 
 
 def packet_rejects(spark: SparkSession, path: str, split_bytes: int | None = None) -> DataFrame:
-    return _variable_rejects(_packet_files(spark, path), split_bytes)
+    return _variable_rejects(packet_files(spark, path), split_bytes)
 
 
 # --- capture chunks ---------------------------------------------------------
@@ -339,55 +339,107 @@ def read_chunk_headers(spark: SparkSession, path: str, glob: str = "*.cap") -> D
     return chunk_headers(read_files(spark, path, glob))
 
 
-def decode_capture(chunks: DataFrame, content: str | None = None,
-                   detect_size: bool = False) -> DataFrame:
-    """Tick records of capture chunks; ticks are numbered by position.
+_TAGGED = T.StructType([
+    T.StructField("session_id", T.StringType()), T.StructField("path", T.StringType()), T.StructField("outcome", T.StringType()),
+    T.StructField("file_bytes", T.LongType()), T.StructField("declared", T.IntegerType()), T.StructField("records", T.IntegerType()),
+    T.StructField("spare_bytes", T.LongType()), T.StructField("place", T.StructType([
+        T.StructField("chunk_start", T.LongType()), T.StructField("path", T.StringType()), T.StructField("row", T.IntegerType())])),
+    *S.CAPTURE_TICKS.fields])
 
-    Tasks read the chunk files by ``path``, or take the bytes from a binary column. A chunk that is short or does not decompress gives no rows. With ``detect_size`` the
-    record size is guessed from the payload length, so 28-byte records are read too.
+
+def _unpacked_chunk(data: bytes, lz4: pa.Codec, detect_size: bool) -> dict:
+    """What becomes of one chunk file: an outcome, and the records if it holds any.
+
+    ``short`` has no room for a header and a length, ``codec`` names another codec, ``block`` does not decompress;
+    all three give no records. ``over-counted`` has fewer whole records than its header declares and gives those.
     """
-    out = T.StructType([T.StructField("session_id", T.StringType()),
-                        T.StructField("path", T.StringType()), *S.CAPTURE_TICKS.fields])
-    schema = to_arrow_schema(out)
+    prefix = S.CAPTURE_HEADER_BYTES + 4
+    if len(data) < prefix:
+        return {"outcome": "short"}
+    start, declared, codec = struct.unpack_from("<IHB", data, 6)
+    if codec != S.CAPTURE_CODEC_LZ4:
+        return {"outcome": "codec", "declared": declared}
+    size, = struct.unpack_from("<I", data, S.CAPTURE_HEADER_BYTES)
+    try:
+        raw = lz4.decompress(data[prefix:], size, asbytes=True)
+    except (OSError, ValueError):
+        return {"outcome": "block", "declared": declared}
+    width = S.CAPTURE_RECORD_BYTES
+    if detect_size and len(raw) % width and len(raw) % S.OLD_CAPTURE_RECORD_BYTES == 0:
+        width = S.OLD_CAPTURE_RECORD_BYTES
+    records = min(declared, len(raw) // width)
+    return {"outcome": "ok" if records == declared else "over-counted", "declared": declared, "records": records, "start": start,
+            "width": width, "raw": raw[:records * width], "spare_bytes": len(raw) - records * width}
+
+
+def decode_capture_tagged(chunks: DataFrame, content: str | None = None, detect_size: bool = False) -> DataFrame:
+    """Tick records of capture chunks and one row per file, from one pass over the files.
+
+    A row with an ``outcome`` stands for a file: its bytes, the records declared and those given, and the unpacked bytes
+    behind them. All others are ticks, numbered by position; ``place`` orders the rows of a session by their chunk's
+    start, its path and the row in it. Write the table before both kinds are used, or the files are read twice.
+    """
+    schema = to_arrow_schema(_TAGGED)
+    ticks = to_arrow_schema(S.CAPTURE_TICKS)
 
-    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, bytes]]:
-        lz4, prefix = pa.Codec("lz4_raw"), S.CAPTURE_HEADER_BYTES + 4
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, bytes]]:
+        lz4 = pa.Codec("lz4_raw")
         for batch in batches:
             for row in batch.to_pylist():
                 data = row[content] if content else ranges.read_range(row["path"], 0, row["length"])
-                if len(data) < prefix:
-                    continue
-                row["start"], count = struct.unpack_from("<IH", data, 6)
-                size, = struct.unpack_from("<I", data, S.CAPTURE_HEADER_BYTES)
-                try:
-                    raw = lz4.decompress(data[prefix:], size, asbytes=True)
-                except (OSError, ValueError):
-                    continue
-                width = S.CAPTURE_RECORD_BYTES
-                if detect_size and len(raw) % width and len(raw) % S.OLD_CAPTURE_RECORD_BYTES == 0:
-                    width = S.OLD_CAPTURE_RECORD_BYTES
-                row["width"] = width
-                yield row, raw[:min(count, len(raw) // width) * width]
+                told = _unpacked_chunk(data, lz4, detect_size)
+                yield {"session_id": row["session_id"], "path": row["path"], "file_bytes": len(data), **told}, told.pop("raw", b"")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for mixed in _batches(records(batches)):
+        for mixed in _batches(found(batches)):
+            files = {n: [row.get(n) for row, _ in mixed] for n in
+                     ("session_id", "path", "outcome", "file_bytes", "declared", "records", "spare_bytes")}
+            files["records"] = [n or 0 for n in files["records"]]
+            yield _batch(schema, files, len(mixed))
             for width, dtype in ((S.CAPTURE_RECORD_BYTES, CAPTURE_DTYPE),
                                  (S.OLD_CAPTURE_RECORD_BYTES, OLD_CAPTURE_DTYPE)):
-                group = [(row, raw) for row, raw in mixed if row["width"] == width]
+                group = [(row, raw) for row, raw in mixed if raw and row["width"] == width]
                 if not group:
                     continue
-                counts = [len(raw) // width for _, raw in group]
+                counts = [row["records"] for row, _ in group]
                 n = sum(counts)
-                columns = _native(np.frombuffer(b"".join(raw for _, raw in group), dtype), schema)
-                starts = np.repeat([row["start"] for row, _ in group], counts)
+                columns = _native(np.frombuffer(b"".join(raw for _, raw in group), dtype), ticks)
+                starts = np.repeat(np.array([row["start"] for row, _ in group], np.int64), counts)
                 within = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts)
                 columns["tick"] = starts + within
                 columns["record_size"] = np.full(n, width, np.int32)
                 for name in ("session_id", "path"):
                     columns[name] = _repeated([row[name] for row, _ in group], counts).cast(pa.string())
+                columns["place"] = pa.StructArray.from_arrays(
+                    [pa.array(starts), columns["path"], pa.array(within, pa.int32())], ["chunk_start", "path", "row"])
                 yield _batch(schema, columns, n)
 
-    return _in_python(chunks.select("session_id", "path", content or "length")).mapInArrow(decode, out)
+    return _in_python(chunks.select("session_id", "path", content or "length")).mapInArrow(decode, _TAGGED)
+
+
+def captured_ticks(tagged: DataFrame) -> DataFrame:
+    return tagged.where(F.col("outcome").isNull()).select("session_id", "path", "place", *S.CAPTURE_TICKS.names)
+
+
+def captured_files(tagged: DataFrame) -> DataFrame:
+    """One row per chunk file: what became of it, and its bytes and records."""
+    return tagged.where(F.col("outcome").isNotNull()).select(
+        "session_id", "path", "outcome", "file_bytes", "declared", "records", "spare_bytes")
+
+
+def decode_capture(chunks: DataFrame, content: str | None = None, detect_size: bool = False) -> DataFrame:
+    """The tick records of :func:`decode_capture_tagged` alone.
+
+    Tasks read the chunk files by ``path``, or take the bytes from a binary column. With ``detect_size`` the
+    record size is guessed from the payload length, so 28-byte records are read too.
+    """
+    return captured_ticks(decode_capture_tagged(chunks, content, detect_size))
+
+
+def read_capture_tagged(spark: SparkSession, path: str, glob: str = "*.cap", detect_size: bool = False) -> DataFrame:
+    """Ticks and file outcomes of the capture chunks below ``path``, read once."""
+    chunks = list_files(spark, path, glob)
+    return decode_capture_tagged(ranges.spread(chunks.withColumn("offset", F.lit(0)), chunks), detect_size=detect_size)
 
 
 def read_capture_chunks(spark: SparkSession, path: str, glob: str = "*.cap", verify: bool = False,

@@ -32,13 +32,13 @@ def read_range(path: str, offset: int, size: int) -> bytes:
 
 
 def spread(ranges: DataFrame, files: DataFrame, split_bytes: int | None = None) -> DataFrame:
-    """Distributes range rows so that a task gets about ``split_bytes``.
+    """Distributes range rows so that a task gets about ``SPLIT_BYTES``, or one range if those are larger.
 
     The rows are tiny, so the number of partitions is set from the listed file sizes; left to
     its own estimate Spark would merge them into one task.
     """
     total = files.agg(F.sum("length")).first()[0] or 0
-    per_task = SPLIT_BYTES if split_bytes is None else split_bytes
+    per_task = max(SPLIT_BYTES, split_bytes or 0)
     tasks = max(files.sparkSession.sparkContext.defaultParallelism, math.ceil(total / per_task))
     return ranges.repartition(tasks, "path", "offset")
 
