@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickframe.functions import labels
-from tickframe.operators import edges
+from tickframe.operators import edges, event_log
 from tickframe.plans import workload as W
 from tickframe.plans.registry import query
+from tickframe.schemas import EQUIPMENT_SLOTS
+from tickframe.sinks import tables
+from tickframe.sinks.shared import new_shared_path
+from tickframe.sources import documents
 
 _T = f"WITH {W.TELEMETRY_SQL}"
 _W = "OVER (PARTITION BY session_id ORDER BY ord)"
@@ -148,3 +153,52 @@ def hotbar_slots(spark, sf_dir):
     asked = W.telemetry(spark, sf_dir).select(
         "session_id", "ord", (F.col("k") % 12 - 2).alias("inventory_slot"))
     return edges.held_slot(asked, order="ord").select("session_id", "ord", "selected_slot")
+
+
+EVENT_CHUNK_TICKS = 8
+
+_EVENTS = f"""{_T},{W.CHANGES_SQL},
+flags AS (SELECT session_id, tick, bool_or(event_type = 'error' AND k % 10 = 0) AS dead, bool_or(event_type = 'view' AND k % 4 = 0) AS asleep
+          FROM tele GROUP BY ALL),
+turns AS (SELECT *, lag(dead, 1, false) OVER w AS was_dead, lag(asleep, 1, false) OVER w AS was_asleep FROM flags
+          WINDOW w AS (PARTITION BY session_id ORDER BY tick)),
+shown AS (SELECT session_id, tick, lead(tick) OVER (PARTITION BY session_id, tick // {EVENT_CHUNK_TICKS} ORDER BY tick) AS next_tick
+          FROM (SELECT DISTINCT session_id, tick FROM tele WHERE event_type = 'purchase')),
+held AS (SELECT session_id, tick, {W.ITEM_SQL} AS item, sum(k % 9) AS n FROM tele WHERE event_type = 'purchase' GROUP BY ALL),
+items AS (SELECT session_id, tick, item, sum(n) AS count, sum(was) AS prev_count FROM (
+            SELECT session_id, tick, item, n, 0 AS was FROM held
+            UNION ALL SELECT session_id, next_tick, item, 0, n FROM held JOIN shown USING (session_id, tick) WHERE next_tick IS NOT NULL)
+          GROUP BY ALL HAVING sum(n) <> sum(was)),
+worn AS (SELECT session_id, tick, ord % 2 * 3 + k % 3 AS slot, 'item_' || (k % 5) AS item, k % 2 = 0 AS ench, 1 + k % 3 AS n
+         FROM tele WHERE event_type = 'click' AND k % 7 > 0),
+looks AS (SELECT session_id, tick, lag(tick) OVER (PARTITION BY session_id ORDER BY tick) AS was_tick
+          FROM (SELECT DISTINCT session_id, tick FROM tele WHERE event_type = 'click')),
+slots AS (SELECT l.session_id, l.tick, s.slot, a.item, a.ench, a.n, b.item AS was_item, b.ench AS was_ench, b.n AS was_n
+          FROM looks l, (SELECT unnest(range(6)) AS slot) s
+          LEFT JOIN worn a ON a.session_id = l.session_id AND a.tick = l.tick AND a.slot = s.slot
+          LEFT JOIN worn b ON b.session_id = l.session_id AND b.tick = l.was_tick AND b.slot = s.slot),
+bars AS (SELECT session_id, tick, round(value, 0) / 100 AS percent, lag(round(value, 0) / 100, 1, -1.0) OVER (PARTITION BY session_id ORDER BY ord) AS was
+         FROM tele WHERE event_type = 'view'),
+log AS (
+  SELECT session_id, tick, 'INVENTORY_DELTA' AS event_type, item AS item_name, count, prev_count FROM items
+  UNION ALL SELECT session_id, tick, 'PLAYER_DIED', 'player', 0, 0 FROM turns WHERE dead AND NOT was_dead
+  UNION ALL SELECT session_id, tick, 'SLEPT', 'bed', 0, 0 FROM turns WHERE asleep AND NOT was_asleep
+  UNION ALL SELECT session_id, tick, 'DIMENSION_CHANGE', dimension, 0, 0 FROM changes
+  UNION ALL SELECT session_id, tick, 'EQUIPMENT_CHANGE', lower({list(EQUIPMENT_SLOTS)}[slot + 1]) || ':' || coalesce(item, 'empty')
+    || CASE WHEN ench THEN ':ench' ELSE '' END, 1, 0 FROM slots
+    WHERE item IS DISTINCT FROM was_item OR ench IS DISTINCT FROM was_ench OR n IS DISTINCT FROM was_n
+  UNION ALL SELECT session_id, tick, 'DRAGON_HEALTH', 'ender_dragon', least(greatest(CAST(trunc(percent * 100) AS INTEGER), 0), 10000), 0 FROM bars WHERE percent <> was
+  UNION ALL SELECT session_id, tick, 'ADVANCEMENT', {W.ADVANCEMENT_SQL}, 0, 0 FROM tele WHERE event_type = 'view')"""
+
+
+@query("derived_events", f"""{_EVENTS}
+SELECT session_id, CAST(tick AS INTEGER) AS tick, event_type, item_name, CAST(count AS INTEGER) AS count, CAST(prev_count AS INTEGER) AS prev_count FROM log""")
+def derived_events(spark, sf_dir):
+    """The event log of every session derived from its ticks, written with decoded types and read back."""
+    events = event_log.event_rows(W.seen_ticks(W.telemetry(spark, sf_dir)), chunk_ticks=EVENT_CHUNK_TICKS)
+    path = new_shared_path(spark, "events")
+    tables.write_events(events, path)
+    back = documents.read_session_table(spark, path, T.StructType([
+        T.StructField("tick", T.IntegerType()), T.StructField("event_type", T.StringType()), T.StructField("item_name", T.StringType()),
+        T.StructField("count", T.ShortType()), T.StructField("prev_count", T.ShortType())]))
+    return back.select("session_id", "tick", "event_type", "item_name", *[F.col(c).cast("int").alias(c) for c in ("count", "prev_count")])

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tickframe.operators import edges, segments, tracker
 from tickframe.operators.ordinals import number_rows
+from tickframe.schemas import SEEN
 from tickframe.sources.sizing import size_shuffles
 
 TICKS_PER_ROW = 600
@@ -149,6 +150,24 @@ def observed_ticks(tele: DataFrame) -> DataFrame:
         F.transform("reported", lambda r: r["call"]).alias("happened"), "ts", segments.SEGMENT)
 
 
+# What the event log needs besides: equipment shows in ticks with a click, every row of which fills or empties one of
+# its own slots; bars of view rows are the dragon's.
+_STACK = ("IF(event_type = 'click' AND k % 7 > 0, named_struct('slot', cast(ord % 2 * 3 + k % 3 AS int), 'item', concat('item_', cast(k % 5 AS string)), "
+          "'enchanted', k % 2 = 0, 'count', cast(1 + k % 3 AS int)), NULL)")
+_BAR = ("IF(event_type IN ('view', 'error'), named_struct('ord', ord, 'bar', named_struct('name', "
+        "IF(event_type = 'view', 'the ENDER dragon', 'Wither'), 'percent', round(value, 0) / 100)), NULL)")
+
+
+def seen_ticks(tele: DataFrame) -> DataFrame:
+    """``observed_ticks`` with sleep, equipment and boss bars (``schemas.SEEN``)."""
+    dealt = segments.add_segment(tele.select("session_id", "tick", "ord", "event_type", "k", "value"), "tick")
+    more = dealt.groupBy("session_id", "tick").agg(
+        F.expr("bool_or(event_type = 'view' AND k % 4 = 0)").alias("sleeping"),
+        F.expr(f"IF(bool_or(event_type = 'click'), array_sort(collect_list({_STACK})), NULL)").alias("equipment"),
+        F.transform(F.array_sort(F.expr(f"collect_list({_BAR})")), lambda b: b["bar"]).alias("bars"))
+    return observed_ticks(tele).drop("ts", segments.SEGMENT).join(more, ["session_id", "tick"]).select(*SEEN.names)
+
+
 def tracker_stream(tele: DataFrame, width: int | None = None) -> DataFrame:
     """Tracker calls derived from the observed ticks of every session, with ``call_no``, ``ts`` and their segment."""
     return tracker.tracker_calls(observed_ticks(tele), width, segmented=True)

@@ -110,6 +110,15 @@ OBSERVED = _struct(
     ("inventory", T.ArrayType(_struct(("slot", _INT), ("item", _STR), ("count", _INT)))),
     ("happened", T.ArrayType(_struct(("kind", _STR), ("name", _STR), ("delta", _INT)))),
 )
+# A tick with all that the event log is derived from. ``equipment`` lists the slots that hold something, ``bars`` the
+# boss bars on the screen; ``happened`` may hold CRAFTED (item, count) too.
+SEEN = _struct(
+    *[(f.name, f.dataType) for f in OBSERVED], ("sleeping", _BOOL),
+    ("equipment", T.ArrayType(_struct(("slot", _INT), ("item", _STR), ("enchanted", _BOOL), ("count", _INT)))),
+    ("bars", T.ArrayType(_struct(("name", _STR), ("percent", _DOUBLE)))),
+)
+# Equipment slots by number, as the event log names them in lower case.
+EQUIPMENT_SLOTS = ("MAINHAND", "OFFHAND", "FEET", "LEGS", "CHEST", "HEAD")
 ENTITY_DIED = 3
 # Room for the calls of one tick in a session's call numbers.
 CALLS_PER_TICK = 1 << 20
