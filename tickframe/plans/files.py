@@ -12,7 +12,7 @@ from tickframe.plans.registry import query
 from tickframe.schemas import CAPTURE_HEADER_BYTES, EVENT_HEADER_BYTES, EVENT_TAIL_BYTES, PACKET_HEADER_BYTES_V1, PACKET_HEADER_BYTES_V2
 from tickframe.sinks import tables
 from tickframe.sinks.shared import new_shared_path, write_shared
-from tickframe.sources import binlogs
+from tickframe.sources import binlogs, tick_source
 
 _T = f"WITH {W.TELEMETRY_SQL}"
 # So small that most logs are cut.
@@ -49,6 +49,20 @@ def tick_log_files(spark, sf_dir):
             .join(rejected, "session_id", "left").na.fill(0, ["trailing_bytes"]).withColumn("trailing_bytes", F.col("trailing_bytes").cast("int")))
 
 
+@query("tick_log_source", f"""{_T}
+SELECT session_id, count(*) AS ticks, CAST(sum(k) AS BIGINT) AS hunger_sum, CAST(max(ord) AS INTEGER) AS last_tick
+FROM tele WHERE ord BETWEEN 5 AND 40 GROUP BY ALL""")
+def tick_log_source(spark, sf_dir):
+    """The same logs through the data source: three columns of the ticks 5 to 40, ranges without any of them not read."""
+    rows = _one_log(spark, sf_dir).select("session_id", "chunk_index", F.col("ord").alias("tick"), F.col("k").alias("hunger"))
+    root = _land(encoders.encode_ticks(rows), spark, "tick-source", "gamestate.bin", 7)
+    tick_source.register(spark)
+    ticks = (spark.read.format("tick_log").option("columns", "session_id,tick,hunger").option("minTick", 5).option("maxTick", 40)
+             .option("splitBytes", 8 * PIECE_BYTES).load(root))
+    return ticks.groupBy("session_id").agg(F.count("*").alias("ticks"), F.sum(F.col("hunger").cast("long")).alias("hunger_sum"),
+                                           F.max("tick").alias("last_tick"))
+
+
 _NAME_BYTES = "CASE WHEN k % 10 = 0 THEN 255 ELSE 5 + strlen(CAST(k AS VARCHAR)) END"
 
 

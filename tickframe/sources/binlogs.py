@@ -21,7 +21,7 @@ from tickframe import schemas as S
 from tickframe.functions.labels import record_size
 from tickframe.runtime import ship_package
 from tickframe.sources import borders, ranges
-from tickframe.sources.listing import list_files, list_folders, read_files
+from tickframe.sources.listing import landed_files, list_files, list_folders, read_files
 
 _WHERE = T.StructType([T.StructField("session_id", T.StringType()),
                        T.StructField("chunk_index", T.IntegerType())])
@@ -127,6 +127,15 @@ def read_ticks(spark: SparkSession, path: str, glob: str = "gamestate.bin",
     return decode_tick_ranges(ranges.fixed_ranges(files, S.TICK_RECORD_BYTES, split_bytes))
 
 
+def stream_ticks(spark: SparkSession, path: str, glob: str = "gamestate.bin", split_bytes: int | None = None) -> DataFrame:
+    """Tick rows of logs as they land (R1): a file is read once, when it has come, and must not grow after.
+
+    Spark's file source keeps the offsets of what it has passed on; only names and sizes go through it.
+    """
+    files = landed_files(spark, path, glob)
+    return decode_tick_ranges(ranges.cut(files, S.TICK_RECORD_BYTES, split_bytes).repartition("path", "offset"))
+
+
 def tick_rejects(spark: SparkSession, path: str, glob: str = "gamestate.bin") -> DataFrame:
     """Files whose length is not a whole number of records."""
     trailing = F.col("length") % S.TICK_RECORD_BYTES

@@ -49,6 +49,13 @@ def list_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return read_files(spark, path, glob).drop("content")
 
 
+def landed_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """A stream of the files that land below ``path``; contents are not read."""
+    files = (spark.readStream.format("binaryFile").schema(_LISTING).option("pathGlobFilter", glob)
+             .option("recursiveFileLookup", "true").load(path))
+    return files.select(session_of(F.col("path")).alias("session_id"), chunk_of(F.col("path")).alias("chunk_index"), "path", "length")
+
+
 def list_folders(spark: SparkSession, path: str, name: str) -> DataFrame:
     """``folder`` of every file called ``name`` below ``path``, empty files among them.
 

@@ -43,16 +43,20 @@ def spread(ranges: DataFrame, files: DataFrame, split_bytes: int | None = None)
     return ranges.repartition(tasks, "path", "offset")
 
 
-def fixed_ranges(files: DataFrame, record_bytes: int, split_bytes: int | None = None) -> DataFrame:
-    """Ranges of whole fixed-size records; a partial tail belongs to none."""
+def cut(files: DataFrame, record_bytes: int, split_bytes: int | None = None) -> DataFrame:
+    """Ranges of whole fixed-size records, ``offset`` and ``size``; a partial tail belongs to none."""
     limit = SPLIT_BYTES if split_bytes is None else split_bytes
     step = max(1, limit // record_bytes)
     records = F.call_function("div", F.col("length"), F.lit(record_bytes))
     first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_records") - 1,
                                  F.lit(step).cast("long")))
-    ranges = (files.withColumn("_records", records).where(F.col("_records") > 0)
-              .select("*", first.alias("_first"))
-              .withColumn("offset", F.col("_first") * record_bytes)
-              .withColumn("size", F.least(F.lit(step), F.col("_records") - F.col("_first"))
-                          * record_bytes))
-    return spread(ranges.drop("_records", "_first"), files, limit)
+    return (files.withColumn("_records", records).where(F.col("_records") > 0)
+            .select("*", first.alias("_first"))
+            .withColumn("offset", F.col("_first") * record_bytes)
+            .withColumn("size", F.least(F.lit(step), F.col("_records") - F.col("_first"))
+                        * record_bytes).drop("_records", "_first"))
+
+
+def fixed_ranges(files: DataFrame, record_bytes: int, split_bytes: int | None = None) -> DataFrame:
+    """The ranges of :func:`cut`, dealt out to tasks."""
+    return spread(cut(files, record_bytes, split_bytes), files, split_bytes)
