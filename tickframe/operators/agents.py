@@ -30,14 +30,18 @@ def fill_action(actions: DataFrame) -> DataFrame:
 
 def hold_last(ticks: DataFrame, actions: DataFrame, columns: Sequence[str],
               keys: Sequence[str] = ("connection_id",), at: str = "at",
-              lock_step: bool = False, width: int | None = None) -> DataFrame:
+              lock_step: bool = False, width: int | None = None, arrival: str | None = None) -> DataFrame:
     """The action applied at each tick.
 
     The newest action at or before the tick, held until a newer one arrives; null before the
     first. ``lock_step`` keeps only ticks with an action since the tick before. A connection is
     a key, so closing it drops the held action. Both inputs are united and swept once in
-    order; nothing is paired.
+    order; nothing is paired. Of actions at one time the last by ``arrival`` counts, a column of ``actions`` that
+    numbers them; without it their times must differ.
     """
+    if arrival is not None:
+        last = F.max_by(F.struct(*[c for c in actions.columns if c not in (*keys, at)]), F.col(arrival)).alias("_last")
+        actions = actions.groupBy(*keys, at).agg(last).select(*keys, at, "_last.*")
     action = F.struct(F.col(at).alias("action_at"), *[F.col(c) for c in columns])
     held = ticks.select(*keys, at, F.lit(1).alias("_rank"), F.struct(
         *[F.col(c) for c in ticks.columns if c not in (*keys, at)]).alias("_tick"),

@@ -40,6 +40,20 @@ def action_lock_step(spark, sf_dir):
     return _hold(spark, sf_dir, lock_step=True)
 
 
+@query("action_ties", f"""{_T},
+clicks AS (SELECT session_id, tick AS at, k, ord, row_number() OVER (PARTITION BY session_id, tick ORDER BY ord DESC) AS n
+           FROM tele WHERE event_type IN ('click', 'view')),
+held AS (SELECT t.session_id, t.tick AS at, max(c.at) AS action_at FROM (SELECT DISTINCT session_id, tick FROM tele) t
+         LEFT JOIN clicks c ON c.session_id = t.session_id AND c.at <= t.tick GROUP BY ALL)
+SELECT h.session_id, h.at, h.action_at, k FROM held h LEFT JOIN clicks c ON c.session_id = h.session_id AND c.at = h.action_at AND n = 1""")
+def action_ties(spark, sf_dir):
+    """Two actions may come in one tick: the one that arrived last is held."""
+    tele = W.telemetry(spark, sf_dir)
+    ticks = tele.select("session_id", F.col("tick").alias("at")).distinct()
+    clicks = tele.where(F.col("event_type").isin("click", "view")).select("session_id", F.col("tick").alias("at"), "k", "ord")
+    return agents.hold_last(ticks, clicks, ["k"], keys=["session_id"], arrival="ord")
+
+
 def _turns(spark, sf_dir):
     delta = (F.col("k") * 3 - 150).cast("double")
     return W.telemetry(spark, sf_dir).select(

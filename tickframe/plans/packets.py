@@ -63,6 +63,14 @@ def first_tick_packets(spark, sf_dir):
             .select("session_id", "tick", "pos", "packet_id", "data_len"))
 
 
+@query("packets_of_tick", f"""{_P} SELECT session_id, tick, pos, CAST(packet_id AS INTEGER) AS packet_id, data_len
+FROM packets WHERE session_id = '1' AND tick = 1""")
+def packets_of_tick(spark, sf_dir):
+    """One tick's packets, in the order of the log."""
+    found = packets.packets_of(packet_rows(spark, sf_dir), "1", 1)
+    return found.select("session_id", "tick", "pos", "packet_id", "data_len")
+
+
 _NAMES = "CASE packet_id " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in PACKET_NAMES.items()) + " ELSE 'Unknown' END"
 
 

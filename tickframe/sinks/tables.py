@@ -83,6 +83,12 @@ def current_sessions(status: DataFrame) -> DataFrame:
         F.max("updated_at").alias("updated_at"))
 
 
+def write_index(index: DataFrame, path: str) -> None:
+    """A chunk index in the order of sessions and start ticks (O2): files hold ranges that follow one another."""
+    (index.repartitionByRange("session_id", "start_tick").sortWithinPartitions("session_id", "start_tick")
+     .write.mode("overwrite").parquet(path))
+
+
 def write_chunked(ticks: DataFrame, path: str, size: int = CAPTURE_CHUNK_TICKS) -> DataFrame:
     """Rewrites ticks in fixed chunks and returns the index of what was written (K7, O2).
 
