@@ -359,25 +359,26 @@ _TAGGED = T.StructType([
 def _unpacked_chunk(data: bytes, lz4: pa.Codec, detect_size: bool) -> dict:
     """What becomes of one chunk file: an outcome, and the records if it holds any.
 
-    ``short`` has no room for a header and a length, ``codec`` names another codec, ``block`` does not decompress;
-    all three give no records. ``over-counted`` has fewer whole records than its header declares and gives those.
+    ``short`` has no room for a header and a length and ``block`` does not decompress; both give no records. ``codec``
+    names another codec, but gives its records if they can be unpacked all the same, as an export does.
+    ``over-counted`` has fewer whole records than its header declares and gives those.
     """
     prefix = S.CAPTURE_HEADER_BYTES + 4
     if len(data) < prefix:
         return {"outcome": "short"}
     start, declared, codec = struct.unpack_from("<IHB", data, 6)
-    if codec != S.CAPTURE_CODEC_LZ4:
-        return {"outcome": "codec", "declared": declared}
+    foreign = codec != S.CAPTURE_CODEC_LZ4
     size, = struct.unpack_from("<I", data, S.CAPTURE_HEADER_BYTES)
     try:
         raw = lz4.decompress(data[prefix:], size, asbytes=True)
     except (OSError, ValueError):
-        return {"outcome": "block", "declared": declared}
+        return {"outcome": "codec" if foreign else "block", "declared": declared}
     width = S.CAPTURE_RECORD_BYTES
     if detect_size and len(raw) % width and len(raw) % S.OLD_CAPTURE_RECORD_BYTES == 0:
         width = S.OLD_CAPTURE_RECORD_BYTES
     records = min(declared, len(raw) // width)
-    return {"outcome": "ok" if records == declared else "over-counted", "declared": declared, "records": records, "start": start,
+    outcome = "codec" if foreign else "ok" if records == declared else "over-counted"
+    return {"outcome": outcome, "declared": declared, "records": records, "start": start,
             "width": width, "raw": raw[:records * width], "spare_bytes": len(raw) - records * width}
 
 
