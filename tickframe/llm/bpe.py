@@ -24,7 +24,8 @@ _ENDS = r"[.,;:!?*#$%&|)]*"
 # Runs of white space of which only the first byte may be a space; all others go to the tokenizer.
 _BYTE_ODD = re.compile(r" \n* |\n |[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
-CACHE_PIECES = 1_000_000
+# A worker's cache is emptied beyond this many bytes, by an estimate.
+CACHE_BYTES = 192 << 20
 _JOINED = 2_000
 _encoders: dict[str, "Encoder"] = {}
 
@@ -58,7 +59,7 @@ def encoder(name: str) -> "Encoder":
 
 
 class Encoder:
-    """Encodes columns of texts; keeps at most about ``CACHE_PIECES`` pieces, then starts anew.
+    """Encodes columns of texts; keeps pieces of at most about ``CACHE_BYTES``, then starts anew.
 
     Pieces are known by their hash. Every piece is one atom of letters and one of punctuation,
     each a run of ``ids``.
@@ -79,6 +80,15 @@ class Encoder:
         self.sizes = np.zeros(1 << 12, np.int64)
         self.known = 1
 
+    def cached_bytes(self) -> int:
+        """About what the cache takes; a string with its place in a dictionary counts 200 bytes."""
+        return 16 * len(self.hashes) + 200 * (len(self.letters) + len(self.ends)) + 16 * self.known + 4 * self.used
+
+    def release(self) -> None:
+        """Gives the cache back. For workers that have other work to do next."""
+        self._clear()
+        pa.default_memory_pool().release_unused()
+
     def _add_atoms(self, ids: np.ndarray, sizes: np.ndarray) -> int:
         """Appends atoms; the number of the first one."""
         while self.used + len(ids) > len(self.ids):
@@ -142,7 +152,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and the number of ids per text. Null counts as empty."""
-        if len(self.hashes) > CACHE_PIECES:
+        if self.cached_bytes() > CACHE_BYTES:
             self._clear()
         texts = texts if isinstance(texts, (pa.Array, pa.ChunkedArray)) else pa.array(texts, pa.large_string())
         whole = [i for i, text in enumerate(texts.to_pylist()) if text and self._odd(text)] if self._may_be_odd else []

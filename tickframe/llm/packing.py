@@ -99,7 +99,8 @@ def pack(docs: DataFrame, tokenizer: str = bpe.WORD, end_id: int = END_ID, size:
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         windows = Windows(size, open_windows, least_cut)
-        encode = bpe.encoder(tokenizer).encode
+        encoder = bpe.encoder(tokenizer)
+        encode = encoder.encode
         count = 0
 
         def rows(groups: list[list[tuple]], is_open: bool) -> pa.RecordBatch:
@@ -126,6 +127,7 @@ def pack(docs: DataFrame, tokenizer: str = bpe.WORD, end_id: int = END_ID, size:
             yield rows(windows.closed, False)
             windows.closed = []
         yield rows([p for p in windows.pieces if p], True)
+        encoder.release()  # the worker has other stages' work to do next
 
     # Sequence numbers of tasks must not change when some of them run again, so the pieces are kept.
     pieces = written(map_arrow(texts(docs), packed, _SCHEMA), "pieces")
