@@ -18,10 +18,11 @@ from tickframe.sinks import tables
 from tickframe.sources import binlogs, documents, listing
 
 TICK_FORMAT = ">iqffffffiihbbiiffbbh"
-DEFAULTS = dict(tick=0, timestamp_ms=1000, player_x=100.5, player_y=64.0, player_z=-200.25,
-                player_yaw=45.0, player_pitch=-10.0, health=20.0, hunger=18, xp=7, biome_id=1,
-                light_level=15, is_raining=0, time_of_day=6000, key_mask=5, yaw_delta=1.5,
-                pitch_delta=-0.3, dimension=0, player_pose=0, _padding=0)
+# Edges of every field: signs, extremes, an infinite coordinate.
+DEFAULTS = dict(tick=0, timestamp_ms=(1 << 40) + 1, player_x=-0.0, player_y=float("inf"), player_z=1.5e-30,
+                player_yaw=-179.5, player_pitch=89.75, health=0.25, hunger=-1, xp=(1 << 31) - 1, biome_id=-32768,
+                light_level=-128, is_raining=1, time_of_day=23999, key_mask=127, yaw_delta=180.0,
+                pitch_delta=0.125, dimension=-1, player_pose=5, _padding=32767)
 
 
 def tick(**fields):
@@ -40,12 +41,12 @@ def test_record_is_68_bytes():
 
 def test_one_tick(spark, tmp_path):
     (session(tmp_path) / "gamestate.bin").write_bytes(
-        tick(tick=42, timestamp_ms=5000, player_x=1.0, player_y=2.0, player_z=3.0, hunger=18, key_mask=51))
+        tick(tick=-9, player_z=float("nan"), player_x=-0.5, hunger=-(1 << 31)))
     row = binlogs.read_ticks(spark, str(tmp_path)).first()
     assert row.session_id == "s-1" and row.chunk_index is None
-    assert (row.tick, row.timestamp_ms, row.hunger, row.key_mask) == (42, 5000, 18, 51)
-    assert (row.player_x, row.player_y, row.player_z) == (1.0, 2.0, 3.0)
-    assert row.pitch_delta == pytest.approx(-0.3, abs=1e-6) and row.light_level == 15
+    assert (row.tick, row.timestamp_ms, row.hunger, row.xp) == (-9, (1 << 40) + 1, -(1 << 31), (1 << 31) - 1)
+    assert (row.player_x, row.player_y, row.pitch_delta) == (-0.5, float("inf"), 0.125) and row.player_z != row.player_z
+    assert (row.biome_id, row.light_level, row.dimension, row["_padding"]) == (-32768, -128, -1, 32767)
 
 
 @pytest.mark.parametrize("split_bytes", [None, 68, 700])
@@ -57,27 +58,27 @@ def test_many_ticks_in_any_split(spark, tmp_path, split_bytes):
 
 def test_empty_and_truncated_tick_logs(spark, tmp_path):
     (session(tmp_path, "empty") / "gamestate.bin").write_bytes(b"")
-    (session(tmp_path, "cut") / "gamestate.bin").write_bytes(tick(hunger=20) + b"\0" * 30)
+    (session(tmp_path, "cut") / "gamestate.bin").write_bytes(tick(hunger=-5) + b"\1" * 67)
     back = binlogs.read_ticks(spark, str(tmp_path))
     assert len(back.columns) == 2 + 20
-    assert rows(back.select("session_id", "hunger")) == [("cut", 20)]
+    assert rows(back.select("session_id", "hunger")) == [("cut", -5)]
     assert dict(back.dtypes)["hunger"] == "int"
     assert rows(binlogs.tick_rejects(spark, str(tmp_path)).select("session_id", "length", "trailing_bytes")) == [
-        ("cut", 98, 30)]
+        ("cut", 135, 67)]
 
 
 def test_missing_folder_or_log_gives_no_rows(spark, tmp_path):
     assert binlogs.read_ticks(spark, str(tmp_path / "nowhere")).count() == 0
     folder = session(tmp_path)
-    (folder / "gamestate_events.bin").write_bytes(pack_event(1, 0, "oak_log", 1, 0))
+    (folder / "gamestate_events.bin").write_bytes(pack_event(0, 3, "bed", 0, 0))
     assert binlogs.read_ticks(spark, str(tmp_path)).count() == 0
     assert binlogs.read_events(spark, str(tmp_path)).count() == 1
     table = documents.read_session_table(spark, str(tmp_path / "none"), S.EVENTS)
     assert table.count() == 0 and "session_id" in table.columns
 
 
-EVENTS = [(1, 0, "oak_log", 1, 0), (5, 0, "cobblestone", 64, 32), (20, 2, "player", 0, 0),
-          (30, 3, "bed", 0, 0)]
+# Empty and longest names, extreme numbers, types of the later kind.
+EVENTS = [(-3, 0, "", -32768, 32767), (0, 4, "mod:sky", 0, 0), (7, 5, "ender_dragon", 10000, -1), ((1 << 31) - 1, 6, "n" * 255, 1, 0)]
 
 
 @pytest.mark.parametrize("split_bytes", [None, 1, 40])
@@ -118,7 +119,7 @@ def test_conversion_to_parquet_and_back(spark, tmp_path):
     folder = session(raw, "0042")
     (folder / "gamestate.bin").write_bytes(b"".join(tick(tick=i) for i in range(5)))
     (folder / "gamestate_events.bin").write_bytes(
-        pack_event(3, 0, "diamond", 3, 1) + pack_event(4, 0, "iron_ingot", 0, 5))
+        pack_event(0, 1, "plank", 4, 0) + pack_event(2, 0, "", -1, 32767))
     tables.write_by_session(binlogs.read_ticks(spark, str(raw)), str(out / "ticks"))
     tables.write_events(binlogs.read_events(spark, str(raw)), str(out / "events"), labels_mode="strict_v1")
     # An all-digit id stays text.
@@ -126,7 +127,7 @@ def test_conversion_to_parquet_and_back(spark, tmp_path):
     assert rows(ticks.select("session_id", "tick"), "tick") == [("0042", i) for i in range(5)]
     events = spark.read.parquet(str(out / "events"))
     assert rows(events.select("event_type", "item_name", "count", "prev_count"), "tick") == [
-        ("INVENTORY_DELTA", "diamond", 3, 1), ("INVENTORY_DELTA", "iron_ingot", 0, 5)]
+        ("CRAFTED", "plank", 4, 0), ("INVENTORY_DELTA", "", -1, 32767)]
 
 
 # --- capture chunks and packets ---------------------------------------------

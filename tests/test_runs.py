@@ -39,6 +39,7 @@ def summary(spark, calls, **options):
 
 
 def win():
+    """Conformance case: ticks, resources and scores are fixed values."""
     return (Calls("win").ticks(3600).call("DIMENSION", NETHER).ticks(3720)
             .call("INVENTORY", "minecraft:blaze_rod", -7).call("INVENTORY", "minecraft:ender_pearl", -12)
             .call("DIMENSION", END).ticks(400).call("PLACED", "minecraft:white_bed")
@@ -58,9 +59,10 @@ def test_win(spark, width):
 
 
 def test_quit(spark):
-    r = summary(spark, Calls("quit").ticks(1000).call("DIMENSION", NETHER).ticks(500))
-    assert (r.outcome, r.completed, r.nether_ticks, r.end_ticks) == ("quit", False, 500, 0)
-    assert (r.kill_tick, r.dragon_enter_tick, r.portal_build_tick) == (-1, -1, 1000)
+    calls = Calls("quit").ticks(37).call("DIMENSION", NETHER).ticks(11).call("DIMENSION", OVER).ticks(2).call("DIMENSION", NETHER).ticks(1)
+    r = summary(spark, calls, width=10)
+    assert (r.outcome, r.completed, r.nether_ticks, r.overworld_ticks, r.end_ticks) == ("quit", False, 12, 39, 0)
+    assert (r.kill_tick, r.dragon_enter_tick, r.portal_build_tick, r.duration_ticks) == (-1, -1, 37, 51)
 
 
 def test_death(spark):
