@@ -21,8 +21,14 @@ WORD, BYTE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 _LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
 _ENDS = r"[.,;:!?*#$%&|)]*"
-# Runs of white space of which only the first byte may be a space; all others go to the tokenizer.
-_BYTE_ODD = re.compile(r" \n* |\n |[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+# White space other than single spaces and line ends, by its UTF-8: bytes of their own, and the last bytes of
+# U+0085, U+00A0, U+1680, U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F and U+3000 by the bytes before.
+_ODD_BYTES = np.zeros(256, bool)
+_ODD_BYTES[[0x09, 0x0B, 0x0C, 0x0D, *range(0x1C, 0x20)]] = True
+_ODD_ENDS = {(0xC2,): (0x85, 0xA0), (0xE1, 0x9A): (0x80,), (0xE2, 0x80): (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF),
+             (0xE2, 0x81): (0x9F,), (0xE3, 0x80): (0x80,)}
+_ODD_LEADS = np.zeros(256, bool)
+_ODD_LEADS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 # A worker's cache is emptied beyond this many bytes, by an estimate.
 CACHE_BYTES = 192 << 20
@@ -58,6 +64,23 @@ def encoder(name: str) -> "Encoder":
     return _encoders[name]
 
 
+def odd_texts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Numbers of the texts with white space that pieces do not cover: a space after white space, or any other kind."""
+    if not len(data):
+        return np.zeros(0, np.int64)
+    odd = _ODD_BYTES[data]
+    odd[1:] |= (data[1:] == 0x20) & ((data[:-1] == 0x20) | (data[:-1] == 0x0A))
+    firsts = bounds[:-1][bounds[:-1] < len(data)]
+    odd[firsts] &= data[firsts] != 0x20  # what is before belongs to another text
+    lead = np.flatnonzero(_ODD_LEADS[data])
+    for before, last in _ODD_ENDS.items():
+        at = lead[lead + len(before) < len(data)]
+        for k, byte in enumerate(before):
+            at = at[data[at + k] == byte]
+        odd[at[np.isin(data[at + len(before)], last)]] = True
+    return np.unique(np.searchsorted(bounds, np.flatnonzero(odd), "right") - 1)
+
+
 class Encoder:
     """Encodes columns of texts; keeps pieces of at most about ``CACHE_BYTES``, then starts anew.
 
@@ -109,15 +132,16 @@ class Encoder:
         sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
         return np.fromiter(itertools.chain.from_iterable(encoded), np.uint32, int(sizes.sum())), sizes
 
+    def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces: many in one call, cut apart where a piece begins or ends."""
+        ids = np.array(self.tokenizer.encode_batch_fast([self._join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+        sizes = self._cut(ids)
+        return (ids, sizes) if len(sizes) == len(pieces) else self._encode_each(pieces)
+
     def _learn_letters(self, words: list[str]) -> None:
-        """Adds atoms of letters: many in one call, cut apart where a word begins or ends."""
         for k in range(0, len(words), _JOINED):
             some = words[k:k + _JOINED]
-            ids = np.array(self.tokenizer.encode(self._join(some), add_special_tokens=False).ids, np.uint32)
-            sizes = self._cut(ids)
-            if len(sizes) != len(some):
-                ids, sizes = self._encode_each(some)
-            first = self._add_atoms(ids, sizes)
+            first = self._add_atoms(*self._joined(some))
             self.letters.update(zip(some, range(first, first + len(some))))
 
     def _learn(self, pieces: list[str]) -> np.ndarray:
@@ -127,12 +151,15 @@ class Encoder:
         for end in {f[2] for f in found if f}.difference(self.ends):
             self.ends[end] = self._add_atoms(*self._encode_each([end]))
         other = [p for p, f in zip(pieces, found) if not f]
-        first = self.known
-        for k in range(0, len(other), _JOINED):
-            self._add_atoms(*self._encode_each(other[k:k + _JOINED]))
-        rest = itertools.count(first)
+        atoms: dict[str, int] = {}
+        for encode, kind in ((self._joined, [p for p in other if self._begins_alone(p)]),
+                             (self._encode_each, [p for p in other if not self._begins_alone(p)])):
+            for k in range(0, len(kind), _JOINED):
+                some = kind[k:k + _JOINED]
+                first = self._add_atoms(*encode(some))
+                atoms.update(zip(some, range(first, first + len(some))))
         letters, ends = self.letters, self.ends
-        return np.array([letters[f[1]] << 32 | ends[f[2]] if f else next(rest) << 32 for f in found], np.int64)
+        return np.array([letters[f[1]] << 32 | ends[f[2]] if f else atoms[p] << 32 for p, f in zip(pieces, found)], np.int64)
 
     def _codes(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
         hashes, at, back = np.unique(hash_spans(data, starts, stops), return_index=True, return_inverse=True)
@@ -155,8 +182,8 @@ class Encoder:
         if self.cached_bytes() > CACHE_BYTES:
             self._clear()
         texts = texts if isinstance(texts, (pa.Array, pa.ChunkedArray)) else pa.array(texts, pa.large_string())
-        whole = [i for i, text in enumerate(texts.to_pylist()) if text and self._odd(text)] if self._may_be_odd else []
         data, bounds = text_bytes(texts)
+        whole = odd_texts(data, bounds).tolist() if self._may_be_odd else []
         starts, stops = self._spans(data, bounds)
         codes = self._codes(data, starts, stops)
         atoms = np.empty(2 * len(codes), np.int64)
@@ -179,6 +206,10 @@ class WordEncoder(Encoder):
 
     _may_be_odd = False
 
+    @staticmethod
+    def _begins_alone(piece: str) -> bool:
+        return False
+
     def __init__(self, path: str):
         super().__init__(path)
         vocabulary = self.tokenizer.get_vocab()
@@ -205,7 +236,11 @@ class ByteEncoder(Encoder):
     """For the byte-level tokenizer; a piece is a space and what follows up to the next one."""
 
     _may_be_odd = True
-    _odd = staticmethod(_BYTE_ODD.search)
+
+    @staticmethod
+    def _begins_alone(piece: str) -> bool:
+        """Whether the piece begins with its own space, so that it may follow any other."""
+        return piece[0] == " " and "\n" not in piece
 
     def __init__(self, path: str):
         super().__init__(path)

@@ -251,8 +251,10 @@ def write(docs: DataFrame, path: str, tokenizer: str = bpe.BYTE, end_id: int = 0
             yield block()
 
     files = max(1, -(-int(counts.sum()) // file_ids))
-    order = ["doc_id", "n_tokens", F.xxhash64("ids")]
-    ordered = tokens.repartitionByRange(files, *order).sortWithinPartitions(*order)
+    # Rows that agree in both columns are told apart by their ids, but within a file only: hashing all ids to
+    # sample and to deal them out would cost more than the sort.
+    order = ["doc_id", "n_tokens"]
+    ordered = tokens.repartitionByRange(files, *order).sortWithinPartitions(*order, F.xxhash64("ids"))
     map_arrow(ordered, encode, "file_id long, block long, start long, n_docs long, n_tokens long, data binary"
               ).write.parquet(f"{path}/blocks")
 
