@@ -24,7 +24,7 @@ from tickframe.llm import words
 from tickframe.llm.components import connected_components
 from tickframe.llm.key_filter import key_bitmap, may_match
 from tickframe.llm.near_dups import PERCENT, SHINGLE, confirm, distinct_sets, signatures, vertex_of
-from tickframe.llm.tables import batches_of, binary, lists, map_arrow, texts, written
+from tickframe.llm.tables import batches_of, binary, lists, map_arrow, texts, unused_names, written
 
 BANDS = 10
 ROWS = 3
@@ -96,12 +96,15 @@ def _sequence_keys(hashes: np.ndarray, at: np.ndarray, number: np.ndarray) -> np
 
 def units(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, line_words: int = LINE_WORDS,
           sentence_words: int = SENTENCE_WORDS) -> DataFrame:
-    """``doc_id, start, end`` (bytes), ``n_words, kind, key, bands``: long lines, and the sentences of lines with several."""
+    """``doc_id, text_hash, start, end`` (bytes), ``n_words, kind, key, bands``: long lines, and the sentences of lines with several.
+
+    ``text_hash`` tells rows apart that share a ``doc_id``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, _BATCH):
             hashes, starts, ends, owner, new_line, new_sentence = _pieces(batch.column("text"))
-            ids = batch.column("doc_id")
+            ids, own = batch.column("doc_id"), batch.column("text_hash")
             at, number, sets, sizes = _lines(hashes, new_line, line_words)
             keys = _band_keys(signatures(sets, sizes, bands * rows), bands)
             s_at, s_number = _groups(new_sentence, len(hashes))
@@ -112,13 +115,13 @@ def units(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, line_words: int
             both, count = np.concatenate([at, s_at]), np.concatenate([number, s_number])
             names = np.concatenate([vertex_of(sets, sizes), _sequence_keys(hashes, s_at, s_number)])
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(owner[both])), pa.array(starts[both]), pa.array(ends[both + count - 1]), pa.array(count),
+                [ids.take(pa.array(owner[both])), own.take(pa.array(owner[both])), pa.array(starts[both]), pa.array(ends[both + count - 1]), pa.array(count),
                  pa.array(np.repeat(np.array([LINE, SENTENCE], np.int32), [len(at), len(s_at)])), pa.array(names),
                  lists(keys.ravel(), np.concatenate([np.full(len(at), bands), np.zeros(len(s_at), np.int64)]))],
-                ["doc_id", "start", "end", "n_words", "kind", "key", "bands"])
+                ["doc_id", "text_hash", "start", "end", "n_words", "kind", "key", "bands"])
 
-    return map_arrow(texts(docs).where("doc_id IS NOT NULL"), run,
-                     "doc_id long, start long, end long, n_words long, kind int, key long, bands binary")
+    hashed = texts(docs).where("doc_id IS NOT NULL").withColumn("text_hash", F.xxhash64("text"))
+    return map_arrow(hashed, run, "doc_id long, text_hash long, start long, end long, n_words long, kind int, key long, bands binary")
 
 
 def _collisions(found: DataFrame, bands: int) -> DataFrame:
@@ -146,10 +149,11 @@ def repeats(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, percent: int
             sentence_words: int = SENTENCE_WORDS) -> DataFrame:
     """Occurrences of passages that lie in two documents or more.
 
-    ``doc_id, start_byte, end_byte, n_words, kind`` (line or sentence), ``class_doc_id, class_start``: the
+    ``doc_id, text_hash, start_byte, end_byte, n_words, kind`` (line or sentence), ``class_doc_id, class_start``: the
     occurrence that stays, ``removed``: true for all others. Offsets count UTF-8 bytes of the text. Null and
-    empty texts have no passages; rows with a null ``doc_id`` take no part; rows that share a
-    ``doc_id`` are one document; other columns are ignored. Clean documents have no rows.
+    empty texts have no passages; rows with a null ``doc_id`` take no part; rows that share a ``doc_id`` are one
+    document, so what repeats among them only is no repeat, but each has passages of its own, told apart by
+    ``text_hash``; other columns are ignored. Clean documents have no rows.
     """
     found = written(units(docs, bands, rows, line_words, sentence_words), "units")
     equal = found.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a <> z").select("key")
@@ -175,25 +179,32 @@ def repeats(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, percent: int
         for batch in batches:
             yield batch.filter(pa.array(may_match(bitmap.value, batch.column("key").to_numpy())))
 
-    few = map_arrow(found.drop("bands"), keep, "doc_id long, start long, end long, n_words long, kind int, key long")
+    few = map_arrow(found.drop("bands"), keep, "doc_id long, text_hash long, start long, end long, n_words long, kind int, key long")
     classed = (few.join(joined.withColumnRenamed("vertex", "key"), "key", "left")
                .withColumn("class", F.coalesce("component", "key")).drop("component", "key"))
     classed = written(classed, "occurrences")
-    first = (classed.groupBy("class").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.max("doc_id").alias("z"))
-             .where("f.doc_id <> z").select("class", F.col("f.doc_id").alias("class_doc_id"), F.col("f.start").alias("class_start")))
+    first = (classed.groupBy("class").agg(F.min(F.struct("doc_id", "start", "text_hash")).alias("f"), F.max("doc_id").alias("z"))
+             .where("f.doc_id <> z").select("class", F.col("f.doc_id").alias("class_doc_id"), F.col("f.start").alias("class_start"),
+                                            F.col("f.text_hash").alias("class_text")))
+    stays = (F.col("doc_id") == F.col("class_doc_id")) & (F.col("start") == F.col("class_start")) & (F.col("text_hash") == F.col("class_text"))
     return classed.join(first, "class").select(
-        "doc_id", F.col("start").alias("start_byte"), F.col("end").alias("end_byte"), "n_words",
+        "doc_id", "text_hash", F.col("start").alias("start_byte"), F.col("end").alias("end_byte"), "n_words",
         F.when(F.col("kind") == LINE, "line").otherwise("sentence").alias("kind"), "class_doc_id", "class_start",
-        ((F.col("doc_id") != F.col("class_doc_id")) | (F.col("start") != F.col("class_start"))).alias("removed")).distinct()
+        (~stays).alias("removed")).distinct()
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
-    """``text`` without the byte spans and without lines that they leave empty."""
+    """``text`` without the byte spans, the blanks that they leave at the ends of lines, and lines they leave empty."""
     raw, out, at = text.encode(), [], 0
     for start, end in sorted(spans):
         if start > at:
             out.append(raw[at:start])
-        at = max(at, end)
+        if end > at:
+            at = end
+            while at < len(raw) and raw[at] in b" \t":
+                at += 1
+            if out and (at == len(raw) or raw[at] == 10):
+                out[-1] = out[-1].rstrip(b" \t")
     out.append(raw[at:])
     return "\n".join(line for line in b"".join(out).decode().split("\n") if line.strip())
 
@@ -201,12 +212,16 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 def removed(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without the repeated passages, columns as they were; texts left without words go.
 
-    Only documents that lose something are shuffled.
+    A row loses the passages found in its own text, whatever other rows share its ``doc_id``; where it has a
+    column ``n_chars``, that follows the text. Rows with a null ``doc_id`` and texts that lose nothing, null and empty ones
+    among them, stay as they are. Further columns are carried along, whatever their names, and an empty table
+    stays empty. Only documents that lose something are shuffled.
     """
-    gone = repeats(docs, **options).where("removed").groupBy("doc_id").agg(
-        F.collect_list(F.struct("start_byte", "end_byte")).alias("_spans"))
-    gone = written(gone.withColumnRenamed("doc_id", "_id"), "removals")
-    bitmap = key_bitmap(gone.select("_id"))
+    doc, own, spans = unused_names(docs, "doc", "own", "spans")
+    gone = repeats(docs, **options).where("removed").groupBy("doc_id", "text_hash").agg(
+        F.collect_list(F.struct("start_byte", "end_byte")).alias(spans))
+    gone = written(gone.withColumnsRenamed({"doc_id": doc, "text_hash": own}), "removals")
+    bitmap = key_bitmap(gone.select(doc))
     columns = docs.columns
 
     def split(touched: bool):
@@ -219,15 +234,18 @@ def removed(docs: DataFrame, **options) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found = batch.column(spans).to_pylist()
             new = [t if not s or t is None else without(t, [(x["start_byte"], x["end_byte"]) for x in s])
-                   for t, s in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist())]
+                   for t, s in zip(batch.column("text").to_pylist(), found)]
             # A text that loses nothing stays, be it empty or null.
-            use = [not s or bool(_WORD.search(t)) for t, s in zip(new, batch.column("_spans").to_pylist())]
-            yield batch.drop_columns(["_spans"]).set_column(columns.index("text"), "text", pa.array(new, pa.string())).filter(pa.array(use))
+            use = [not s or bool(_WORD.search(t)) for t, s in zip(new, found)]
+            yield batch.drop_columns([spans]).set_column(columns.index("text"), "text", pa.array(new, pa.string())).filter(pa.array(use))
 
     kept = map_arrow(docs, split(False), docs.schema)
-    touched = map_arrow(docs, split(True), docs.schema).join(gone, F.col("doc_id") == F.col("_id"), "left").drop("_id")
-    changed = map_arrow(touched.select(*columns, "_spans"), cut, docs.schema)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    touched = map_arrow(docs, split(True), docs.schema).join(
+        gone, (F.col("doc_id").cast("long") == F.col(doc)) & (F.xxhash64(text) == F.col(own)), "left")
+    changed = map_arrow(touched.select(*columns, spans), cut, docs.schema)
     if "n_chars" in columns:
         kind = docs.schema["n_chars"].dataType
         changed = changed.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))

@@ -89,6 +89,18 @@ def binary(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw.tobytes(), kind), np.diff(bounds) // width
 
 
+def unused_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for working columns that ``df`` does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, safe from lost executors."""
     return write_shared(df, f"llm-{name}")
