@@ -7,10 +7,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.conftest import SMALL
-from tests.llm.brute import BASE, awkward_rows, components, documents, grams, shingle_set, words
+from tests.llm.brute import BASE, OTHER, awkward_rows, components, documents, grams, shingle_set, words
 from tickframe.llm import near_dups, passages, top_k
 from tickframe.llm.components import connected_components
 
@@ -46,7 +47,7 @@ def near_copies(n, seed=1):
 
 
 @pytest.mark.parametrize("size", [4, 5])
-@pytest.mark.parametrize("limits", [{}, {"node": 12, "leaders": 3}])
+@pytest.mark.parametrize("limits", [{}, {"node": 12}])
 def test_near_duplicates(spark, monkeypatch, size, limits):
     if limits:
         monkeypatch.setattr(near_dups, "CLUSTER", 8)
@@ -121,10 +122,50 @@ def test_passages_of_awkward_rows(spark):
     for r in out.collect():
         texts.setdefault(r["doc_id"], r["text"])
         assert r["text"] is None or r["n_chars"] == len(r["text"])
-    assert texts[1] == BASE and 3 not in texts and texts[5] is None and texts[6] == ""
+    # One word makes document 3's line differ in 10 of 42 shingles, too many for a link; its two equal sentences go.
+    assert texts[3] == "Boats rocked slowly against the worn stone pier while gulls cried."
+    assert texts[1] == BASE and texts[5] is None and texts[6] == ""
     assert passages.repeats(documents(spark, [])).count() == 0 and passages.removed(documents(spark, [])).count() == 0
 
 
+def test_a_row_loses_only_its_own_passages(spark):
+    extra = OTHER + " And this text repeats nothing that any other document has in it at all."
+    rows = [(1, BASE), (2, BASE), (2, BASE), (2, extra), (3, "x y z\n" + BASE + "\nlast line"), (4, None)]
+    left = Counter((r["doc_id"], r["text"]) for r in passages.removed(documents(spark, rows)).collect())
+    assert left == Counter([(1, BASE), (2, extra), (3, "x y z\nlast line"), (4, None)])
+
+
+def test_what_is_cut_leaves_no_blanks_at_line_ends():
+    assert passages.without("one two. three. four", [(9, 16)]) == "one two. four"
+    assert passages.without("one. two\nthree", [(5, 8)]) == "one.\nthree"
+    assert passages.without("one. two", [(0, 5)]) == "two" and passages.without("a b", [(0, 3)]) == ""
+    assert passages.without("keep  this \n gone", [(13, 17)]) == "keep  this "
+
+
+def test_columns_of_any_name_are_carried_along(spark):
+    names = ["_id", "_spans", "_vertex", "_gone", "_its", "doc", "own", "spans", "vertex", "lost", "its", "Text_Hash", "component", "key"]
+    docs = documents(spark, [(1, BASE), (2, BASE), (3, OTHER), (None, BASE)])
+    docs = docs.select("doc_id", "text", *[F.lit(f"v{k}").alias(n) for k, n in enumerate(names)])
+    for out in (near_dups.deduplicated(docs), passages.removed(docs)):
+        got = out.collect()
+        assert out.columns == docs.columns and sorted(r["doc_id"] or 0 for r in got) == [0, 1, 3]
+        assert all(r[n] == f"v{k}" for r in got for k, n in enumerate(names))
+
+
+@pytest.mark.parametrize("copies, node", [(300, 12), (1600, 64)])
+def test_dense_groups_lose_no_link(spark, copies, node):
+    """Far more near copies than a node holds: the same components as without any node limit."""
+    rows = [(k, t) for k, t in enumerate(near_copies(copies, 3))]
+    got = {r["doc_id"]: r["component_id"] for r in near_dups.near_duplicates(documents(spark, rows), shingle=4, node=node).collect()}
+    items = {}
+    sets = [np.array(sorted(items.setdefault(s, len(items)) for s in shingle_set(t, 4)), np.uint64) for _, t in rows]
+    labels = near_dups.confirmed_labels(sets, 80)
+    first = {}
+    for k, label in enumerate(labels.tolist()):
+        first.setdefault(label, k)
+    assert got == {k: first[label] for k, label in enumerate(labels.tolist())}
+
+
 def plain_bm25(rows, query, k):
     docs = [(d, Counter(words(t))) for d, t in rows]
     n, mean = len(docs), sum(sum(c.values()) for _, c in docs) / len(docs)

@@ -3,13 +3,14 @@
 1. Every document becomes the set of its word shingles; documents with equal sets are one vertex.
 2. Every tree sends each vertex down a path of minwise tokens, selected per tree. A node holds the
    vertices with one path. Small nodes are compared exhaustively by signatures; large ones branch
-   once more, by several further tokens, and what stays large is compared in blocks, and every
-   block with the node's first vertices. A node yields a spanning forest of the similar pairs, not the pairs.
+   once more, by several further tokens, and what stays large is compared exhaustively in blocks, after
+   one anchor has settled those like it. A node yields a spanning forest of the similar pairs, not the pairs.
 3. The union of all trees splits the vertices into clusters that hold every link the trees
    recalled, and more. Inside a cluster, links are confirmed on full sets.
 
-With ``TREES`` trees of ``DEPTH`` tokens a pair of similarity 0.8 shares no node with a probability of
-(1 - 0.8**3)**24, below 1e-7.
+The ``TREES`` trees choose ``DEPTH`` tokens each among the same ``FUNCTIONS`` functions. Over the binomial number
+of functions on which a pair of similarity 0.8 agrees, it shares no node of any tree with a probability
+of 1e-5, and 2e-4 if all its nodes are large and branch. A group of copies is held together by many pairs.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from tickframe.llm import words
 from tickframe.llm.components import connected_components
 from tickframe.llm.key_filter import key_bitmap, may_match
-from tickframe.llm.tables import batches_of, binary, lists, map_arrow, texts, written
+from tickframe.llm.tables import batches_of, binary, lists, map_arrow, texts, unused_names, written
 
 SHINGLE = 5
 PERCENT = 80
@@ -34,7 +35,7 @@ TREES = 24
 DEPTH = 3
 BRANCHES = 3  # children that a large node's vertices go to
 NODE = 512  # vertices compared exhaustively
-LEADERS = 32
+LEVELS = 4
 CLUSTER = 256  # vertices whose sets are compared in one task
 # Signatures that agree on less than this share are not similar: eight standard deviations below 0.8 of
 # 64 functions would be 0.4; a pair is met in many trees but always with the same signatures.
@@ -130,19 +131,52 @@ def _nodes(vertices: DataFrame, functions: int, trees: int, depth: int) -> DataF
     return map_arrow(vertices.select("vertex", "signature"), run, "node long, vertex long")
 
 
-def _branched(large: DataFrame, functions: int, branches: int) -> DataFrame:
-    """Members of large nodes in their child nodes."""
+def _branched(large: DataFrame, functions: int, branches: int, depth: int = DEPTH) -> DataFrame:
+    """Members of large nodes (``node, vertex, signature``) in their child nodes.
+
+    Every node selects functions of its own: were they the same in all trees, a vertex whose tokens there
+    are its own would be alone in every one of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks = binary(batch.column("signature"), np.uint16)[0].reshape(-1, functions)
             ids, parent = batch.column("vertex").to_numpy(), batch.column("node").to_numpy().view(np.uint64)
-            keys = np.concatenate([_paths(marks, parent, 1000 + k, 3) for k in range(branches)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.view(np.int64)), pa.array(np.tile(ids, branches)),
-                 pa.concat_arrays([batch.column("signature")] * branches)], ["node", "vertex", "signature"])
+            row, keys = np.arange(len(ids)), []
+            for branch in range(branches):
+                node = words.mix(parent ^ np.uint64(branch + 1))
+                for level in range(depth):
+                    chosen = words.mix(parent ^ np.uint64(branch << 8 | level + 1 << 16)) % np.uint64(functions)
+                    token = marks[row, chosen.astype(np.int64)].astype(np.uint64) | chosen + np.uint64(1) << np.uint64(32)
+                    with np.errstate(over="ignore"):
+                        node = words.mix(node * np.uint64(0x9E3779B97F4A7C15) + token)
+                keys.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(ids, branches))], ["node", "vertex"])
+
+    return map_arrow(large.select("node", "vertex", "signature"), run, "node long, vertex long")
+
+
+def _nibbles(marks: np.ndarray) -> np.ndarray:
+    """The low four bits of every mark, two to a byte: enough to tell that two signatures differ widely."""
+    low = (marks & np.uint16(15)).astype(np.uint8)
+    return low[:, 0::2] | low[:, 1::2] << 4
+
+
+def _unpacked(packed: np.ndarray) -> np.ndarray:
+    return np.concatenate([packed & 15, packed >> 4], axis=1)
+
+
+def _short(vertices: DataFrame, functions: int) -> DataFrame:
+    """``vertex, marks``: signatures cut to four bits a function, which the members of nodes carry."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = binary(batch.column("signature"), np.uint16)[0].reshape(-1, functions)
+            packed = _nibbles(marks)
+            yield pa.RecordBatch.from_arrays([batch.column("vertex"), lists(packed.ravel(), np.full(len(packed), packed.shape[1]))],
+                                             ["vertex", "marks"])
 
-    return map_arrow(large.select("node", "vertex", "signature"), run, "node long, vertex long, signature binary")
+    return map_arrow(vertices.select("vertex", "signature"), run, "vertex long, marks binary")
 
 
 def similar_forest(marks: np.ndarray, least: float) -> list[tuple[int, int]]:
@@ -163,11 +197,11 @@ def similar_forest(marks: np.ndarray, least: float) -> list[tuple[int, int]]:
 
 
 def _forests(members: DataFrame, functions: int, least: float) -> DataFrame:
-    """Edges ``a, b`` of similar vertices within each node; rows hold ``node, vertex, signature``."""
+    """Edges ``a, b`` of similar vertices within each node; rows hold ``node, vertex, marks``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_ids = kept_nodes = np.zeros(0, np.int64)
-        kept_marks = np.zeros((0, functions), np.uint16)
+        kept_marks = np.zeros((0, functions), np.uint8)
 
         def edges(nodes, ids, marks) -> pa.RecordBatch:
             left, right = [], []
@@ -182,7 +216,7 @@ def _forests(members: DataFrame, functions: int, least: float) -> DataFrame:
         for batch in batches:
             nodes = np.concatenate([kept_nodes, batch.column("node").to_numpy()])
             ids = np.concatenate([kept_ids, batch.column("vertex").to_numpy()])
-            marks = np.concatenate([kept_marks, binary(batch.column("signature"), np.uint16)[0].reshape(-1, functions)])
+            marks = np.concatenate([kept_marks, _unpacked(binary(batch.column("marks"), np.uint8)[0].reshape(-1, functions // 2))])
             if not len(nodes):
                 continue
             last = int(np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]]))[-1])
@@ -192,39 +226,74 @@ def _forests(members: DataFrame, functions: int, least: float) -> DataFrame:
         if len(kept_nodes):
             yield edges(kept_nodes, kept_ids, kept_marks)
 
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = members.select("node", "vertex", "signature").repartition(parts, "node").sortWithinPartitions("node", "vertex")
+    ordered = members.select("node", "vertex", "marks").repartition("node").sortWithinPartitions("node", "vertex")
     return map_arrow(ordered, run, "a long, b long")
 
 
-def _counted(members: DataFrame, columns: list[str]) -> DataFrame:
+def _settled(members: DataFrame, functions: int, least: float) -> DataFrame:
+    """Members of large nodes with their node's ``anchor`` and whether they are ``like`` it."""
+    anchors = members.groupBy("node").agg(F.min_by(F.struct("vertex", "marks"), F.xxhash64("vertex")).alias("a"))
+    near = members.join(anchors.select("node", F.col("a.vertex").alias("anchor"), F.col("a.marks").alias("anchor_marks")), "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, other = (_unpacked(binary(batch.column(c), np.uint8)[0].reshape(-1, functions // 2)) for c in ("marks", "anchor_marks"))
+            like = (own == other).mean(axis=1) >= least
+            yield batch.drop_columns(["anchor_marks"]).append_column("like", pa.array(like))
+
+    return written(map_arrow(near.select("node", "n", "vertex", "marks", "anchor", "anchor_marks"), run,
+                             "node long, n long, vertex long, marks binary, anchor long, like boolean"), "settled")
+
+
+def _rest(judged: DataFrame, functions: int, node: int, least: float) -> DataFrame:
+    """Edges between the members that are not like their anchor and all members of their node, block against block."""
+    half = max(1, node // 2)
+    blocks = F.ceil(F.col("n") / half).cast("long")
+    rows = judged.withColumn("block", F.pmod(F.xxhash64("vertex"), blocks))
+    loose = judged.where("NOT like")
+    ways = loose.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / half).cast("long").alias("ways"))
+    asking = loose.join(ways, "node").select(
+        "node", F.pmod(F.xxhash64("vertex", F.lit(5)), F.col("ways")).alias("way"), _numbers(blocks).alias("block"), "vertex", "marks")
+    asked = rows.join(ways, "node").select("node", _numbers(F.col("ways")).alias("way"), "block", "vertex", "marks")
+    pairs = asking.unionByName(asked).dropDuplicates(["node", "way", "block", "vertex"])
+    return _forests(pairs.withColumn("node", F.xxhash64("node", "way", "block")), functions, least)
+
+
+def _counted(members: DataFrame) -> DataFrame:
     """Members of nodes with company, and the node's size ``n``."""
     sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return members.select("node", "vertex", *columns).join(sizes, "node")
+    return members.select("node", "vertex").join(sizes, "node")
 
 
 def candidate_edges(vertices: DataFrame, functions: int = FUNCTIONS, trees: int = TREES, depth: int = DEPTH,
-                    branches: int = BRANCHES, node: int = NODE, leaders: int = LEADERS,
-                    least: float = LEAST_AGREEING) -> DataFrame:
-    """Edges whose components hold every pair of ``vertices`` (``vertex, signature``) that the trees recall."""
-    members = written(_counted(_nodes(vertices, functions, trees, depth), []).join(vertices.select("vertex", "signature"), "vertex"),
-                      "nodes")
-    found = _forests(members.where(F.col("n") <= node), functions, least)
-    if members.where(F.col("n") > node).isEmpty():
-        return found.distinct()
-    large = _counted(_branched(members.where(F.col("n") > node), functions, branches), ["signature"])
-    found = found.unionByName(_forests(large.where(F.col("n") <= node), functions, least))
-    dense = large.where(F.col("n") > node)
-    # What is still large is mostly alike. Blocks are compared exhaustively; the vertices with
-    # the least hashes of a node go to each of its blocks and tie them together.
-    blocks = F.ceil(F.col("n") / (node - leaders))
-    mine = dense.withColumn("block", F.pmod(F.xxhash64("vertex"), blocks))
-    chance = F.pmod(F.xxhash64("vertex", F.lit(1)), F.greatest(F.lit(1).cast("long"), F.floor(F.col("n") / leaders)))
-    lead = dense.where(chance == 0).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)))
-    spread = mine.select("node", "vertex", "signature", F.col("block").cast("long")).unionByName(
-        lead.select("node", "vertex", "signature", "block")).dropDuplicates(["node", "vertex", "block"])
-    spread = spread.withColumn("node", F.xxhash64("node", "block"))
-    return found.unionByName(_forests(spread, functions, least)).distinct()
+                    branches: int = BRANCHES, node: int = NODE, least: float = LEAST_AGREEING) -> DataFrame:
+    """Edges whose components hold every pair of ``vertices`` (``vertex, signature``) that the trees recall.
+
+    Large nodes branch, and branch again. What a branch leaves large is of two kinds. Where nearly all members are
+    like one anchor, further tokens would not part them; the few others are compared with all. Where many are not,
+    they do part, so the node branches on, ``LEVELS`` times at most; then all that is left is compared.
+    """
+    short = written(_short(vertices, functions), "marks")
+    members = written(_counted(_nodes(vertices, functions, trees, depth)).join(short, "vertex"), "nodes")
+    found = [_forests(members.where(F.col("n") <= node), functions, least)]
+    large = members.where(F.col("n") > node).select("node", "vertex")
+    for level in range(LEVELS):
+        if large.isEmpty():
+            break
+        deeper = _counted(_branched(large.join(vertices.select("vertex", "signature"), "vertex"), functions, branches))
+        deeper = written(deeper.join(short, "vertex"), "nodes")
+        found.append(_forests(deeper.where(F.col("n") <= node), functions, least))
+        judged = _settled(deeper.where(F.col("n") > node), functions, least)
+        found.append(judged.where("like AND vertex <> anchor").select(F.col("anchor").alias("a"), F.col("vertex").alias("b")))
+        others = judged.where("NOT like").groupBy("node").agg(F.count(F.lit(1)).alias("others"))
+        others = others.join(judged.select("node", "n").distinct(), "node")
+        parts = F.lit(level + 1 < LEVELS) & (F.col("others") > F.greatest(F.lit(node), F.col("n") / 8))
+        found.append(_rest(judged.join(others.where(~parts).select("node"), "node", "left_semi"), functions, node, least))
+        large = judged.join(others.where(parts).select("node"), "node", "left_semi").select("node", "vertex")
+    edges = found[0]
+    for more in found[1:]:
+        edges = edges.unionByName(more)
+    return edges.distinct()
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -296,8 +365,7 @@ def _confirm_groups(members: DataFrame, keys: list[str], percent: int) -> DataFr
                 sets.append(np.frombuffer(s, np.uint64))
         yield links()
 
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = members.select(*keys, "vertex", "items").repartition(parts, *keys).sortWithinPartitions(*keys, "vertex")
+    ordered = members.select(*keys, "vertex", "items").repartition(*keys).sortWithinPartitions(*keys, "vertex")
     return map_arrow(ordered, run, "a long, b long")
 
 
@@ -370,8 +438,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
                                              ["cluster", "vertex", "items"])
             yield own.filter(pa.array(vertex_of(items, sizes) == batch.column("vertex").to_numpy()))
 
-    # Only documents in clusters are read again; rows that repeat one count once.
-    again = texts(docs).join(wanted.withColumnRenamed("first_id", "doc_id"), "doc_id").select("cluster", "vertex", "text")
+    # Only documents in clusters are read again; rows that repeat one count once. Texts of others are not shuffled.
+    bitmap = key_bitmap(wanted.select("first_id"))
+
+    def clustered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_match(bitmap.value, batch.column("doc_id").to_numpy())))
+
+    few = map_arrow(texts(docs).where("doc_id IS NOT NULL"), clustered, "doc_id long, text string")
+    again = few.join(wanted.withColumnRenamed("first_id", "doc_id"), "doc_id").select("cluster", "vertex", "text")
     members = written(map_arrow(again, sets, "cluster long, vertex long, items binary").dropDuplicates(["vertex"]), "sets")
     found = confirm(members, percent)
     least = found.join(vertices.select("vertex", "first_id"), "vertex")
@@ -386,14 +461,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, **options) -> DataFrame:
     """``docs`` with one row of each component, that of the least ``doc_id``; columns as they were.
 
-    Rows that repeat a ``doc_id`` with the same words count as copies. Only rows whose ``doc_id`` loses something
-    are shuffled.
+    Rows that repeat a ``doc_id`` with the same words count as copies. Rows with a null ``doc_id`` and texts without
+    words all stay, any further column is carried along, whatever its name, and an empty table stays empty.
+    Only rows whose ``doc_id`` loses something are shuffled.
     """
     judged = written(near_duplicates(docs, shingle, percent, **options).where("vertex IS NOT NULL"), "judged")
     gone = judged.where(~F.col("kept")).select("doc_id", "vertex")
     twice = judged.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     bitmap = key_bitmap(gone.select("doc_id").unionByName(twice))
     schema = docs.schema
+    vertex, lost, its = unused_names(docs, "vertex", "lost", "its")
 
     def split(touched: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,11 +483,12 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, _BATCH):
             items, sizes = shingle_sets(batch.column("text"), shingle)
-            yield batch.append_column("_vertex", pa.array(vertex_of(items, sizes), mask=sizes == 0))
+            yield batch.append_column(vertex, pa.array(vertex_of(items, sizes), mask=sizes == 0))
 
-    named = map_arrow(map_arrow(docs, split(True), schema), name, StructType([*schema.fields, StructField("_vertex", LongType())]))
+    named = map_arrow(map_arrow(docs, split(True), schema), name, StructType([*schema.fields, StructField(vertex, LongType())]))
     # Without words there is nothing to be a copy of; such rows all stay.
-    wordless = named.where("_vertex IS NULL").drop("_vertex")
-    gone = gone.select(F.col("doc_id").alias("_gone"), F.col("vertex").alias("_its")).distinct()
-    left = named.where("_vertex IS NOT NULL").join(gone, (F.col("doc_id") == F.col("_gone")) & (F.col("_vertex") == F.col("_its")), "left_anti")
-    return map_arrow(docs, split(False), schema).unionByName(wordless).unionByName(left.dropDuplicates(["doc_id", "_vertex"]).drop("_vertex"))
+    wordless = named.where(F.col(vertex).isNull()).drop(vertex)
+    gone = gone.select(F.col("doc_id").alias(lost), F.col("vertex").alias(its)).distinct()
+    left = named.where(F.col(vertex).isNotNull()).join(
+        gone, (F.col("doc_id") == F.col(lost)) & (F.col(vertex) == F.col(its)), "left_anti")
+    return map_arrow(docs, split(False), schema).unionByName(wordless).unionByName(left.dropDuplicates(["doc_id", vertex]).drop(vertex))
