@@ -10,6 +10,7 @@ from tickframe.plans import workload as W
 from tickframe.plans.registry import query
 from tickframe.schemas import CALLS_PER_TICK, RUN_SUMMARY, TRACKER
 from tickframe.sinks.shared import new_shared_path, write_shared
+from tickframe.sources.sizing import input_bytes
 from tickframe.streaming import sessions as streaming
 from tickframe.streaming.assembly import window_counts
 from tickframe.streaming.runtime import stateful_session
@@ -151,9 +152,18 @@ def landing_rows(tele):
             .select(*streaming.STREAM.names))
 
 
+def stores(spark, landed: str) -> int:
+    """State stores for a stream over ``landed``: one for each 256 KB, up to the session's shuffle partitions.
+
+    A store has a fixed cost in every batch. The number is that of a checkpoint's first run, as Spark keeps it.
+    """
+    return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(spark, landed) // (256 << 10))))
+
+
 def gather(spark, work: str, files_per_batch: int | None = None, **options) -> None:
     """Runs the first streaming query over what has landed since it last ran."""
-    rows = streaming.read_closed_chunks(stateful_session(spark), f"{work}/landing", files_per_batch)
+    session = stateful_session(spark, stores(spark, f"{work}/landing"))
+    rows = streaming.read_closed_chunks(session, f"{work}/landing", files_per_batch)
     streaming.write_partials(rows, f"{work}/partials", f"{work}/ckpt-partials", f"{work}/rejected", W.TICKS_PER_ROW,
                              availableNow=True, **options).awaitTermination()
 
@@ -162,7 +172,8 @@ def summarise(spark, work: str, checkpoint: str, **options) -> None:
     """Runs the second one over the partial rows written since."""
     told = F.lit(streaming.CALL).alias("outcome")
     shape = streaming.chunk_partials(spark.createDataFrame([], streaming.STREAM).select("*", told), W.TICKS_PER_ROW).schema
-    totals = streaming.summarise_sessions(streaming.read_partials(stateful_session(spark), f"{work}/partials", shape), **options)
+    session = stateful_session(spark, stores(spark, f"{work}/landing"))
+    totals = streaming.summarise_sessions(streaming.read_partials(session, f"{work}/partials", shape), **options)
     streaming.write_runs(totals, f"{work}/runs", checkpoint, availableNow=True).awaitTermination()
 
 
@@ -234,7 +245,8 @@ def stream_rejects(spark, sf_dir):
     for parts in ((half,), (~half, F.col(streaming.CHUNK) % 2 == 0)):
         for part in parts:
             land(rows.where(part), work)
-        gathered = streaming.complete_chunks(streaming.read_closed_chunks(stateful_session(spark), f"{work}/landing"), ["session_id", streaming.CHUNK])
+        session = stateful_session(spark, stores(spark, f"{work}/landing"))
+        gathered = streaming.complete_chunks(streaming.read_closed_chunks(session, f"{work}/landing"), ["session_id", streaming.CHUNK])
         streaming.write_totals(gathered, f"{work}/out", f"{work}/ckpt", availableNow=True).awaitTermination()
     out = spark.read.schema("session_id string, outcome string").parquet(f"{work}/out/source=*/batch=*")
     count = lambda which: F.count_if(F.col("outcome") == which)
@@ -264,7 +276,7 @@ def stream_late(spark, sf_dir):
                 "session_id", F.lit(None).cast("timestamp").alias("ts"), F.lit(-1).cast("long").alias("call_no"), F.lit(True).alias("ended"))
             part = part.unionByName(ends).coalesce(1)  # the END of a session must not come before its rows
         land(part, work)
-        landed = stateful_session(spark).readStream.schema(part.schema).parquet(f"{work}/landing")
+        landed = stateful_session(spark, stores(spark, f"{work}/landing")).readStream.schema(part.schema).parquet(f"{work}/landing")
         counted = window_counts(landed, "1 day", "3 days")
         streaming.write_totals(counted, f"{work}/out", f"{work}/ckpt", availableNow=True).awaitTermination()
     told = streaming.read_totals(spark, f"{work}/out", counted.schema).where("call_no IS NULL OR call_no >= 0")
