@@ -71,3 +71,21 @@ def test_landed_logs_are_read_once(spark, logs, tmp_path_factory):
     (folder / "gamestate.bin").write_bytes(record(7) + record(8))
     rows = run()
     assert rows.count() == 102 and sorted(r.tick for r in rows.where("session_id = 'c'").collect()) == [7, 8]
+
+
+def test_many_small_ranges_share_a_task(tmp_path, monkeypatch):
+    monkeypatch.setattr(tick_source, "_FEW", 4)
+    for s in range(30):
+        folder = tmp_path / f"session_id={s}" / "chunk_0"
+        folder.mkdir(parents=True)
+        (folder / "gamestate.bin").write_bytes(b"".join(record(k) for k in range(25)))
+    options = {"path": str(tmp_path), "splitbytes": "680"}
+    reader = tick_source.TickLogReader(tick_source.TickLogSource(options).schema(), options)
+    parts = reader.partitions()
+    assert len(parts) == 4  # 90 ranges
+    batches = [b for p in parts for b in reader.read(p)]
+    assert len(batches) == 4 and sum(b.num_rows for b in batches) == 750
+    got = sorted((r["session_id"], r["chunk_index"], r["tick"]) for b in batches for r in b.select(["session_id", "chunk_index", "tick"]).to_pylist())
+    assert got == sorted((str(s), 0, k) for s in range(30) for k in range(25))
+    monkeypatch.setattr(tick_source, "_TASK_BYTES", 700)
+    assert len(reader.partitions()) == 90  # no two of 10 records fit into 700 bytes, nor 10 after 5
