@@ -93,3 +93,21 @@ def test_logs_read_in_any_pieces(spark, tmp_path, split_bytes):
     covered = rows(binlogs.log_coverage(binlogs.packet_files(spark, str(tmp_path)), split_bytes).select("records", "bytes_read", "trailing_bytes"))
     read = sum(map(len, whole))
     assert covered == [(len(whole), read, len(b"".join(packets)) - 1 - read)]
+
+
+def test_maps_are_small_and_come_in_few_batches(spark, tmp_path):
+    for n in range(20):
+        folder = tmp_path / f"session_id={n}"
+        folder.mkdir()
+        (folder / "log.bin").write_bytes(b"".join(pack_event(t, 0, "stick", 1, 0) for t in range(100)))
+    maps = borders.block_maps(list_files(spark, str(tmp_path), "log.bin").withColumn("format", F.lit("event")), 512)
+    widths = {(len(r["exits"]) // r["size"], len(r["counts"]) // r["size"]) for r in maps.collect()}
+    assert widths == {(2, 1)}  # 16 bytes for each byte of a log before
+    files = maps.select("path", F.spark_partition_id().alias("task")).groupBy("path").agg(F.count_distinct("task").alias("tasks")).collect()
+    assert len(files) == 20 and {r["tasks"] for r in files} == {1}  # a small file is opened by one task
+
+
+def test_narrow_numbers_are_the_same():
+    for values in ([], [0], [-128, 127], [-129, 5], [40_000], [-1 - (1 << 40), 3]):
+        data = borders._narrow(np.array(values, np.int64))
+        assert borders._wide(data, len(values)).tolist() == values

@@ -100,7 +100,7 @@ def packet_log_files(spark, sf_dir):
     new = F.col("session_id").cast("long") % 2 == 0
     logs = [encoders.encode_packets(rows.where(new), "ord", 2), encoders.encode_packets(rows.where(~new), "ord", 1)]
     root = _land(logs[0].unionByName(logs[1]), spark, "packet-logs", "packets.bin", 3)
-    markers = logs[0].select("session_id", "chunk_index", "path", F.lit(b"").alias("content"))
+    markers = rows.where(new).select("session_id", "chunk_index", F.lit(b"").alias("content")).distinct()  # one per log
     encoders.write_files(markers, root, "packets_v2.marker")
     read = binlogs.read_packets(spark, root, split_bytes=PIECE_BYTES)
     covered = binlogs.log_coverage(binlogs.packet_files(spark, root), PIECE_BYTES)

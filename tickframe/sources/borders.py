@@ -101,6 +101,19 @@ def block_map(data: np.ndarray, block: int, room: int, kind: str, entries: int =
     return at, count
 
 
+_MAP_BYTES = 4 << 20  # of maps, before they are handed to Spark
+
+
+def _narrow(values: np.ndarray) -> bytes:
+    """Whole numbers in the fewest bytes that hold all of them; ``_wide`` knows their number."""
+    low, high = (int(values.min()), int(values.max())) if len(values) else (0, 0)
+    return values.astype(next(t for t in ("<i1", "<i2", "<i4", "<i8") if np.iinfo(t).min <= low and high <= np.iinfo(t).max)).tobytes()
+
+
+def _wide(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"<i{len(data) // n}") if n else np.zeros(0, np.int64)
+
+
 _MAPPED = "path string, format string, length long, session_id string, chunk_index int, block long, size long, exits binary, counts binary"
 _PIECE = T.StructType([
     T.StructField("session_id", T.StringType()), T.StructField("chunk_index", T.IntegerType()), T.StructField("path", T.StringType()),
@@ -116,14 +129,20 @@ def block_maps(files: DataFrame, block_bytes: int, entries: int = ENTRIES) -> Da
               .withColumn("size", F.least(F.lit(block_bytes).cast("long"), F.col("length") - F.col("block"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, row in enumerate(batch.to_pylist()):
-                room = row["length"] - row["block"]
-                data = np.frombuffer(ranges.read_range(row["path"], row["block"], min(room, row["size"] + header)), np.uint8)
-                exits, counts = block_map(data, row["size"], room, row["format"], entries)
-                own = batch.slice(k, 1)
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array([exits.tobytes()]), pa.array([counts.tobytes()])],
-                                                 [*own.schema.names, "exits", "counts"])
+        with ranges.RangeReader() as reader:
+            for batch in batches:
+                first, size, maps = 0, 0, []
+                for k, row in enumerate(batch.to_pylist()):
+                    room = row["length"] - row["block"]
+                    data = np.frombuffer(reader.read(row["path"], row["block"], min(room, row["size"] + header)), np.uint8)
+                    exits, counts = block_map(data, row["size"], room, row["format"], entries)
+                    maps.append((_narrow(exits), _narrow(counts)))
+                    size += len(maps[-1][0]) + len(maps[-1][1])
+                    if size >= _MAP_BYTES or k == batch.num_rows - 1:
+                        own = batch.slice(first, len(maps))
+                        yield pa.RecordBatch.from_arrays([*own.columns, *[pa.array(list(m), pa.binary()) for m in zip(*maps)]],
+                                                         [*own.schema.names, "exits", "counts"])
+                        first, size, maps = k + 1, 0, []
 
     ship_package(files.sparkSession)
     # A task reads as much as another where each gets about a block's bytes.
@@ -148,9 +167,9 @@ def pieces(files: DataFrame, block_bytes: int, entries: int = ENTRIES) -> DataFr
                 entry = at - row.block
                 if at < 0 or entry >= row.size:
                     continue  # the records stop before this block, or one covers it whole
-                exits = np.frombuffer(row.exits, np.int64)
-                if entry < len(exits):
-                    to, n = int(exits[entry]), int(np.frombuffer(row.counts, np.int64)[entry])
+                mapped = min(entries, row.size)
+                if entry < mapped:
+                    to, n = int(_wide(row.exits, mapped)[entry]), int(_wide(row.counts, mapped)[entry])
                 else:
                     starts, end = _walked(row, at)
                     to, n = end - row.block, len(starts)

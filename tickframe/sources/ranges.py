@@ -31,16 +31,46 @@ def read_range(path: str, offset: int, size: int) -> bytes:
         return source.read_at(size, offset)
 
 
+class RangeReader:
+    """Reads ranges that follow one another: a file stays open, and what lies behind a small range is read with it."""
+
+    AHEAD = 256 << 10
+
+    def __init__(self):
+        self.path, self.source, self.at, self.held = None, None, 0, b""
+
+    def read(self, path: str, offset: int, size: int) -> bytes:
+        if path != self.path:
+            self.close()
+            self.source, self.path, self.at, self.held = open_file(path), path, 0, b""
+        begin = offset - self.at
+        if begin < 0 or begin + size > len(self.held):
+            self.held, self.at, begin = self.source.read_at(max(size, self.AHEAD), offset), offset, 0
+        return self.held if begin == 0 and size >= len(self.held) else self.held[begin:begin + size]
+
+    def close(self) -> None:
+        if self.source is not None:
+            self.source.close()
+        self.path, self.source, self.held = None, None, b""
+
+    def __enter__(self) -> RangeReader:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+
 def spread(ranges: DataFrame, files: DataFrame, split_bytes: int | None = None) -> DataFrame:
     """Distributes range rows so that a task gets about ``SPLIT_BYTES``, or one range if those are larger.
 
-    The rows are tiny, so the number of partitions is set from the listed file sizes; left to
+    Small ranges of one stretch of a file stay together, in order, so that a task opens the file once. The rows are tiny, so the number of partitions is set from the listed file sizes; left to
     its own estimate Spark would merge them into one task.
     """
     total = files.agg(F.sum("length")).first()[0] or 0
     per_task = max(SPLIT_BYTES, split_bytes or 0)
     tasks = max(files.sparkSession.sparkContext.defaultParallelism, math.ceil(total / per_task))
-    return ranges.repartition(tasks, "path", "offset")
+    stretch = F.call_function("div", F.col("offset"), F.lit(per_task))
+    return ranges.repartition(tasks, F.col("path"), stretch).sortWithinPartitions("path", "offset")
 
 
 def cut(files: DataFrame, record_bytes: int, split_bytes: int | None = None) -> DataFrame:
