@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -267,3 +268,12 @@ def test_sessions_and_paths(spark, captured):
 
 def test_lz4_block_codec_is_there():
     assert pa.Codec.is_available("lz4_raw")
+
+
+def test_bytes_of_a_column_are_not_copied():
+    batch = pa.RecordBatch.from_pylist([{"session_id": str(k), "content": bytes([k]) * 1000} for k in range(5)])
+    whole = batch.column("content").buffers()[2]
+    found = list(binlogs._blocks(iter([batch]), "content"))
+    assert [(row, bytes(data)) for row, data in found] == [({"session_id": str(k)}, bytes([k]) * 1000) for k in range(5)]
+    places = [np.frombuffer(data, np.uint8).ctypes.data - whole.address for _, data in found]
+    assert places == [0, 1000, 2000, 3000, 4000]  # views of the batch

@@ -72,11 +72,28 @@ def _batches(blocks: Iterator[tuple[dict, bytes]]) -> Iterator[list[tuple[dict,
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], content: str | None) -> Iterator[tuple[dict, bytes]]:
-    """Descriptor and bytes of each block, read by path and range unless a column holds them."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            yield row, row[content] if content else ranges.read_range(
-                row["path"], row["offset"], row["size"])
+    """Descriptor and bytes of each block, read by path and range unless a column holds them.
+
+    A column's bytes are handed on where they lie; a batch of logs is not copied into Python objects.
+    """
+    with ranges.RangeReader() as reader:
+        for batch in batches:
+            held = _contents(batch.column(content)) if content else None
+            for k, row in enumerate(_descriptors(batch, content)):
+                yield row, held[k] if content else reader.read(row["path"], row["offset"], row["size"])
+
+
+def _descriptors(batch: pa.RecordBatch, content: str | None) -> list[dict]:
+    return batch.select([n for n in batch.schema.names if n != content]).to_pylist()
+
+
+def _contents(held: pa.Array) -> list[memoryview]:
+    """The values of a binary column, as views of its bytes."""
+    _, bounds, data = held.buffers()
+    kind = np.int64 if pa.types.is_large_binary(held.type) else np.int32
+    at = np.frombuffer(bounds, kind)[held.offset:held.offset + len(held) + 1].tolist() if len(held) else [0]
+    whole = memoryview(b"" if data is None else data)
+    return [whole[a:b] for a, b in zip(at, at[1:])]
 
 
 def _batch(schema: pa.Schema, columns: dict, n: int) -> pa.RecordBatch:
@@ -395,8 +412,9 @@ def decode_capture_tagged(chunks: DataFrame, content: str | None = None, detect_
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, bytes]]:
         lz4 = pa.Codec("lz4_raw")
         for batch in batches:
-            for row in batch.to_pylist():
-                data = row[content] if content else ranges.read_range(row["path"], 0, row["length"])
+            held = _contents(batch.column(content)) if content else None
+            for k, row in enumerate(_descriptors(batch, content)):
+                data = held[k] if content else ranges.read_range(row["path"], 0, row["length"])
                 told = _unpacked_chunk(data, lz4, detect_size)
                 yield {"session_id": row["session_id"], "path": row["path"], "file_bytes": len(data), **told}, told.pop("raw", b"")
 
