@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,12 +14,52 @@ from pyspark.sql import types as T
 from tickframe import schemas as S
 from tickframe.operators.agents import fill_action
 from tickframe.operators.chunks import explode_ledger
-from tickframe.sources.listing import missing
+from tickframe.runtime import ship_package
+from tickframe.sources import ranges
+from tickframe.sources.listing import list_files_by_tasks, missing
 
 _CORRUPT = "_corrupt_record"
 
 
+_BATCH_BYTES = 8 << 20
+
+
+def _utf8(data: bytes) -> bytes:
+    """A document in UTF-8; bytes that are no text become one that does not parse, as they do for Spark's reader."""
+    try:
+        return data.decode(json.detect_encoding(data)).encode()
+    except UnicodeDecodeError:
+        return b"{"
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts, size = [], 0
+        for row in batch.to_pylist():
+            text = _utf8(ranges.read_range(row["path"], 0, row["length"]))
+            if text.strip():
+                texts.append(text)
+                size += len(text)
+            if size >= _BATCH_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["text"])
+                texts, size = [], 0
+        if texts:
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["text"])
+
+
 def _documents(spark: SparkSession, path: str, glob: str, schema: T.StructType) -> DataFrame:
+    """The objects of all files: one for each, or those of its array; one that does not parse is a row of nulls.
+
+    Spark's reader would list every file on the driver.
+    """
+    files = list_files_by_tasks(spark, path, glob)
+    if files is not None:
+        ship_package(spark)
+        tasks = spark.sparkContext.defaultParallelism
+        texts = files.select("path", "length").repartition(tasks, "path").mapInArrow(_texts, "text binary")
+        parsed = F.from_json(F.col("text").cast("string"), T.ArrayType(schema))
+        bad = F.array(F.lit(None).cast(schema))
+        return texts.select(F.explode(F.coalesce(parsed, bad)).alias("_d")).select(*[F.col(f"_d.{n}").alias(n) for n in schema.names])
     return (spark.read.schema(schema).option("multiLine", "true")
             .option("recursiveFileLookup", "true").option("pathGlobFilter", glob).json(path))
 
