@@ -10,6 +10,9 @@ from tickframe.operators import chunks
 from tickframe.schemas import CAPTURE_CHUNK_TICKS
 
 MAX_ROWS_PER_FILE = 5_000_000
+# A folder per session means a file per session: tasks put their own files in place, or the driver renames all of them, one
+# by one. A job that fails may leave some; ``_SUCCESS`` tells a whole table either way, and a task that runs again overwrites its own.
+_COMMIT = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
 
 
 def write_by_session(df: DataFrame, path: str, mode: str = "overwrite", order: str = "tick") -> None:
@@ -19,7 +22,7 @@ def write_by_session(df: DataFrame, path: str, mode: str = "overwrite", order: s
     for one task is written by several. Sorted ticks give each row group a narrow range.
     """
     (df.repartitionByRange("session_id", order).sortWithinPartitions("session_id", order)
-     .write.mode(mode).option("maxRecordsPerFile", MAX_ROWS_PER_FILE)
+     .write.mode(mode).option("maxRecordsPerFile", MAX_ROWS_PER_FILE).options(**_COMMIT)
      .partitionBy("session_id").parquet(path))
 
 
@@ -55,7 +58,7 @@ def export_rows(capture: DataFrame) -> DataFrame:
 def write_export(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     """JSON Lines per session in tick order; a null packet time is left out, and the part of a first line."""
     (rows.repartitionByRange("session_id", "tick").sortWithinPartitions("session_id", "tick", F.coalesce("part", F.lit(0)))
-     .write.mode(mode).option("ignoreNullFields", "true").partitionBy("session_id").json(path))
+     .write.mode(mode).option("ignoreNullFields", "true").options(**_COMMIT).partitionBy("session_id").json(path))
 
 
 def write_summaries(summaries: DataFrame, path: str, mode: str = "overwrite") -> None:
