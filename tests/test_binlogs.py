@@ -277,3 +277,10 @@ def test_bytes_of_a_column_are_not_copied():
     assert [(row, bytes(data)) for row, data in found] == [({"session_id": str(k)}, bytes([k]) * 1000) for k in range(5)]
     places = [np.frombuffer(data, np.uint8).ctypes.data - whole.address for _, data in found]
     assert places == [0, 1000, 2000, 3000, 4000]  # views of the batch
+
+
+def test_long_names_in_a_column():
+    log = b"".join(pack_event(t, 0, "x" * 255, 1, 0) for t in range(3))
+    batch = pa.RecordBatch.from_pylist([{"session_id": "s", "content": log}])
+    (_, data), = binlogs._blocks(iter([batch]), "content")
+    assert len(binlogs.borders.record_starts(data, "event")[0]) == 3

@@ -92,7 +92,7 @@ def _contents(held: pa.Array) -> list[memoryview]:
     _, bounds, data = held.buffers()
     kind = np.int64 if pa.types.is_large_binary(held.type) else np.int32
     at = np.frombuffer(bounds, kind)[held.offset:held.offset + len(held) + 1].tolist() if len(held) else [0]
-    whole = memoryview(b"" if data is None else data)
+    whole = memoryview(b"" if data is None else data).cast("B")  # Arrow's bytes are signed
     return [whole[a:b] for a, b in zip(at, at[1:])]
 
 
