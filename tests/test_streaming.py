@@ -12,7 +12,7 @@ from tests.test_runs import random_session
 from tickframe import schemas as S
 from tickframe.operators import runs
 from tickframe.streaming import sessions as streaming
-from tickframe.streaming.assembly import window_counts
+from tickframe.streaming.assembly import complete_chunks, window_counts
 from tickframe.streaming.runtime import stateful_session
 
 CHUNK_TICKS = 5
@@ -176,6 +176,63 @@ def test_late_rows_are_told(spark, tmp_path):
     assert sum(r.rows for r in out) == sum(map(len, batches))
 
 
+@pytest.mark.parametrize("records", [10_000, 3])
+def test_many_chunks_share_a_call_of_state(spark, tmp_path, records):
+    """A timer for each bucket instead of one for each chunk, whatever cuts the rows of a bucket into frames."""
+    names = [f"s{i}" for i in range(20)] + [None]
+    first = [(n, "p", t, 0, "TICK", None, None if t else 5, c, START, 10 * c + t, 4) for n in names for c in (0, 1) for t in range(2)]
+    rest = [(n, "p", t, 0, "TICK", None, None, c, START, 10 * c + t, 4) for n in names for c in (0, 1) for t in range(1, 4 - c)]
+    timers = 0
+    for rows in (first, rest):
+        land_rows(spark, tmp_path / "in", rows)
+        session = stateful_session(spark, 2)
+        session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
+        stream = complete_chunks(streaming.read_closed_chunks(session, str(tmp_path / "in")), ["session_id", streaming.CHUNK], buckets=3)
+        q = streaming.write_totals(stream, str(tmp_path / "out"), str(tmp_path / "c"), availableNow=True)
+        q.awaitTermination()
+        timers += sum(p.stateOperators[0].customMetrics["numRegisteredTimers"] for p in q.recentProgress)
+    out = streaming.read_totals(spark, str(tmp_path / "out"), stream.schema).collect()
+    told = {n: sorted((r.chunk_index, r.tick, r.delta) for r in out if r.session_id == n and r.outcome == "call") for n in names}
+    assert all(t == [(0, 0, 5), (0, 1, None), (0, 2, None), (0, 3, None)] for t in told.values())
+    again = [(r.chunk_index, r.tick) for r in out if r.outcome == "repeated"]
+    assert sorted(again) == sorted((c, 1) for c in (0, 1) for _ in names)
+    assert 0 < timers <= 3
+
+
+def test_many_sessions_share_a_call_of_state(spark, tmp_path):
+    rng = random.Random(5)
+    sessions = {f"s{i}": random_session(rng, f"s{i}") for i in range(12)}
+    told = F.lit("call").alias("outcome")
+    shape = streaming.chunk_partials(spark.createDataFrame([], streaming.STREAM).select("*", told)).schema
+    calls = [r for own in sessions.values() for n, c in by_chunk(own).items() for r in as_rows(c, n, n == max(by_chunk(own)))]
+    parts = streaming.chunk_partials(spark.createDataFrame(calls, streaming.STREAM).select("*", told))
+    path, timers = str(tmp_path / "partials"), 0
+    for half in (1, 0):  # the later chunk of two comes first
+        parts.where(F.col("_segment") % 2 == half).coalesce(1).write.parquet(f"{path}/source=a/batch={half}")
+        totals = streaming.summarise_sessions(streaming.read_partials(stateful_session(spark, 2), path, shape), buckets=3)
+        q = streaming.write_runs(totals, str(tmp_path / "runs"), str(tmp_path / "c"), availableNow=True)
+        q.awaitTermination()
+        timers += sum(p.stateOperators[0].customMetrics["numRegisteredTimers"] for p in q.recentProgress)
+    got = runs.finish_summary(streaming.read_runs(spark, str(tmp_path / "runs"))).collect()
+    want = runs.run_summary(spark.createDataFrame([c for own in sessions.values() for c in own], S.TRACKER)).collect()
+    assert sorted(got) == sorted(want) and len(got) == 12
+    assert 0 < timers <= 6
+
+
+def test_sessions_share_a_call_that_counts_windows(spark, tmp_path):
+    """One entry of state for a session, not one for each of its windows besides."""
+    shape = "session_id string, ts timestamp, call_no long, ended boolean"
+    names = [f"s{i}" for i in range(6)] + [None]
+    rows = [(n, START + dt.timedelta(hours=h), h, False) for n in names for h in range(4)]
+    spark.createDataFrame(rows, shape).coalesce(1).write.parquet(str(tmp_path / "in"))
+    landed = stateful_session(spark, 2).readStream.schema(shape).parquet(str(tmp_path / "in"))
+    counted = window_counts(landed, "1 hour", "1 day", buckets=2)
+    q = streaming.write_totals(counted, str(tmp_path / "out"), str(tmp_path / "c"), availableNow=True)
+    q.awaitTermination()
+    assert max(p.stateOperators[0].numRowsTotal for p in q.recentProgress) == len(names)
+    assert streaming.read_totals(spark, str(tmp_path / "out"), counted.schema).count() == 0
+
+
 def test_duplicates_within_the_watermark_go_away(spark, tmp_path):
     row = ("s", "p", 3, 0, "TICK", None, None)
     later = ("s", "p", 4, 0, "TICK", None, None)

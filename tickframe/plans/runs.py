@@ -274,7 +274,7 @@ def stream_late(spark, sf_dir):
         if late:  # a last row ends every session, so that its open windows are told
             ends = rows.select("session_id").distinct().select(
                 "session_id", F.lit(None).cast("timestamp").alias("ts"), F.lit(-1).cast("long").alias("call_no"), F.lit(True).alias("ended"))
-            part = part.unionByName(ends).coalesce(1)  # the END of a session must not come before its rows
+            part = part.unionByName(ends).repartition("session_id")  # the END of a session must not come before its rows
         land(part, work)
         landed = stateful_session(spark, stores(spark, f"{work}/landing")).readStream.schema(part.schema).parquet(f"{work}/landing")
         counted = window_counts(landed, "1 day", "3 days")

@@ -11,6 +11,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from tickframe.functions.scores import run_id
 from tickframe.operators.runs import segment_partials
 from tickframe.operators.segments import SEGMENT
 from tickframe.schemas import MILESTONE_ADVANCEMENTS, TRACKER
-from tickframe.streaming.assembly import CALL, REPEATED, complete_chunks, set_timer
+from tickframe.streaming.assembly import BUCKETS, CALL, REPEATED, Reminders, by_bucket, complete_chunks
 from tickframe.streaming.runtime import ARRIVED, by_arrival, source_name
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # as in assembly.py
@@ -149,80 +150,112 @@ class _Sessions(StatefulProcessor):
         self.gap_ms, self.keep_ms = gap_ms, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.folded = handle.getValueState("folded", _STATE)
-        self.waiting = handle.getMapState("waiting", "chunk int", _PART)
-
-    def _loaded(self) -> dict:
-        known = self.folded.get()
+        own = "session_id string, player_id string"
+        self.folded = handle.getMapState("folded", own, _STATE)
+        self.waiting = handle.getMapState("waiting", f"{own}, chunk int", _PART)
+        # The numbers of the chunks that wait, so that those of one session are found without reading the others'.
+        self.places = handle.getMapState("places", own, "chunks binary")
+        self.reminders = Reminders(handle)
+
+    def _loaded(self, run: tuple) -> dict:
+        known = self.folded.getValue(run)
         return _fresh() if known is None else dict(zip(_STATE.names, known))
 
-    def _keep(self, state: dict, until: int | None) -> None:
+    def _keep(self, run: tuple, state: dict, until: int | None, due: dict[int, list]) -> None:
         if until is not None:
-            state["timer"] = set_timer(self.handle, state["timer"], until)
-        self.folded.update(tuple(state[n] for n in _STATE.names))
+            state["timer"] = until
+            due.setdefault(until, []).append(run)
+        self.folded.updateValue(run, tuple(state[n] for n in _STATE.names))
+
+    def _places(self, run: tuple, state: dict) -> list[int]:
+        return np.frombuffer(self.places.getValue(run)[0], np.int32).tolist() if state["waiting"] else []
 
-    def _told(self, key, state: dict, now: int) -> Row:
+    def _told(self, run: tuple, state: dict, places: list[int], now: int, due: dict[int, list]) -> Row:
+        for chunk in places:
+            self.waiting.removeKey((*run, chunk))
         if state["waiting"]:
-            self.waiting.clear()
-        self._keep(_fresh() | {"told": True, "timer": state["timer"]}, now + self.keep_ms)
-        values = [*key, *[state[n] for n in (*_SUMMED, *_MARKS)], state["complete"], state["next"], state["missing"]]
+            self.places.removeKey(run)
+        self._keep(run, _fresh() | {"told": True}, now + self.keep_ms, due)
+        values = [*run, *[state[n] for n in (*_SUMMED, *_MARKS)], state["complete"], state["next"], state["missing"]]
         return Row(**dict(zip(_TOTALS.names, values)))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        state, now, ready = self._loaded(), 0, {}
-        if state["told"]:
-            return
+        due, now, arrived = {}, 0, {}
         for row in rows:
             now = max(now, int(row[ARRIVED].timestamp() * 1000))
-            if row[SEGMENT] >= state["next"]:
-                ready.setdefault(row[SEGMENT], tuple(row[n] for n in _PART.names))
-        # The first to come of a chunk stays; only what has to wait is written to the state.
+            # The first to come of a chunk stays.
+            arrived.setdefault((row["session_id"], row["player_id"]), {}).setdefault(row[SEGMENT], tuple(row[n] for n in _PART.names))
+        for run, ready in arrived.items():
+            yield from self._take(run, ready, now, due)
+        for at, runs in due.items():
+            self.reminders.add(at, runs)
+
+    def _take(self, run: tuple, ready: dict[int, tuple], now: int, due: dict[int, list]) -> Iterator[Row]:
+        state = self._loaded(run)
+        if state["told"]:
+            return
+        places = self._places(run, state)
+        waits = set(places)
+        ready = {chunk: part for chunk, part in ready.items() if chunk >= state["next"]}
+        # Only what has to wait is written to the state.
         while True:
             part = ready.pop(state["next"], None)
-            waited = self.waiting.getValue((state["next"],)) if state["waiting"] else None
-            if waited is not None:
-                part = waited
-                self.waiting.removeKey((state["next"],))
-                state["waiting"] -= 1
+            if state["next"] in waits:
+                part = self.waiting.getValue((*run, state["next"]))
+                self.waiting.removeKey((*run, state["next"]))
+                waits.remove(state["next"])
             if part is None:
                 break
             _fold(state, dict(zip(_PART.names, part)))
         if state["ended"]:
-            yield self._told(key, state, now)
+            yield self._told(run, state, sorted(waits), now, due)
             return
         for chunk, part in ready.items():
-            if not state["waiting"] or not self.waiting.containsKey((chunk,)):
-                self.waiting.updateValue((chunk,), part)
-                state["waiting"] += 1
-        self._keep(state, None if self.gap_ms is None else now + self.gap_ms)
+            if chunk not in waits:
+                self.waiting.updateValue((*run, chunk), part)
+                waits.add(chunk)
+        if waits != set(places):
+            if waits:
+                self.places.updateValue(run, (np.array(sorted(waits), np.int32).tobytes(),))
+            else:
+                self.places.removeKey(run)
+        state["waiting"] = len(waits)
+        self._keep(run, state, None if self.gap_ms is None else now + self.gap_ms, due)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        state = self._loaded()
-        if state["told"]:
-            self.folded.clear()
-            return
-        state["complete"], state["timer"] = False, None
-        # Chunks behind one that never came, in their order.
-        for (chunk,), part in sorted(self.waiting.iterator(), key=lambda w: w[0]) if state["waiting"] else ():
-            state["missing"] = chunk - state["next"]
-            _fold(state, dict(zip(_PART.names, part)))
-        yield self._told(key, state, timerValues.getCurrentWatermarkInMs())
+        at, due = expiredTimerInfo.getExpiryTimeInMs(), {}
+        for run in self.reminders.take(at):
+            state = self._loaded(run)
+            if state["timer"] != at:
+                continue
+            if state["told"]:
+                self.folded.removeKey(run)
+                continue
+            state["complete"], state["timer"] = False, None
+            # Chunks behind one that never came, in their order.
+            places = self._places(run, state)
+            for chunk in places:
+                state["missing"] = chunk - state["next"]
+                _fold(state, dict(zip(_PART.names, self.waiting.getValue((*run, chunk)))))
+            yield self._told(run, state, places, timerValues.getCurrentWatermarkInMs(), due)
+        for at, runs in due.items():
+            self.reminders.add(at, runs)
 
     def close(self) -> None:
         pass
 
 
 def summarise_sessions(partials: DataFrame, gap_ms: int | None = None, keep_ms: int = 7 * 86_400_000,
-                       slack: str = "10 seconds") -> DataFrame:
+                       slack: str = "10 seconds", buckets: int = BUCKETS) -> DataFrame:
     """Session totals, told once when the session ends (R2, R3, R4); -1 marks "never".
 
     ``partials`` is a stream of partial rows in any order. A chunk waits in the state until the ones before
     it are folded; a chunk seen before is ignored. A session that has been told is remembered for ``keep_ms``,
     so nothing delivered again opens it anew. One that gets nothing for ``gap_ms`` without an END is told as far as it
-    came, ``complete`` false; ``missing_chunks`` counts the chunks that later ones have overtaken.
+    came, ``complete`` false; ``missing_chunks`` counts the chunks that later ones have overtaken. ``buckets`` as in
+    ``complete_chunks``.
     """
-    return by_arrival(partials, slack).groupBy("session_id", "player_id").transformWithState(
+    return by_bucket(by_arrival(partials, slack), ["session_id", "player_id"], buckets).transformWithState(
         _Sessions(gap_ms, keep_ms), outputStructType=_TOTALS, outputMode="Append", timeMode="EventTime")
 
 
