@@ -189,6 +189,25 @@ def test_katz(spark, share):
     assert sum(map(len, got.values())) == len(rows)
 
 
+@pytest.mark.parametrize("symbol_share", [1e-5, 0.004, 0.2])
+def test_katz_counts_the_pairs_of_all_words(spark, symbol_share):
+    """Whatever the share from which on words are broadcast, the model is that without a shared symbol."""
+    small = spark.read.parquet(f"{SMALL}/documents.parquet").limit(60).collect()
+    rows = awkward_rows() + [(r["doc_id"] + 100, r["text"]) for r in small]
+    count, texts, total, _, _, pair, _, symbols, histories = plain_katz(rows, 0)
+    for h in histories[:40]:
+        assert abs(sum(pair(h, s) for s in symbols) - 1) < 1e-9
+    got = defaultdict(list)
+    for r in katz.score(documents(spark, rows), symbol_share=symbol_share).collect():
+        got[r["doc_id"]].append(r)
+    for d, t in rows:
+        row = ["START", *[w if count[w] else "RARE" for w in words(t)], "END"]
+        score = sum(math.log10(pair(a, b)) for a, b in zip(row[:-1], row[1:]))
+        known = sum(count[x] > 0 for x in words(t)) + (texts > 0)
+        assert any(math.isclose(r["score"], score, rel_tol=1e-9) and r["n_known"] == known and r["train_tokens"] == total for r in got[d])
+    assert sum(map(len, got.values())) == len(rows)
+
+
 def test_katz_of_nothing(spark):
     assert katz.score(documents(spark, [])).count() == 0
     only = katz.score(documents(spark, [(1, None)])).collect()
