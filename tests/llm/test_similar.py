@@ -215,3 +215,23 @@ def test_pipeline(spark, tmp_path):
     labels = {r["doc_id"]: r for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
     bad = [d for d in kept if d in labels and labels[d]["quality"] == 0]
     assert len(bad) <= 0.1 * sum(r["quality"] == 0 for r in labels.values())
+
+
+def test_sizes_of_clusters_are_counted_without_their_sets(spark, monkeypatch, tmp_path):
+    """Large clusters: a written table needs no shuffle of the sets to know the size of their cluster, and no text is shuffled."""
+    plans = {}
+
+    def keep(df, name, real=near_dups.written):
+        plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(near_dups, "written", keep)
+    monkeypatch.setattr(near_dups.confirm, "__defaults__", (80, 8))
+    copies = [(k, t) for k, t in enumerate(near_copies(30))]
+    docs = documents(spark, copies)
+    got = {r["doc_id"]: r["component_id"] for r in near_dups.near_duplicates(docs, shingle=4).collect()}
+    assert got == components({d: shingle_set(t, 4) for d, t in copies}, 80)
+    assert "Aggregate" not in plans["links"] and "Join" not in plans["links"]
+    assert plans["star"].count("Join") == 1
+    joined = plans["sets"][:plans["sets"].index("MapInArrow")]
+    assert "text" not in joined

@@ -136,3 +136,24 @@ def test_only_a_local_session_may_do_without_the_setting():
         shared.shared_folder(_Session("yarn"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared.shared_folder(_Session("local-cluster[2,1,1024]"))
+
+
+def test_shuffle_files_of_a_shared_table_are_removed(spark, tmp_path):
+    import glob
+    import tempfile
+    import time
+
+    from tickframe.sinks.shared import write_shared
+
+    def files():
+        return set(glob.glob(f"{tempfile.gettempdir()}/blockmgr-*/*/shuffle_*.data"))
+
+    before, ids = files(), spark.range(1000)
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    kept = ids.groupBy((ids["id"] % 10).alias("k")).count()  # held, so that no collected garbage removes its files
+    out = write_shared(kept, "counted")
+    assert sorted(tuple(r) for r in out.collect()) == [(k, 100) for k in range(10)]
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(setting, None) in (None, "false")

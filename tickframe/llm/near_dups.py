@@ -402,13 +402,20 @@ def _confirm_large(large: DataFrame, percent: int, cluster: int) -> DataFrame:
     return star.unionByName(_confirm_groups(asking.unionByName(asked), ["cluster", "way", "block"], percent))
 
 
+def sized(clusters: DataFrame) -> DataFrame:
+    """Rows ``cluster, vertex`` with their cluster's size ``n`` and least vertex ``anchor``: sets need not be shuffled to be counted."""
+    return clusters.join(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.min("vertex").alias("anchor")), "cluster")
+
+
 def confirm(members: DataFrame, percent: int = PERCENT, cluster: int = CLUSTER) -> DataFrame:
-    """``vertex, component`` of the vertices of ``members`` (``cluster, vertex, items``) that full sets link with others."""
-    sized = members.join(members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.min("vertex").alias("anchor")), "cluster")
-    found = written(_confirm_groups(sized.where(F.col("n") <= cluster), ["cluster"], percent), "links")
+    """``vertex, component`` of the vertices of ``members`` that full sets link with others.
+
+    Rows hold ``cluster, vertex, n, anchor`` (see ``sized``) and ``items``.
+    """
+    found = written(_confirm_groups(members.where(F.col("n") <= cluster), ["cluster"], percent), "links")
     small = found.select(F.col("b").alias("vertex"), F.col("a").alias("component")).unionByName(
         found.select(F.col("a").alias("vertex"), F.col("a").alias("component")).distinct())
-    large = sized.where(F.col("n") > cluster)
+    large = members.where(F.col("n") > cluster)
     if large.isEmpty():
         return small
     return small.unionByName(connected_components(_confirm_large(large, percent, cluster)))
@@ -429,25 +436,22 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         F.min("doc_id").alias("first_id"), F.first("signature").alias("signature"))
     vertices = written(vertices, "vertices")
     clusters = connected_components(candidate_edges(vertices, **options)).withColumnRenamed("component", "cluster")
-    wanted = clusters.join(vertices.select("vertex", "first_id"), "vertex")
+    clusters = written(sized(clusters), "clusters")
+    # Only documents in clusters are read again, one row a set is shuffled, and no text is.
+    first_ids = key_bitmap(clusters.join(vertices.select("vertex", "first_id"), "vertex").select("first_id"))
+    wanted = key_bitmap(clusters.select("vertex"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_of(batches, _BATCH):
-            items, sizes = shingle_sets(batch.column("text"), shingle)
-            own = pa.RecordBatch.from_arrays([batch.column("cluster"), batch.column("vertex"), lists(items, sizes)],
-                                             ["cluster", "vertex", "items"])
-            yield own.filter(pa.array(vertex_of(items, sizes) == batch.column("vertex").to_numpy()))
-
-    # Only documents in clusters are read again; rows that repeat one count once. Texts of others are not shuffled.
-    bitmap = key_bitmap(wanted.select("first_id"))
-
-    def clustered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(may_match(bitmap.value, batch.column("doc_id").to_numpy())))
-
-    few = map_arrow(texts(docs).where("doc_id IS NOT NULL"), clustered, "doc_id long, text string")
-    again = few.join(wanted.withColumnRenamed("first_id", "doc_id"), "doc_id").select("cluster", "vertex", "text")
-    members = written(map_arrow(again, sets, "cluster long, vertex long, items binary").dropDuplicates(["vertex"]), "sets")
+            few = batch.filter(pa.array(may_match(first_ids.value, batch.column("doc_id").to_numpy())))
+            for part in batches_of([few], _BATCH):
+                items, sizes = shingle_sets(part.column("text"), shingle)
+                names = vertex_of(items, sizes)
+                own = pa.RecordBatch.from_arrays([pa.array(names), lists(items, sizes)], ["vertex", "items"])
+                yield own.filter(pa.array((sizes > 0) & may_match(wanted.value, names)))
+
+    again = map_arrow(texts(docs).where("doc_id IS NOT NULL"), sets, "vertex long, items binary").dropDuplicates(["vertex"])
+    members = written(again.join(clusters, "vertex"), "sets")
     found = confirm(members, percent)
     least = found.join(vertices.select("vertex", "first_id"), "vertex")
     least = least.join(least.groupBy("component").agg(F.min("first_id").alias("component_id")), "component").select("vertex", "component_id")

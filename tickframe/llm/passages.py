@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tickframe.llm import words
 from tickframe.llm.components import connected_components
 from tickframe.llm.key_filter import key_bitmap, may_match
-from tickframe.llm.near_dups import PERCENT, SHINGLE, confirm, distinct_sets, signatures, vertex_of
+from tickframe.llm.near_dups import PERCENT, SHINGLE, confirm, distinct_sets, signatures, sized, vertex_of
 from tickframe.llm.tables import batches_of, binary, lists, map_arrow, texts, unused_names, written
 
 BANDS = 10
@@ -158,6 +158,7 @@ def repeats(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, percent: int
     found = written(units(docs, bands, rows, line_words, sentence_words), "units")
     equal = found.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a <> z").select("key")
     clusters = connected_components(_collisions(found, bands)).select("vertex", F.col("component").alias("cluster"))
+    clusters = written(sized(clusters), "clusters")
     wanted = key_bitmap(clusters.select("vertex"))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
