@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.conftest import SMALL
 from tests.llm.brute import BASE, OTHER, awkward_rows, components, documents, grams, shingle_set, words
+from tickframe.llm import components as graph
 from tickframe.llm import near_dups, passages, top_k
 from tickframe.llm.components import connected_components
 
@@ -235,3 +236,46 @@ def test_sizes_of_clusters_are_counted_without_their_sets(spark, monkeypatch, tm
     assert plans["star"].count("Join") == 1
     joined = plans["sets"][:plans["sets"].index("MapInArrow")]
     assert "text" not in joined
+
+
+@pytest.mark.parametrize("share", [1 << 20, 40, 3])
+def test_components_of_shares_of_edges(spark, monkeypatch, share):
+    """Long paths and a hub: one share settles in one task without rounds, several go on with stars; the components are the same."""
+    written = []
+    monkeypatch.setattr(graph, "written", lambda df, name, real=graph.written: written.append(name) or real(df, name))
+    edges = [(k, k + 1) for k in range(0, 60)] + [(k, 900 - k) for k in range(300, 340)] + [(777, k) for k in range(1000, 1050)] + [(5, 5)]
+    want = {}
+    for part in (range(0, 61), [777, *range(1000, 1050)]):
+        want |= {x: min(part) for x in part}
+    for k in range(300, 340):
+        want |= {k: k, 900 - k: k}
+    table = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    got = {r["vertex"]: r["component"] for r in graph.connected_components(table, share=share).collect()}
+    assert got == want
+    assert (len(written) == 2) == (share == 1 << 20)
+    assert graph.connected_components(table.where("a = b"), share=share).count() == 0
+
+
+def test_small_tables_are_written_in_few_files(spark, monkeypatch):
+    """With many shuffle partitions and no merging of small ones, a hundred documents do not make a file for each."""
+    files = {}
+
+    def keep(df, name, real=near_dups.written):
+        out = real(df, name)
+        files[name] = max(files.get(name, 0), len(out.inputFiles()))
+        return out
+
+    for module in (near_dups, graph):
+        monkeypatch.setattr(module, "written", keep)
+    docs = [(k, t) for k, t in enumerate(near_copies(60))]
+    names = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "23"}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        got = {r["doc_id"]: r["component_id"] for r in near_dups.near_duplicates(documents(spark, docs).repartition(2), shingle=4).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == components({d: shingle_set(t, 4) for d, t in docs}, 80)
+    assert max(files.values()) <= 2, files

@@ -26,7 +26,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from tickframe.llm import words
 from tickframe.llm.components import connected_components
 from tickframe.llm.key_filter import key_bitmap, may_match
-from tickframe.llm.tables import batches_of, binary, lists, map_arrow, texts, unused_names, written
+from tickframe.llm.tables import batches_of, binary, dealt, lists, map_arrow, tasks_for, texts, unused_names, written
 
 SHINGLE = 5
 PERCENT = 80
@@ -196,7 +196,7 @@ def similar_forest(marks: np.ndarray, least: float) -> list[tuple[int, int]]:
     return out
 
 
-def _forests(members: DataFrame, functions: int, least: float) -> DataFrame:
+def _forests(members: DataFrame, functions: int, least: float, tasks: int | None = None) -> DataFrame:
     """Edges ``a, b`` of similar vertices within each node; rows hold ``node, vertex, marks``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,10 +227,10 @@ def _forests(members: DataFrame, functions: int, least: float) -> DataFrame:
             yield edges(kept_nodes, kept_ids, kept_marks)
 
     ordered = members.select("node", "vertex", "marks").repartition("node").sortWithinPartitions("node", "vertex")
-    return map_arrow(ordered, run, "a long, b long")
+    return map_arrow(dealt(ordered, tasks), run, "a long, b long")
 
 
-def _settled(members: DataFrame, functions: int, least: float) -> DataFrame:
+def _settled(members: DataFrame, functions: int, least: float, tasks: int | None = None) -> DataFrame:
     """Members of large nodes with their node's ``anchor`` and whether they are ``like`` it."""
     anchors = members.groupBy("node").agg(F.min_by(F.struct("vertex", "marks"), F.xxhash64("vertex")).alias("a"))
     near = members.join(anchors.select("node", F.col("a.vertex").alias("anchor"), F.col("a.marks").alias("anchor_marks")), "node")
@@ -241,11 +241,11 @@ def _settled(members: DataFrame, functions: int, least: float) -> DataFrame:
             like = (own == other).mean(axis=1) >= least
             yield batch.drop_columns(["anchor_marks"]).append_column("like", pa.array(like))
 
-    return written(map_arrow(near.select("node", "n", "vertex", "marks", "anchor", "anchor_marks"), run,
+    return written(map_arrow(dealt(near.select("node", "n", "vertex", "marks", "anchor", "anchor_marks"), tasks), run,
                              "node long, n long, vertex long, marks binary, anchor long, like boolean"), "settled")
 
 
-def _rest(judged: DataFrame, functions: int, node: int, least: float) -> DataFrame:
+def _rest(judged: DataFrame, functions: int, node: int, least: float, tasks: int | None = None) -> DataFrame:
     """Edges between the members that are not like their anchor and all members of their node, block against block."""
     half = max(1, node // 2)
     blocks = F.ceil(F.col("n") / half).cast("long")
@@ -256,7 +256,7 @@ def _rest(judged: DataFrame, functions: int, node: int, least: float) -> DataFra
         "node", F.pmod(F.xxhash64("vertex", F.lit(5)), F.col("ways")).alias("way"), _numbers(blocks).alias("block"), "vertex", "marks")
     asked = rows.join(ways, "node").select("node", _numbers(F.col("ways")).alias("way"), "block", "vertex", "marks")
     pairs = asking.unionByName(asked).dropDuplicates(["node", "way", "block", "vertex"])
-    return _forests(pairs.withColumn("node", F.xxhash64("node", "way", "block")), functions, least)
+    return _forests(pairs.withColumn("node", F.xxhash64("node", "way", "block")), functions, least, tasks)
 
 
 def _counted(members: DataFrame) -> DataFrame:
@@ -266,29 +266,30 @@ def _counted(members: DataFrame) -> DataFrame:
 
 
 def candidate_edges(vertices: DataFrame, functions: int = FUNCTIONS, trees: int = TREES, depth: int = DEPTH,
-                    branches: int = BRANCHES, node: int = NODE, least: float = LEAST_AGREEING) -> DataFrame:
+                    branches: int = BRANCHES, node: int = NODE, least: float = LEAST_AGREEING, tasks: int | None = None) -> DataFrame:
     """Edges whose components hold every pair of ``vertices`` (``vertex, signature``) that the trees recall.
 
     Large nodes branch, and branch again. What a branch leaves large is of two kinds. Where nearly all members are
     like one anchor, further tokens would not part them; the few others are compared with all. Where many are not,
-    they do part, so the node branches on, ``LEVELS`` times at most; then all that is left is compared.
+    they do part, so the node branches on, ``LEVELS`` times at most; then all that is left is compared. ``tasks`` bounds those
+    that a small table is dealt to.
     """
     short = written(_short(vertices, functions), "marks")
-    members = written(_counted(_nodes(vertices, functions, trees, depth)).join(short, "vertex"), "nodes")
-    found = [_forests(members.where(F.col("n") <= node), functions, least)]
+    members = written(dealt(_counted(_nodes(vertices, functions, trees, depth)).join(short, "vertex"), tasks), "nodes")
+    found = [_forests(members.where(F.col("n") <= node), functions, least, tasks)]
     large = members.where(F.col("n") > node).select("node", "vertex")
     for level in range(LEVELS):
         if large.isEmpty():
             break
         deeper = _counted(_branched(large.join(vertices.select("vertex", "signature"), "vertex"), functions, branches))
-        deeper = written(deeper.join(short, "vertex"), "nodes")
-        found.append(_forests(deeper.where(F.col("n") <= node), functions, least))
-        judged = _settled(deeper.where(F.col("n") > node), functions, least)
+        deeper = written(dealt(deeper.join(short, "vertex"), tasks), "nodes")
+        found.append(_forests(deeper.where(F.col("n") <= node), functions, least, tasks))
+        judged = _settled(deeper.where(F.col("n") > node), functions, least, tasks)
         found.append(judged.where("like AND vertex <> anchor").select(F.col("anchor").alias("a"), F.col("vertex").alias("b")))
         others = judged.where("NOT like").groupBy("node").agg(F.count(F.lit(1)).alias("others"))
         others = others.join(judged.select("node", "n").distinct(), "node")
         parts = F.lit(level + 1 < LEVELS) & (F.col("others") > F.greatest(F.lit(node), F.col("n") / 8))
-        found.append(_rest(judged.join(others.where(~parts).select("node"), "node", "left_semi"), functions, node, least))
+        found.append(_rest(judged.join(others.where(~parts).select("node"), "node", "left_semi"), functions, node, least, tasks))
         large = judged.join(others.where(parts).select("node"), "node", "left_semi").select("node", "vertex")
     edges = found[0]
     for more in found[1:]:
@@ -344,7 +345,7 @@ def confirmed_labels(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return labels
 
 
-def _confirm_groups(members: DataFrame, keys: list[str], percent: int) -> DataFrame:
+def _confirm_groups(members: DataFrame, keys: list[str], percent: int, tasks: int | None = None) -> DataFrame:
     """Per group of ``keys``, ``a, b``: each vertex but the first of its component, with that first one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,10 +367,10 @@ def _confirm_groups(members: DataFrame, keys: list[str], percent: int) -> DataFr
         yield links()
 
     ordered = members.select(*keys, "vertex", "items").repartition(*keys).sortWithinPartitions(*keys, "vertex")
-    return map_arrow(ordered, run, "a long, b long")
+    return map_arrow(dealt(ordered, tasks), run, "a long, b long")
 
 
-def _confirm_pairs(pairs: DataFrame, percent: int) -> DataFrame:
+def _confirm_pairs(pairs: DataFrame, percent: int, tasks: int | None = None) -> DataFrame:
     """Those of the rows ``a, b, items_a, items_b`` that are links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,14 +379,14 @@ def _confirm_pairs(pairs: DataFrame, percent: int) -> DataFrame:
                   for x, y in zip(batch.column("items_a").to_pylist(), batch.column("items_b").to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return map_arrow(pairs, run, "a long, b long")
+    return map_arrow(dealt(pairs, tasks), run, "a long, b long")
 
 
 def _numbers(n: Column) -> Column:
     return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
 
 
-def _confirm_large(large: DataFrame, percent: int, cluster: int) -> DataFrame:
+def _confirm_large(large: DataFrame, percent: int, cluster: int, tasks: int | None = None) -> DataFrame:
     """Links of clusters of more than one task's size: first with one anchor, copied to every block of the
     cluster, then of what the anchor does not link with all, block against block."""
     blocks = F.ceil(F.col("n") / cluster).cast("long")
@@ -393,13 +394,13 @@ def _confirm_large(large: DataFrame, percent: int, cluster: int) -> DataFrame:
     anchors = (large.where(F.col("vertex") == F.col("anchor"))
                .select("cluster", _numbers(blocks).alias("block"), F.col("items").alias("items_a")))
     star = written(_confirm_pairs(rows.join(anchors, ["cluster", "block"]).select(
-        F.col("anchor").alias("a"), F.col("vertex").alias("b"), "items_a", F.col("items").alias("items_b")), percent), "star")
+        F.col("anchor").alias("a"), F.col("vertex").alias("b"), "items_a", F.col("items").alias("items_b")), percent, tasks), "star")
     loose = rows.join(star.select(F.col("b").alias("vertex")), "vertex", "left_anti")
     ways = loose.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / cluster).cast("long").alias("ways"))
     asking = loose.join(ways, "cluster").select(
         "cluster", F.pmod(F.xxhash64("vertex", F.lit(5)), F.col("ways")).alias("way"), _numbers(blocks).alias("block"), "vertex", "items")
     asked = rows.join(ways, "cluster").select("cluster", _numbers(F.col("ways")).alias("way"), "block", "vertex", "items")
-    return star.unionByName(_confirm_groups(asking.unionByName(asked), ["cluster", "way", "block"], percent))
+    return star.unionByName(_confirm_groups(asking.unionByName(asked), ["cluster", "way", "block"], percent, tasks))
 
 
 def sized(clusters: DataFrame) -> DataFrame:
@@ -407,18 +408,18 @@ def sized(clusters: DataFrame) -> DataFrame:
     return clusters.join(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.min("vertex").alias("anchor")), "cluster")
 
 
-def confirm(members: DataFrame, percent: int = PERCENT, cluster: int = CLUSTER) -> DataFrame:
+def confirm(members: DataFrame, percent: int = PERCENT, cluster: int = CLUSTER, *, tasks: int | None = None) -> DataFrame:
     """``vertex, component`` of the vertices of ``members`` that full sets link with others.
 
     Rows hold ``cluster, vertex, n, anchor`` (see ``sized``) and ``items``.
     """
-    found = written(_confirm_groups(members.where(F.col("n") <= cluster), ["cluster"], percent), "links")
+    found = written(_confirm_groups(members.where(F.col("n") <= cluster), ["cluster"], percent, tasks), "links")
     small = found.select(F.col("b").alias("vertex"), F.col("a").alias("component")).unionByName(
         found.select(F.col("a").alias("vertex"), F.col("a").alias("component")).distinct())
     large = members.where(F.col("n") > cluster)
     if large.isEmpty():
         return small
-    return small.unionByName(connected_components(_confirm_large(large, percent, cluster)))
+    return small.unionByName(connected_components(_confirm_large(large, percent, cluster, tasks), tasks=tasks))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, **options) -> DataFrame:
@@ -432,11 +433,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     null ``doc_id`` is linked with nothing, has a null component and is kept. Other columns are ignored.
     """
     rows = written(signed(docs, shingle), "signatures")
+    tasks = tasks_for(rows.count())
     vertices = rows.where(F.col("vertex").isNotNull()).groupBy("vertex").agg(
         F.min("doc_id").alias("first_id"), F.first("signature").alias("signature"))
-    vertices = written(vertices, "vertices")
-    clusters = connected_components(candidate_edges(vertices, **options)).withColumnRenamed("component", "cluster")
-    clusters = written(sized(clusters), "clusters")
+    vertices = written(dealt(vertices, tasks), "vertices")
+    clusters = connected_components(candidate_edges(vertices, tasks=tasks, **options), tasks=tasks).withColumnRenamed("component", "cluster")
+    clusters = written(dealt(sized(clusters), tasks), "clusters")
     # Only documents in clusters are read again, one row a set is shuffled, and no text is.
     first_ids = key_bitmap(clusters.join(vertices.select("vertex", "first_id"), "vertex").select("first_id"))
     wanted = key_bitmap(clusters.select("vertex"))
@@ -451,8 +453,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
                 yield own.filter(pa.array((sizes > 0) & may_match(wanted.value, names)))
 
     again = map_arrow(texts(docs).where("doc_id IS NOT NULL"), sets, "vertex long, items binary").dropDuplicates(["vertex"])
-    members = written(again.join(clusters, "vertex"), "sets")
-    found = confirm(members, percent)
+    members = written(dealt(again.join(clusters, "vertex"), tasks), "sets")
+    found = confirm(members, percent, tasks=tasks)
     least = found.join(vertices.select("vertex", "first_id"), "vertex")
     least = least.join(least.groupBy("component").agg(F.min("first_id").alias("component_id")), "component").select("vertex", "component_id")
     names = vertices.select("vertex", "first_id").join(least, "vertex", "left").select(

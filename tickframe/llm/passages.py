@@ -24,13 +24,14 @@ from tickframe.llm import words
 from tickframe.llm.components import connected_components
 from tickframe.llm.key_filter import key_bitmap, may_match
 from tickframe.llm.near_dups import PERCENT, SHINGLE, confirm, distinct_sets, signatures, sized, vertex_of
-from tickframe.llm.tables import batches_of, binary, lists, map_arrow, texts, unused_names, written
+from tickframe.llm.tables import batches_of, binary, dealt, lists, map_arrow, tasks_for, texts, unused_names, written
 
 BANDS = 10
 ROWS = 3
 LINE_WORDS = 16
 SENTENCE_WORDS = 8
 _BATCH = 2 << 20
+_TASK_UNITS = 1 << 16
 _STOPS = np.zeros(256, bool)
 _STOPS[list(b".!?")] = True
 _WORD = re.compile(r"[^\x20\x09-\x0D]")
@@ -124,7 +125,7 @@ def units(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, line_words: int
     return map_arrow(hashed, run, "doc_id long, text_hash long, start long, end long, n_words long, kind int, key long, bands binary")
 
 
-def _collisions(found: DataFrame, bands: int) -> DataFrame:
+def _collisions(found: DataFrame, bands: int, tasks: int | None = None) -> DataFrame:
     """Edges ``a, b`` between each paragraph and the least one of every band it shares with another."""
 
     def explode(batches: Iterator[pa.RecordBatch], bitmap=None) -> Iterator[pa.RecordBatch]:
@@ -138,8 +139,8 @@ def _collisions(found: DataFrame, bands: int) -> DataFrame:
 
     lines = found.where(F.col("kind") == LINE).select("key", "bands")
     schema = "band long, key long"
-    shared = written(map_arrow(lines, explode, schema).groupBy("band").agg(F.min("key").alias("a"), F.max("key").alias("z"))
-                     .where("a <> z").select("band", "a"), "bands")
+    shared = written(dealt(map_arrow(lines, explode, schema).groupBy("band").agg(F.min("key").alias("a"), F.max("key").alias("z"))
+                     .where("a <> z").select("band", "a"), tasks), "bands")
     bitmap = key_bitmap(shared.select("band"))
     few = map_arrow(lines, lambda batches: explode(batches, bitmap), schema)
     return few.join(shared, "band").select("a", F.col("key").alias("b")).where("a <> b").distinct()
@@ -156,9 +157,10 @@ def repeats(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, percent: int
     ``text_hash``; other columns are ignored. Clean documents have no rows.
     """
     found = written(units(docs, bands, rows, line_words, sentence_words), "units")
+    tasks = tasks_for(found.count(), _TASK_UNITS)
     equal = found.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a <> z").select("key")
-    clusters = connected_components(_collisions(found, bands)).select("vertex", F.col("component").alias("cluster"))
-    clusters = written(sized(clusters), "clusters")
+    clusters = connected_components(_collisions(found, bands, tasks), tasks=tasks).select("vertex", F.col("component").alias("cluster"))
+    clusters = written(dealt(sized(clusters), tasks), "clusters")
     wanted = key_bitmap(clusters.select("vertex"))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,9 +173,9 @@ def repeats(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, percent: int
             yield own.filter(pa.array(may_match(bitmap, names)))
 
     again = map_arrow(texts(docs).where("doc_id IS NOT NULL"), sets_of, "vertex long, items binary").dropDuplicates(["vertex"])
-    members = written(again.join(clusters, "vertex"), "paragraphs")
-    joined = written(confirm(members, percent), "classes")
-    keys = written(equal.select("key").unionByName(joined.select(F.col("vertex").alias("key"))), "keys")
+    members = written(dealt(again.join(clusters, "vertex"), tasks), "paragraphs")
+    joined = written(dealt(confirm(members, percent, tasks=tasks), tasks), "classes")
+    keys = written(dealt(equal.select("key").unionByName(joined.select(F.col("vertex").alias("key"))), tasks), "keys")
     bitmap = key_bitmap(keys)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +185,7 @@ def repeats(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, percent: int
     few = map_arrow(found.drop("bands"), keep, "doc_id long, text_hash long, start long, end long, n_words long, kind int, key long")
     classed = (few.join(joined.withColumnRenamed("vertex", "key"), "key", "left")
                .withColumn("class", F.coalesce("component", "key")).drop("component", "key"))
-    classed = written(classed, "occurrences")
+    classed = written(dealt(classed, tasks), "occurrences")
     first = (classed.groupBy("class").agg(F.min(F.struct("doc_id", "start", "text_hash")).alias("f"), F.max("doc_id").alias("z"))
              .where("f.doc_id <> z").select("class", F.col("f.doc_id").alias("class_doc_id"), F.col("f.start").alias("class_start"),
                                             F.col("f.text_hash").alias("class_text")))
