@@ -145,3 +145,13 @@ def test_token_files(spark):
 @pytest.mark.parametrize("operator", [packing.pack, bpe_chunks.round_trip, token_files.round_trip])
 def test_empty_table(spark, operator):
     assert operator(documents(spark, [])).count() == 0
+
+
+def test_caches_of_encoders_are_given_back():
+    """Tasks after the encoding hold no pieces; what is encoded later is the same."""
+    own = bpe.encoder(bpe.BYTE)
+    before = own.encode(["some words of a text, and more words"])[0].tolist()
+    assert len(own.hashes) > 0
+    bpe.release_all()
+    assert not len(own.hashes) and own.cached_bytes() < 1000
+    assert own.encode(["some words of a text, and more words"])[0].tolist() == before

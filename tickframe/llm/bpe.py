@@ -64,6 +64,13 @@ def encoder(name: str) -> "Encoder":
     return _encoders[name]
 
 
+def release_all() -> None:
+    """Gives the caches of this worker's encoders back; for tasks that come after all encoding."""
+    for own in _encoders.values():
+        if len(own.hashes):
+            own.release()
+
+
 def odd_texts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Numbers of the texts with white space that pieces do not cover: a space after white space, or any other kind."""
     if not len(data):

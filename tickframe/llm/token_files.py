@@ -36,7 +36,7 @@ BLOCK_IDS = 1 << 16
 STEP = 128
 FILE_IDS = 4 << 20
 _HEAD = struct.Struct("<4sIQII")
-_BATCH = 8 << 20
+_BATCH = 4 << 20
 
 
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
@@ -183,6 +183,7 @@ def id_counts(tokens: DataFrame) -> DataFrame:
     """``id, n`` over all documents; at most one row per id of the vocabulary."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.release_all()
         total = np.zeros(0, np.int64)
         for batch in batches_of(batches, _BATCH, "ids"):
             column = batch.column("ids")
@@ -217,6 +218,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = bpe.BYTE, end_id: int = 0
      .coalesce(1).write.parquet(f"{path}/codes"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.release_all()
         file_id = TaskContext.get().partitionId()
         number = start = 0
         ids_open: list[np.ndarray] = []
