@@ -212,3 +212,20 @@ def test_katz_of_nothing(spark):
     assert katz.score(documents(spark, [])).count() == 0
     only = katz.score(documents(spark, [(1, None)])).collect()
     assert len(only) == 1 and only[0]["n_tokens"] == 1 and only[0]["score"] <= 0
+
+
+def test_answers_of_a_bucket_go_in_small_batches():
+    """All rows arrive in their order, and no batch holds much more than the bytes asked for."""
+    rows = [katz._row(katz._PAIR, k, b"d" * 100, b"s" * 200) for k in range(50)]
+    out = list(katz._packed(iter(rows), 1000))
+    assert [r for b in out for r in b.to_pylist()] == rows
+    assert len(out) > 10 and all(b.num_rows <= 4 for b in out)
+    assert not list(katz._packed(iter([])))
+
+
+def test_number_of_buckets_changes_no_score(spark, monkeypatch):
+    docs = documents(spark, awkward_rows() + [(2000 + k, f"a b c{k % 7} d{k} a b") for k in range(60)])
+    few = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in katz.score(docs).collect())
+    monkeypatch.setattr(katz, "BUCKET_TOKENS", 20)
+    many = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in katz.score(docs).collect())
+    assert few == many

@@ -41,7 +41,8 @@ from tickframe.llm.tables import batches_of, by_bucket, lists, map_arrow, texts,
 SHARE = 1e-5
 HOT = 5e-4  # histories of a larger share of all tokens are spread over the buckets
 TOP = 5  # counts above are not discounted
-BUCKET_TOKENS = 2_000_000
+BUCKET_TOKENS = 1_000_000
+_ANSWER_BYTES = 4 << 20
 _BATCH = 8 << 20
 _ROWS = 30_000  # documents of a chunk; their numbers and the training flag share 16 bits
 _TRAIN = np.uint16(1 << 15)
@@ -233,6 +234,7 @@ def _send(docs: DataFrame, symbols, buckets: int, modulus: int, held_out: int) -
             follows[begins] = False
             history, word = row[:-1][follows[1:]], row[1:][follows[1:]]
             pair_docs = np.repeat(owner, counts + 1)
+            del follows
             if known.whole:
                 name = np.zeros(len(row), np.uint64)
                 name[at] = hashes
@@ -240,11 +242,16 @@ def _send(docs: DataFrame, symbols, buckets: int, modulus: int, held_out: int) -
                 before = row[own_at - 1]
                 yield _grouped(hashes[rare], each[rare], at_bucket, buckets, _RARE, chunk,
                                (before.astype(np.uint32), row[own_at + 1].astype(np.uint32), name[own_at - 1], before == known.rare))
+                del name, own_at, before
                 both = (history != known.rare) & (word != known.rare)
                 history, word, pair_docs = history[both], word[both], pair_docs[both]
+                del both
+            del hashes, each, at_bucket, at, row  # what is done with goes before the next sort, as a chunk's arrays are large
             keys = (history * known.size + word).astype(np.uint64)
             spread = np.where(known.hot[history], words.mix(keys), words.mix(history.astype(np.uint64)))
+            del history, word
             yield _grouped(keys, pair_docs, (spread % np.uint64(buckets)).astype(np.int64), buckets, _PAIR, chunk)
+            del keys, spread, pair_docs
             # What a document's own frequent words add to the base score needs no bucket.
             frequent = np.concatenate([known.counts[:known.rare].astype(np.float64), [np.nan]])[own]
             base = np.bincount(np.repeat(np.arange(n), counts), np.where(rare, 0, np.log10(np.where(rare, 1, frequent) + 0.5)), n)
@@ -287,6 +294,19 @@ def _row(kind: int, chunk: int, docs, sums=b"", low=b"", more=b"", bucket: int =
             for n, v in (("docs", docs), ("sums", sums), ("low", low), ("more", more))}}
 
 
+def _packed(rows: Iterator[dict], size: int = _ANSWER_BYTES) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of about ``size`` bytes, so that neither side holds all answers of a bucket at once."""
+    some, held = [], 0
+    for row in rows:
+        some.append(row)
+        held += sum(len(row[n]) for n in _ANSWER_FIELDS[3:])
+        if held >= size:
+            yield pa.RecordBatch.from_pylist(some, _ANSWER_SCHEMA)
+            some, held = [], 0
+    if some:
+        yield pa.RecordBatch.from_pylist(some, _ANSWER_SCHEMA)
+
+
 def _narrow(low: np.ndarray) -> np.ndarray:
     return low.astype(np.uint16 if not low.size or low.max() < 1 << 16 else np.uint32)
 
@@ -421,11 +441,9 @@ def _weights(answers: DataFrame, symbols, d: np.ndarray, buckets: int) -> DataFr
                 order = np.argsort(chunks, kind="stable")
                 docs, chunks, gain = docs[order], chunks[order], gain[order]
                 cuts = np.flatnonzero(np.diff(chunks)) + 1
-                out = []
-                for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(chunks)]) if len(chunks) else ():
-                    met, slot = np.unique(docs[a:b], return_inverse=True)
-                    out.append(_row(_FIX, int(chunks[a]), met, np.bincount(slot, gain[a:b], len(met))))
-                yield pa.RecordBatch.from_pylist(out, _ANSWER_SCHEMA)
+                parts = zip([0, *cuts.tolist()], [*cuts.tolist(), len(chunks)]) if len(chunks) else ()
+                met = ((a, b, *np.unique(docs[a:b], return_inverse=True)) for a, b in parts)
+                yield from _packed(_row(_FIX, int(chunks[a]), own, np.bincount(slot, gain[a:b], len(own))) for a, b, own, slot in met)
 
     some = answers.where(F.col("kind").isin(_OWN, _OTHER, _OFF))
     return map_arrow(some.repartition(buckets, "bucket").sortWithinPartitions("bucket"), run, _ANSWER)
@@ -465,13 +483,16 @@ def _answers(rows: list[dict], kind: int, known: Symbols) -> Iterator[dict]:
 def _count(sent: DataFrame, symbols, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Symbols = symbols.value
-        for _, rows in by_bucket(batches):
-            out = [_row(_DOC, r["chunk"], r["keys"], r["counts"], r["docs"]) for r in rows if r["kind"] == _DOC]
+
+        def answers(rows: list[dict]) -> Iterator[dict]:
+            yield from (_row(_DOC, r["chunk"], r["keys"], r["counts"], r["docs"]) for r in rows if r["kind"] == _DOC)
             for kind in (_RARE, _PAIR):
                 own = [r for r in rows if r["kind"] == kind]
                 if own:
-                    out += _rare_answers(own, known, buckets) if kind == _RARE and known.whole else _answers(own, kind, known)
-            yield pa.RecordBatch.from_pylist(out, _ANSWER_SCHEMA)
+                    yield from _rare_answers(own, known, buckets) if kind == _RARE and known.whole else _answers(own, kind, known)
+
+        for _, rows in by_bucket(batches):
+            yield from _packed(answers(rows))
 
     return map_arrow(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind", "chunk"), run, _ANSWER)
 
@@ -574,15 +595,7 @@ def score(docs: DataFrame, modulus: int = 5, held_out: int = 1, share: float | N
                  pa.array(base - n_tokens * log_total), pa.array(total)],
                 ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-        now, chunk = None, []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["chunk"] != now and chunk:
-                    yield rows(chunk)
-                    chunk = []
-                now = row["chunk"]
-                chunk.append(row)
-        if chunk:
+        for _, chunk in by_bucket(batches, "chunk"):
             yield rows(chunk)
 
     own = answers.where(F.col("kind").isin(_DOC, _RARE, _PAIR))
