@@ -6,6 +6,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,6 +203,58 @@ def test_top_k(spark, monkeypatch, block):
     assert None not in got and top_k.search(documents(spark, []), documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("common, posting, long", [(0.0, 1 << 40, 1), (0.08, 90, 24), (0.3, 0, 3), (2.0, 90, 1 << 40)])
+def test_products_and_postings_score_alike(monkeypatch, common, posting, long):
+    """Whether a term is a row of the matrix or a run of postings, and in whatever shard, the exact scores agree."""
+    monkeypatch.setattr(top_k, "COMMON", common)
+    monkeypatch.setattr(top_k, "POSTING", posting)
+    monkeypatch.setattr(top_k, "LONG", long)
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{int(w)}" for w in rng.zipf(1.3, rng.integers(0, 60)) if w < 400)) for i in range(900)]
+    rows += [(i + 900, t) for i, t in rows[:40]]  # equal texts in the second shard
+    mean, n = sum(len(t.split()) for _, t in rows) / len(rows), len(rows)
+
+    def cut(part):
+        terms, tf, number, length = top_k._terms(pa.array([t for _, t in part]))
+        return np.array([i for i, _ in part]), terms, tf, number, length
+
+    found, at = np.unique(cut(rows)[1], return_counts=True)
+    asked = []
+    for i, t in rows[::5]:
+        terms = top_k._terms(pa.array([t]))[0]
+        counts = at[np.searchsorted(found, terms)]
+        asked.append({"query_id": i, "terms": terms.tobytes(), "weights": np.log(1 + (n - counts + 0.5) / (counts + 0.5)).tobytes()})
+    asked = top_k.Asked(asked)
+    best = [[] for _ in asked.ids]
+    for part in (rows[:120], rows[120:]):
+        shard = top_k.Shard([top_k._row(*cut(some)).to_pylist()[0] for some in (part[:50], part[50:70], part[70:]) if some], mean, asked)
+        for a in range(0, len(best), 7):
+            shard.search(asked, range(a, min(a + 7, len(best))), 10, best)
+    text = dict(rows)
+    for q, held in zip(asked.ids.tolist(), best):
+        want = plain_bm25(rows, (q, text[q]), 10)
+        assert [round(-s, 6) for s, _ in held] == [round(s, 6) for s, _ in want]
+        assert held == sorted(held)
+        same = {}
+        for s, i in held:
+            same.setdefault(text[i], set()).add(s)
+        assert all(len(scores) == 1 for scores in same.values())
+
+
+def test_frequencies_come_from_the_index(spark, monkeypatch):
+    """The texts are cut into words once; what counts documents reads the written index."""
+    plans = {}
+
+    def keep(df, name, real=top_k.written):
+        plans[name] = df._jdf.queryExecution().toString()
+        return real(df, name)
+
+    monkeypatch.setattr(top_k, "written", keep)
+    rows = [(i, f"a b{i % 3} c{i}") for i in range(40)]
+    assert top_k.search(documents(spark, rows), documents(spark, rows[:4])).count() == 40
+    assert "llm-index" in plans["queries"]
+
+
 def test_pipeline(spark, tmp_path):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     columns, before = docs.columns, docs.count()
