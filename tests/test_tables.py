@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import datetime
 import json
+from decimal import Decimal
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tests.conftest import rows
 from tickframe import schemas as S
 from tickframe.operators import chunks
 from tickframe.sinks import shared, tables
-from tickframe.sources import documents
+from tickframe.sources import documents, session_files
 
 
 def test_session_folders_are_sorted_by_tick(spark, tmp_path):
@@ -157,3 +163,70 @@ def test_shuffle_files_of_a_shared_table_are_removed(spark, tmp_path):
     while files() - before and time.time() < until:
         time.sleep(0.2)
     assert not files() - before and spark.conf.get(setting, None) in (None, "false")
+
+
+_ODD = ["7", "hot", None, "", "a/b", "x=1", "%41", "é b", "q?*:[]", "tab\there", "{z}", "__HIVE_DEFAULT_PARTITION__"]
+
+
+def _odd_sessions(spark, rows=4):
+    data = [(s, t, float(t) / 3, [t, None], {"a": t}, (t, None), t % 2 == 0, b"\x00\xff", Decimal(t), datetime.date(2024, 1, 1 + t), None)
+            for s in _ODD for t in range(rows)]
+    plain = spark.createDataFrame(data, "session_id string, tick int, x double, l array<int>, m map<string,int>, st struct<a:int,b:string>, "
+                                  "flag boolean, raw binary, d decimal(9,2), day date, note string")
+    return plain.withColumns({"small": F.col("tick").cast("smallint"), "at": F.timestamp_seconds("tick"), "ntz": F.lit("2024-05-06 07:08:09").cast("timestamp_ntz")})
+
+
+def _by_spark(df, path, mode="overwrite"):
+    df.write.mode(mode).partitionBy("session_id").parquet(path)
+
+
+def test_sessions_written_by_tasks_are_those_of_sparks_writer(spark, tmp_path):
+    df = _odd_sessions(spark)
+    ours, theirs = str(tmp_path / "ours"), str(tmp_path / "theirs")
+    tables.write_by_session(df, ours)
+    _by_spark(df, theirs)
+    names = lambda p: sorted(x.name for x in Path(p).iterdir() if x.is_dir())
+    assert names(ours) == names(theirs)
+    assert (Path(ours) / "_SUCCESS").exists()
+    assert not list(Path(ours).glob("session_id=*/.*"))  # as Spark's writer leaves for every file
+    assert spark.read.parquet(ours).schema == spark.read.parquet(theirs).schema
+    declared = T.StructType([f for f in df.schema if f.name != "session_id"])
+    key = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    assert key(documents.read_session_table(spark, ours, declared)) == key(documents.read_session_table(spark, theirs, declared))
+    tables.write_by_session(df, ours, "append")
+    assert spark.read.parquet(ours).count() == 2 * df.count()
+    tables.write_by_session(df.where("tick = 0"), ours, "ignore")
+    assert spark.read.parquet(ours).count() == 2 * df.count()
+    with pytest.raises(AnalysisException):
+        tables.write_by_session(df, ours, "error")
+    tables.write_by_session(df.where("session_id = 'hot'"), ours)
+    assert names(ours) == ["session_id=hot"]
+
+
+def test_rows_of_a_file_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "MAX_ROWS_PER_FILE", 30)
+    df = spark.range(100).select(F.lit("a").alias("session_id"), F.col("id").alias("tick"))
+    tables.write_by_session(df.coalesce(1), str(tmp_path / "t"))
+    files = list((tmp_path / "t" / "session_id=a").glob("*.parquet"))
+    assert len(files) >= 4 and max(pq.ParquetFile(f).metadata.num_rows for f in files) <= 30
+    assert sorted(r["tick"] for r in spark.read.parquet(str(tmp_path / "t")).collect()) == list(range(100))
+
+
+@pytest.mark.parametrize("split", [64 << 20, 500])
+def test_many_sessions_are_read_by_tasks(spark, tmp_path, monkeypatch, split):
+    monkeypatch.setattr(session_files, "MANY", 3)
+    monkeypatch.setattr(session_files.ranges, "SPLIT_BYTES", split)
+    df = _odd_sessions(spark).select("session_id", "tick", "x", "flag", "small", "note", "raw")
+    for name, write in (("ours", tables.write_by_session), ("theirs", _by_spark)):
+        path = str(tmp_path / name)
+        write(df, path)
+        for fields in ("tick int, x double, flag boolean, small smallint, note string, raw binary", "X double, none string, TICK int", "none int"):
+            declared = T.StructType.fromDDL(fields)
+            found = documents.read_session_table(spark, path, declared, whole=True)
+            want = spark.read.schema(f"{fields}, session_id string").parquet(path)
+            assert "MapInArrow" in found._jdf.queryExecution().toString()
+            assert found.columns == want.columns
+            assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+    (tmp_path / "ours" / "session_id=7" / "deeper=1").mkdir()
+    spark.range(1).withColumn("tick", F.lit(1)).write.parquet(str(tmp_path / "ours" / "session_id=7" / "deeper=1" / "k=2"))
+    assert session_files.read_by_tasks(spark, str(tmp_path / "ours"), "session_id", T.StructType.fromDDL("tick int, session_id string")) is None

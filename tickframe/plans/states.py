@@ -200,5 +200,5 @@ def derived_events(spark, sf_dir):
     tables.write_events(events, path)
     back = documents.read_session_table(spark, path, T.StructType([
         T.StructField("tick", T.IntegerType()), T.StructField("event_type", T.StringType()), T.StructField("item_name", T.StringType()),
-        T.StructField("count", T.ShortType()), T.StructField("prev_count", T.ShortType())]))
+        T.StructField("count", T.ShortType()), T.StructField("prev_count", T.ShortType())]), whole=True)
     return back.select("session_id", "tick", "event_type", "item_name", *[F.col(c).cast("int").alias(c) for c in ("count", "prev_count")])

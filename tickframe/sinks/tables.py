@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tickframe.functions import angles, bits, labels
 from tickframe.operators import chunks
 from tickframe.schemas import CAPTURE_CHUNK_TICKS
+from tickframe.sinks.session_files import write_by_tasks
 
 MAX_ROWS_PER_FILE = 5_000_000
 # A folder per session means a file per session: tasks put their own files in place, or the driver renames all of them, one
@@ -19,10 +20,13 @@ def write_by_session(df: DataFrame, path: str, mode: str = "overwrite", order: s
     """Parquet in ``session_id=`` folders, rows sorted by tick (K1, K8).
 
     Rows are ranged over (session, tick): a task writes few folders, and a session too large
-    for one task is written by several. Sorted ticks give each row group a narrow range.
+    for one task is written by several. Sorted ticks give each row group a narrow range. Spark's writer serves where
+    the tasks have no file system for the path.
     """
-    (df.repartitionByRange("session_id", order).sortWithinPartitions("session_id", order)
-     .write.mode(mode).option("maxRecordsPerFile", MAX_ROWS_PER_FILE).options(**_COMMIT)
+    placed = df.repartitionByRange("session_id", order).sortWithinPartitions("session_id", order)
+    if write_by_tasks(placed, "session_id", path, mode, MAX_ROWS_PER_FILE, _COMMIT):
+        return
+    (placed.write.mode(mode).option("maxRecordsPerFile", MAX_ROWS_PER_FILE).options(**_COMMIT)
      .partitionBy("session_id").parquet(path))
 
 

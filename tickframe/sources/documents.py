@@ -17,6 +17,7 @@ from tickframe.operators.chunks import explode_ledger
 from tickframe.runtime import ship_package
 from tickframe.sources import ranges
 from tickframe.sources.listing import list_files_by_tasks, missing
+from tickframe.sources.session_files import read_by_tasks
 
 _CORRUPT = "_corrupt_record"
 
@@ -115,14 +116,18 @@ def read_actions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return parse_actions(spark.read.text(path), "value")
 
 
-def read_session_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_session_table(spark: SparkSession, path: str, schema: T.StructType, whole: bool = False) -> DataFrame:
     """Parquet written per session (S12); no rows when the path is not there.
 
     ``session_id`` comes from the folder name. Declaring it a string keeps Spark from
-    reading an all-digit id as a number.
+    reading an all-digit id as a number. Who reads the ``whole`` table has many small sessions listed and read by
+    the tasks; without, Spark's index finds the folders that conditions on the session leave.
     """
     fields = [f for f in schema.fields if f.name != "session_id"]
     declared = T.StructType([*fields, T.StructField("session_id", T.StringType())])
+    found = read_by_tasks(spark, path, "session_id", declared) if whole else None
+    if found is not None:
+        return found
     try:
         return spark.read.schema(declared).parquet(path)
     except AnalysisException as error:

@@ -61,7 +61,8 @@ _FOUND = T.StructType([
 _BATCH_FILES = 10_000
 
 
-def _opened(path: str) -> tuple[fs.FileSystem, str]:
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path and the path in it; raises where there is none outside the JVM."""
     if path.startswith("file:") or "://" not in path:
         return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
     return fs.FileSystem.from_uri(path)
@@ -76,7 +77,7 @@ def _hidden(name: str) -> bool:
 
 def _children(folder: str, deep: bool) -> Iterator[tuple]:
     """What lies in a folder, or with ``deep`` the files below it."""
-    system, inner = _opened(folder)
+    system, inner = opened(folder)
     prefix = folder[:len(folder) - len(inner)] if folder.endswith(inner) else folder.split(":", 1)[0] + ":"
     for info in system.get_file_info(fs.FileSelector(inner, allow_not_found=True)):
         if _hidden(info.base_name):
@@ -123,14 +124,14 @@ def _roots(spark: SparkSession, path: str):
             for s in system.globStatus(name) or []]
 
 
-def _all_below(spark: SparkSession, path: str, glob: str) -> DataFrame | None:
+def files_below(spark: SparkSession, path: str, glob: str) -> DataFrame | None:
     """Files below ``path`` matching ``glob``, empty ones too; None where there is no such path or no file system for it in tasks."""
     roots = _roots(spark, path)
     if not roots:
         return None
     try:
         for root in roots:
-            _opened(root[0])
+            opened(root[0])
     except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
         return None
     ship_package(spark)
@@ -152,7 +153,7 @@ def list_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
 
 def list_files_by_tasks(spark: SparkSession, path: str, glob: str) -> DataFrame | None:
     """:func:`list_files`, or None where ``path`` does not exist or tasks have no file system for it."""
-    found = _all_below(spark, path, glob)
+    found = files_below(spark, path, glob)
     if found is None:
         return None
     return found.where("length > 0").select(session_of(F.col("path")).alias("session_id"), chunk_of(F.col("path")).alias("chunk_index"),
@@ -171,7 +172,7 @@ def list_folders(spark: SparkSession, path: str, name: str) -> DataFrame:
 
     Spark's scan leaves out empty files, its index does not; where tasks cannot list, the index serves, on the driver.
     """
-    listed = _all_below(spark, path, name)
+    listed = files_below(spark, path, name)
     if listed is not None:
         return listed.select(F.regexp_replace("path", "/[^/]+$", "").alias("folder")).distinct()
     reader = (spark.read.format("binaryFile").option("pathGlobFilter", name).option("recursiveFileLookup", "true"))
